@@ -5,12 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import encode_texts
+from lodestone.llm.near_duplicates import NearDuplicates
 from lodestone.llm.packing import pack_texts
 from lodestone.sources.tables import table
 
 
+def _review_records(spark: SparkSession, folder: str) -> DataFrame:
+    reviews = table(spark, folder, "reviews", "review_id", "text").select(F.lit("review").alias("kind"), F.col("review_id").alias("id"), "text")
+    segments = table(spark, folder, "review_segments", "segment_id", "segment_text").select(F.lit("segment").alias("kind"), F.col("segment_id").alias("id"), F.col("segment_text").alias("text"))
+    return reviews.union(segments)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = NearDuplicates(_review_records(spark, folder), threshold=0.5, shingle=3).pairs()
+    return pairs.select(F.col("kind").alias("record_kind"), "id_a", "id_b")
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = NearDuplicates(_review_records(spark, folder), threshold=0.8, shingle=5).groups()
+    return groups.withColumnRenamed("kind", "record_kind").withColumnRenamed("id", "record_id")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -20,7 +38,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_containers": p8_containers}
 
 
 def oracle_sql() -> dict[str, str]:
