@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import encode_texts
 from lodestone.llm.near_duplicates import NearDuplicates
 from lodestone.llm.packing import pack_texts
+from lodestone.llm.stuffed_pages import stuffed_pages
 from lodestone.sources.tables import table
 
 
@@ -37,8 +38,12 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack_texts(table(spark, folder, "documents", "doc_id", "text"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffed_pages(table(spark, folder, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_containers": p8_containers}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
