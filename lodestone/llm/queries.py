@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import encode_texts
 from lodestone.llm.near_duplicates import NearDuplicates
 from lodestone.llm.packing import pack_texts
+from lodestone.llm.split_overlap import split_overlap
 from lodestone.llm.stuffed_pages import stuffed_pages
+from lodestone.llm.top_items import top_items
 from lodestone.sources.tables import table
 
 
@@ -30,6 +32,30 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumnRenamed("kind", "record_kind").withColumnRenamed("id", "record_id")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    hits = table(spark, folder, "segment_hits", "case_id", "point_id", "score").where("score is not null and not isnan(score)")
+    best = hits.groupBy("case_id", "point_id").agg(F.max("score").alias("score"))
+    owners = table(spark, folder, "review_segments", "point_id", "business_id").where("business_id is not null").groupBy("point_id").agg(F.min("business_id").alias("business_id"))
+    return top_items(best.join(owners, "point_id"), ["case_id", "business_id"], "point_id", "score", 5).select("case_id", "business_id", "point_id")
+
+
+def _requests(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [table(spark, folder, name, "case_id", "split", "query_text").select(F.lit(name).alias("source"), F.col("case_id").alias("id"), "split", F.col("query_text").alias("text")) for name in ("seed_queries", "long_tail_02")]
+    return parts[0].union(parts[1])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = split_overlap(_requests(spark, folder))
+    return found.select("eval_source", "eval_split", F.least("eval_id", "train_id").alias("case_a"), F.greatest("eval_id", "train_id").alias("case_b")).distinct()
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    found = split_overlap(_requests(spark, folder))
+    return found.groupBy("eval_source", "eval_split", "train_source").agg(
+        F.countDistinct("eval_id").alias("n_eval_records"), F.countDistinct("train_id").alias("n_train_records"), F.count("*").alias("n_pairs"), F.round(F.max("containment"), 6).alias("max_containment")
+    )
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_texts(table(spark, folder, "documents", "doc_id", "text"))
 
@@ -43,8 +69,19 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+
+
+_P4 = """
+with best as (
+  select case_id, point_id, max(score) score from segment_hits where score is not null and not isnan(score) group by all),
+owners as (select point_id, min(business_id) business_id from review_segments where business_id is not null group by 1),
+ranked as (
+  select case_id, business_id, point_id, row_number() over (partition by case_id, business_id order by score desc, point_id) r
+  from best join owners using (point_id))
+select case_id, business_id, point_id from ranked where r <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": _P4}
