@@ -14,6 +14,7 @@ def local_session(app: str = "lodestone", cores: str | int = "*", shuffle_partit
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
