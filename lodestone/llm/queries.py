@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.bpe import encode_texts
 from lodestone.llm.near_duplicates import NearDuplicates
 from lodestone.llm.packing import pack_texts
+from lodestone.llm.similar_vectors import nearest
 from lodestone.llm.split_overlap import split_overlap
 from lodestone.llm.stuffed_pages import stuffed_pages
 from lodestone.llm.top_items import top_items
@@ -39,6 +40,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_items(best.join(owners, "point_id"), ["case_id", "business_id"], "point_id", "score", 5).select("case_id", "business_id", "point_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = nearest(table(spark, folder, "segment_vectors", "point_id", "vector"), "point_id", "vector")
+    return near.select(F.least("id", "neighbour").alias("point_a"), F.greatest("id", "neighbour").alias("point_b")).distinct()
+
+
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
     parts = [table(spark, folder, name, "case_id", "split", "query_text").select(F.lit(name).alias("source"), F.col("case_id").alias("id"), "split", F.col("query_text").alias("text")) for name in ("seed_queries", "long_tail_02")]
     return parts[0].union(parts[1])
@@ -69,7 +75,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 
 
 _P4 = """
