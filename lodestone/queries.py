@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import events
+from lodestone.plans import events, relational
 
-_MODULES = (events,)
+_MODULES = (events, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
