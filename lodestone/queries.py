@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import events, relational
+from lodestone.plans import events, recommend, relational
 
-_MODULES = (events, relational)
+_MODULES = (events, relational, recommend)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
