@@ -30,10 +30,11 @@ def quality_as_of(events: DataFrame, cutoffs: DataFrame, items: DataFrame, prior
     """
     probes = cutoffs.select("cutoff_time").distinct().crossJoin(F.broadcast(items.select("business_id").distinct()))  # the catalogue of each cutoff, by definition all pairs
     counts = totals_before(events.select("business_id", c("t").alias("cutoff_time"), "stars"), probes, ["business_id"], "cutoff_time", ["stars"]).where("n > 0")
-    scale = counts.groupBy("cutoff_time").agg((F.sum("stars") / F.sum("n")).alias("mean"), F.percentile(F.log1p("n"), F.lit(0.95)).alias("p95"))
+    catalogue = Window.partitionBy("cutoff_time")  # a window, so that the counts are computed once and not joined to themselves
+    scaled = counts.withColumn("mean", F.sum("stars").over(catalogue) / F.sum("n").over(catalogue)).withColumn("p95", F.percentile(F.log1p("n"), F.lit(0.95)).over(catalogue))
     rating = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("stars") + prior * c("mean")) / (c("n") + prior) - 1) / 4))
     popular = F.when(c("p95") > 0, F.least(F.log1p("n"), c("p95")) / c("p95")).otherwise(0.0)
-    return counts.join(scale, "cutoff_time").select("cutoff_time", "business_id", "n", F.round(0.8 * rating + 0.2 * popular, DIGITS).alias("quality"))
+    return scaled.select("cutoff_time", "business_id", "n", F.round(0.8 * rating + 0.2 * popular, DIGITS).alias("quality"))
 
 
 def history_of(tasks: DataFrame, events: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import events, recommend, relational
+from lodestone.plans import events, knowledge, recommend, relational
 
-_MODULES = (events, relational, recommend)
+_MODULES = (events, relational, recommend, knowledge)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
