@@ -59,7 +59,7 @@ def humanize(name: Column) -> Column:
 
 def comma_list(text: Column) -> Column:
     """The trimmed, non-blank parts of a comma-separated text."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tri_state(text: Column) -> Column:

@@ -48,8 +48,10 @@ def extract_members(path: str | Path, wanted: Sequence[str], folder: str | Path)
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good, bad) rows of JSON lines read with ``schema``; bad lines keep their text in ``_corrupt``. Nested values of string columns stay JSON text."""
     full = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt"), rows.where(F.col("_corrupt").isNotNull()).select("_corrupt")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "value")
+    broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return rows.where(~broken).select("r.*").drop("_corrupt"), rows.where(broken).select(F.col("value").alias("_corrupt"))
 
 
 def reject_by_first_reason(df: DataFrame, rules: Sequence[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +63,7 @@ def reject_by_first_reason(df: DataFrame, rules: Sequence[tuple[str, Column]]) -
 
 def curated_businesses(raw: DataFrame, city: str, categories: Sequence[str], min_reviews: int = 1) -> tuple[DataFrame, DataFrame]:
     """Open businesses of a city with enough reviews and an allowed category, typed; and the counts of rejections."""
-    listed = raw.withColumn("categories", F.filter(F.transform(F.split("categories", ","), F.trim), lambda x: x != ""))
+    listed = raw.withColumn("categories", F.filter(F.transform(F.split("categories", ","), lambda x: F.trim(x)), lambda x: x != ""))
     allowed = F.arrays_overlap("categories", F.array(*map(F.lit, categories)))
     rules = [("identity", F.col("business_id").isNotNull() & (F.trim("business_id") != "")), ("city", F.lower(F.trim("city")) == city.lower()), ("closed", F.col("is_open") == 1), ("few_reviews", F.col("review_count") >= min_reviews), ("category", allowed)]
     good, rejected = reject_by_first_reason(listed, rules)
