@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import events, knowledge, recommend, relational, stateful
+from lodestone.plans import composites, events, knowledge, recommend, relational, stateful
 
-_MODULES = (events, relational, recommend, knowledge, stateful)
+_MODULES = (events, relational, recommend, knowledge, stateful, composites)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
