@@ -16,6 +16,7 @@ The verdict is a rule on these measures (:func:`stuffed`), the same for every la
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +43,17 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 FUNCTION_HAN = frozenset("的了在是我们你他她它不也都很就还和与及有这那到要会去来说把被让给吧吗呢啊得地着过对从但而或如果因为所以等才")
+_FUNCTION = FUNCTION_WORDS | FUNCTION_HAN
 
 #: Links in markup, addresses (also with a disguised dot), hashtags, key:value tags.
-_TAG_PATTERN = r"#[^\s#]+|[^\W\d_]+:[\w-]*\w"
+_TAG_PATTERN = r"#[^\s#]+|(?<![^\W\d_])[^\W\d_]++:[\w-]*\w"
 _UNIT = re.compile(
     r"<a\s[^>]{0,500}>[^<]{0,300}</a>|\[[^\]\n]{0,200}\]\([^)\s]{0,500}\)|(?:https?://|www\.)\S+"
     r"|[\w-]{1,80}\s?(?:\(\.\)|\[\.\]|\[dot\]|\(dot\)|\s\.\s|\.)\s?[a-z]{2,12}/\S+|" + _TAG_PATTERN,
     re.IGNORECASE,
 )
 _TAG = re.compile(_TAG_PATTERN, re.IGNORECASE)
+_ASCII_WORD = re.compile(r"[a-z0-9]+")  # what _WORD finds in such a text
 _WORD = re.compile(r"[㐀-䶿一-鿿]|[^\W_㐀-䶿一-鿿]+")
 
 
@@ -61,22 +64,25 @@ def measure(text: str | None) -> tuple[float, ...]:
         return (0.0,) * len(MEASURES)
     # an address has a slash and markup an angle or a bracket; without them the short pattern finds the same units
     pattern = _UNIT if "/" in text or "www." in text.lower() or "](" in text else _TAG
-    units = pattern.findall(text)
+    units = pattern.findall(text) if pattern is _UNIT or ":" in text or "#" in text else []
     unit_share = sum(len("".join(u.split())) for u in units) / visible
-    words = _WORD.findall((pattern.sub(" ", text) if units else text).lower())
+    plain_text = (pattern.sub(" ", text) if units else text).lower()
+    words = (_ASCII_WORD if plain_text.isascii() else _WORD).findall(plain_text)
     n = len(words)
     if not n:
         return (unit_share, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
-    code: dict[str, int] = {}
-    terms = np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, n)
-    function = np.fromiter((w in FUNCTION_WORDS or w in FUNCTION_HAN for w in code), bool, len(code))
+    code: defaultdict[str, int] = defaultdict()
+    code.default_factory = code.__len__  # the next free number
+    terms = np.fromiter(map(code.__getitem__, words), np.int64, n)
+    function = np.fromiter(map(_FUNCTION.__contains__, code), bool, len(code))
     number = np.fromiter(map(str.isdigit, code), bool, len(code))
-    han = np.fromiter(("㐀" <= w[0] <= "鿿" for w in code), bool, len(code))
-    content = ~(function | number)[terms]
+    han_share = 0.0 if text.isascii() else float(np.fromiter(("㐀" <= w[0] <= "鿿" for w in code), bool, len(code))[terms].mean())
+    plain = ~(function | number)
+    content = plain[terms]
     n_content = int(content.sum())
     recurrence = regularity = lag_peak = distinct = 0.0
     if n_content:
-        distinct = float((~(function | number)).sum()) / n_content
+        distinct = float(plain.sum()) / n_content
         places = np.flatnonzero(content)
         order = places[np.argsort(terms[places], kind="stable")]
         again = terms[order[1:]] == terms[order[:-1]]
@@ -99,8 +105,9 @@ def measure(text: str | None) -> tuple[float, ...]:
             counts += np.bincount(near, minlength=longest + 1)
             k += 1
         share = counts[1:] / np.maximum(n - np.arange(1, longest + 1), 1)
-        lag_peak = max(float(share[low - 1 : min(high, n - 1)].mean()) for low, high in LAG_WINDOWS if low < n) if n > 1 else 0.0
-    return (unit_share, float(function[terms].mean()), float(number[terms].mean()), recurrence, regularity, lag_peak, distinct, float(han[terms].mean()), float(n))
+        if k > 1:
+            lag_peak = max(float(share[low - 1 : min(high, n - 1)].mean()) for low, high in LAG_WINDOWS if low < n)
+    return (unit_share, np.count_nonzero(function[terms]) / n, np.count_nonzero(number[terms]) / n, recurrence, regularity, lag_peak, distinct, han_share, float(n))
 
 
 def page_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
