@@ -108,7 +108,8 @@ def pack(
         )
 
     sharded = rows.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)))
-    packed = sharded.groupBy("shard").applyInArrow(run, f"k {kind}, piece_no int, container_id bigint, start bigint, size bigint")
+    # shards of a few kilobytes would be merged into few tasks by their size, though each costs a fraction of a second
+    packed = sharded.repartition(min(shards, 4096), "shard").groupBy("shard").applyInArrow(run, f"k {kind}, piece_no int, container_id bigint, start bigint, size bigint")
     return packed.withColumnRenamed("k", id_col)
 
 

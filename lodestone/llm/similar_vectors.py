@@ -64,9 +64,10 @@ def fit_centres(sample: np.ndarray, blocks: int, rounds: int = 3) -> np.ndarray:
     return centres
 
 
-def search_block(base: np.ndarray, base_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, chunk: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def search_block(base: np.ndarray, base_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query, neighbour, cosine) of at most ``k`` other vectors of the block for each query."""
     n = len(base)
+    chunk = max(16, min(256, 400_000 // max(n, 1)))  # bounds the counts and window entries held at once
     axes = np.random.default_rng(_SEED).standard_normal((base.shape[1], PROJECTIONS))
     order = np.argsort(base @ axes, axis=0, kind="stable")
     values = np.take_along_axis(base @ axes, order, axis=0)
