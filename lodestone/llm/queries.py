@@ -89,5 +89,19 @@ select case_id, business_id, point_id from ranked where r <= 5
 """
 
 
+_P1 = r"""
+with rec as (
+  select distinct 'review' kind, review_id id, text from reviews where review_id is not null and text is not null
+  union all
+  select distinct 'segment', segment_id, segment_text from review_segments where segment_id is not null and segment_text is not null),
+words as (select kind, id, md5(text) t, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from rec),
+runs as (select distinct kind, id, t, unnest([concat_ws(' ', w[i], w[i + 1], w[i + 2]) for i in range(1, len(w) - 1)]) s from words where len(w) >= 20),
+sizes as (select kind, id, t, count(*) n from runs group by all),
+shared as (select a.kind, a.id id_a, a.t ta, b.id id_b, b.t tb, count(*) k from runs a join runs b on a.kind = b.kind and a.s = b.s and a.id < b.id group by all)
+select distinct x.kind record_kind, id_a, id_b from shared x join sizes p on p.kind = x.kind and p.id = id_a and p.t = ta join sizes q on q.kind = x.kind and q.id = id_b and q.t = tb
+where 2 * k >= p.n + q.n - k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4}
+    return {"p1_found": _P1, "p4_found": _P4}
