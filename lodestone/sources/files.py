@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 BUSINESS = "business_id string, name string, address string, city string, state string, postal_code string, latitude double, longitude double, stars double, review_count bigint, is_open int, attributes string, categories string"
 REVIEW = "review_id string, user_id string, business_id string, stars double, useful bigint, funny bigint, cool bigint, text string, date string"
-USER = "user_id string, name string, yelping_since string"
+USER = "user_id string, name string"  # and the source's own column of the joining time
 
 
 def archive_members(path: str | Path, wanted: Sequence[str]) -> dict[str, int]:
@@ -77,6 +77,12 @@ def curated_reviews(raw: DataFrame, businesses: DataFrame) -> tuple[DataFrame, D
     return reject_by_first_reason(typed, rules)
 
 
+def curated_users(raw: DataFrame, users: DataFrame, since: str) -> DataFrame:
+    """(user_id, name, since) of the selected users only; ``since`` names the source's joining time, null where it can't be read."""
+    rows = raw.where(F.col("user_id").isNotNull()).join(users.select("user_id").distinct(), "user_id", "left_semi")
+    return rows.select("user_id", "name", F.try_to_timestamp(F.col(since)).cast("timestamp_ntz").alias("since"))
+
+
 def strict_cast(df: DataFrame, schema: str) -> DataFrame:
     """``df`` in the columns and types of ``schema`` (``not null`` allowed); a null in a required column fails the job."""
     out = []

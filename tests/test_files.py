@@ -26,6 +26,12 @@ def test_archive_and_json_sources(spark, tmp_path):
     assert [r.review_id for r in fine.collect()] == ["r1"] and {r.reason: r.n for r in wrong.collect()} == {"stars": 1, "date": 1}
 
 
+def test_only_selected_users_with_their_time(spark):
+    raw = spark.createDataFrame([("u1", "A", "2020-02-03 04:05:06"), ("u2", "B", "soon"), ("u3", "C", None), (None, "D", None)], "user_id string, name string, joined string")
+    got = X.curated_users(raw, spark.createDataFrame([("u1",), ("u2",), ("u2",)], "user_id string"), "joined").collect()
+    assert sorted((r.user_id, str(r.since)) for r in got) == [("u1", "2020-02-03 04:05:06"), ("u2", "None")]
+
+
 def test_strict_cast_and_reuse_by_hash(spark, tmp_path):
     df = spark.createDataFrame([("1",), (None,)], "a string")
     with pytest.raises(Exception, match="null in required column a"):
