@@ -9,7 +9,7 @@ from lodestone.functions import scalars as S
 from lodestone.operators import retrieval as R
 from lodestone.plans.base import BIZ, INTER, TASKS, businesses, interactions, tasks
 from lodestone.plans.knowledge import _TARGET, _targets
-from lodestone.plans.recommend import _CATEGORY, _FUSED, _LOCATION, _QUALITY, _QUALITY_ROUTE, _ROUTES, _category_route, _fused, _history, _location_route, _quality_route
+from lodestone.plans.recommend import _CATEGORY, _FUSED, _FUSED_500, _LOCATION, _QUALITY, _QUALITY_ROUTE, _ROUTES, PER_ROUTE, _category_route, _fused, _history, _location_route, _quality_route
 from lodestone.sources.tables import table
 
 c = F.col
@@ -133,7 +133,7 @@ def ranking_features(spark: SparkSession, folder: str) -> DataFrame:
     key = ["task_id", "business_id"]
     score = lambda df, n: df.select(*key, c("score").alias(n))
     n = interactions(spark, folder).groupBy("business_id").agg(F.count("*").alias("n"))
-    f = _fused(spark, folder, 20).select(*key, c("rank").alias("retrieval_rank")).join(_targets(spark, folder).select("task_id", "history_count", "target"), "task_id")
+    f = _fused(spark, folder, 20, 50).select(*key, c("rank").alias("retrieval_rank")).join(_targets(spark, folder).select("task_id", "history_count", "target"), "task_id")
     f = f.join(score(_quality_route(spark, folder, 50), "q"), key, "left").join(score(_category_route(spark, folder, 50), "x"), key, "left").join(score(_location_route(spark, folder, 50), "l"), key, "left").join(n, "business_id", "left")
     zero = F.lit(0.0)
     return f.select(*key, "retrieval_rank", F.coalesce("q", zero).alias("quality"), F.coalesce("x", zero).alias("category"), F.coalesce("l", F.lit(0.5)).alias("location"), c("l").isNull().alias("location_missing"), F.round(F.log1p("n"), 9).alias("log_reviews"), "history_count", (c("business_id") == c("target")).alias("label"))
@@ -155,7 +155,15 @@ def weighted_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""with {_ROUTES}, {_FUSED}, f as (select * from fused where rank <= 30), n as (select business_id, count(*) k from f group by 1)
 select count(*) n_rows, count(distinct business_id) n_businesses, (select count(*) from biz) n_catalogue, (select max(k) from n) most_seen, round((select quantile_cont(k::double, 0.95) from n), 9) p95_seen, count(distinct task_id) n_tasks from f""")
 def candidate_audit(spark: SparkSession, folder: str) -> DataFrame:
-    f = _fused(spark, folder, 30)
+    return _audit(spark, folder, _fused(spark, folder, 30, 50))
+
+
+@query(SQL["candidate_audit"].replace(_FUSED, _FUSED_500).replace("from fused where rank <= 30", f"from fused where rank <= {PER_ROUTE}"))
+def candidate_audit_500(spark: SparkSession, folder: str) -> DataFrame:
+    return _audit(spark, folder, _fused(spark, folder, PER_ROUTE))
+
+
+def _audit(spark: SparkSession, folder: str, f: DataFrame) -> DataFrame:
     per = f.groupBy("business_id").agg(F.count("*").alias("k"))
     seen = per.agg(F.sum("k").alias("n_rows"), F.count("*").alias("n_businesses"), F.max("k").alias("most_seen"), F.round(F.percentile(c("k").cast("double"), F.lit(0.95)), 9).alias("p95_seen"))
     return seen.crossJoin(businesses(spark, folder).agg(F.count("*").alias("n_catalogue"))).crossJoin(f.agg(F.countDistinct("task_id").alias("n_tasks")))

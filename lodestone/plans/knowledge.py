@@ -13,7 +13,7 @@ from lodestone.operators import text as T
 from lodestone.operators.learning import batch_score, linear, pairwise_logistic
 from lodestone.operators.vectors import cosine_top
 from lodestone.plans.base import BIZ, INTER, TASKS, businesses, interactions, tasks
-from lodestone.plans.recommend import _CATEGORY, _FUSED, _QUALITY, _QUALITY_ROUTE, _ROUTES, _fused, _history, _quality_route
+from lodestone.plans.recommend import _CATEGORY, _FUSED, _FUSED_500, _QUALITY, _QUALITY_ROUTE, _ROUTES, PER_ROUTE, _fused, _history, _quality_route
 from lodestone.sources.tables import table
 
 c = F.col
@@ -195,6 +195,7 @@ def grouped_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 
 _TARGET = "v as (select k.task_id, k.user_id, k.split, k.history_count, i.business_id target from tasks k join inter i on i.user_id = k.user_id and i.t = k.cutoff_time)"
 _RANKS = f"{_ROUTES}, {_FUSED}, {_TARGET}, tr as (select v.*, f.rank target_rank from v left join (select * from fused where rank <= 500) f on f.task_id = v.task_id and f.business_id = v.target)"
+_RANKS_500 = _RANKS.replace(_FUSED, _FUSED_500)
 _HR = """round(avg(case when target_rank <= 1 then 1.0 else 0.0 end), 9) hr_1, round(avg(case when target_rank <= 3 then 1.0 else 0.0 end), 9) hr_3, round(avg(case when target_rank <= 5 then 1.0 else 0.0 end), 9) hr_5,
  round(avg(coalesce(1.0::double / target_rank, 0)), 9) mrr, round(avg(case when target_rank <= 5 then 1 / log2(target_rank + 1) else 0 end), 9) ndcg_5"""
 
@@ -203,26 +204,53 @@ def _targets(spark: SparkSession, folder: str) -> DataFrame:
     return tasks(spark, folder).join(interactions(spark, folder).withColumnRenamed("t", "cutoff_time"), ["user_id", "cutoff_time"]).select("task_id", "user_id", "split", "history_count", c("business_id").alias("target"))
 
 
-def _ranks(spark: SparkSession, folder: str) -> DataFrame:
-    return M.target_ranks(_targets(spark, folder), _fused(spark, folder, 500), "task_id", "business_id")
+def _ranks(spark: SparkSession, folder: str, per_route: int = PER_ROUTE) -> DataFrame:
+    return M.target_ranks(_targets(spark, folder), _fused(spark, folder, 500, per_route), "task_id", "business_id")
 
 
 @query(f"with {_RANKS} select split, count(*) n, {_HR}, round(avg(case when target_rank <= 100 then 1.0 else 0.0 end), 9) recall_100 from tr group by 1")
 def hr_mrr_ndcg(spark: SparkSession, folder: str) -> DataFrame:
+    return _hr_by_split(_ranks(spark, folder, 50))
+
+
+@query(SQL["hr_mrr_ndcg"].replace(_RANKS, _RANKS_500))
+def hr_mrr_ndcg_500(spark: SparkSession, folder: str) -> DataFrame:
+    return _hr_by_split(_ranks(spark, folder))
+
+
+def _hr_by_split(ranks: DataFrame) -> DataFrame:
     aggregates = M.single_positive(c("target_rank")) | {"recall_100": F.round(F.avg(F.when(c("target_rank") <= 100, 1.0).otherwise(0.0)), 9)}
-    return _ranks(spark, folder).groupBy("split").agg(F.count("*").alias("n"), *(a.alias(n) for n, a in aggregates.items()))
+    return ranks.groupBy("split").agg(F.count("*").alias("n"), *(a.alias(n) for n, a in aggregates.items()))
 
 
 @query(f"with {_RANKS} select case when history_count < 3 then 'short' when history_count < 8 then 'middle' else 'long' end bucket, count(*) n, count(target_rank) n_retrieved, {_HR} from tr group by 1")
 def segment_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return _hr_by_history(_ranks(spark, folder, 50))
+
+
+@query(SQL["segment_metrics"].replace(_RANKS, _RANKS_500))
+def segment_metrics_500(spark: SparkSession, folder: str) -> DataFrame:
+    return _hr_by_history(_ranks(spark, folder))
+
+
+def _hr_by_history(ranks: DataFrame) -> DataFrame:
     bucket = F.when(c("history_count") < 3, "short").when(c("history_count") < 8, "middle").otherwise("long")
-    return _ranks(spark, folder).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count("target_rank").alias("n_retrieved"), *(a.alias(n) for n, a in M.single_positive(c("target_rank")).items()))
+    return ranks.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count("target_rank").alias("n_retrieved"), *(a.alias(n) for n, a in M.single_positive(c("target_rank")).items()))
 
 
 @query(f"""with {_RANKS}, q2 as (select v.task_id, q.rank qr from v left join (select * from qroute where rank <= 500) q on q.task_id = v.task_id and q.business_id = v.target)
 select case when target_rank < coalesce(qr, 501) then 'improved' when coalesce(target_rank, 501) > coalesce(qr, 501) then 'worsened' else 'unchanged' end movement, count(*) n from tr join q2 using (task_id) group by 1""")
 def rank_movement(spark: SparkSession, folder: str) -> DataFrame:
-    both = _ranks(spark, folder).join(M.target_ranks(_targets(spark, folder).select("task_id", "target"), _quality_route(spark, folder, 500), "task_id", "business_id").select("task_id", c("target_rank").alias("qr")), "task_id")
+    return _movement(spark, folder, _ranks(spark, folder, 50))
+
+
+@query(SQL["rank_movement"].replace(_RANKS, _RANKS_500))
+def rank_movement_500(spark: SparkSession, folder: str) -> DataFrame:
+    return _movement(spark, folder, _ranks(spark, folder))
+
+
+def _movement(spark: SparkSession, folder: str, ranks: DataFrame) -> DataFrame:
+    both = ranks.join(M.target_ranks(_targets(spark, folder).select("task_id", "target"), _quality_route(spark, folder, 500), "task_id", "business_id").select("task_id", c("target_rank").alias("qr")), "task_id")
     a, b = F.coalesce("target_rank", F.lit(501)), F.coalesce("qr", F.lit(501))
     return both.groupBy(F.when(a < b, "improved").when(a > b, "worsened").otherwise("unchanged").alias("movement")).agg(F.count("*").alias("n"))
 

@@ -111,19 +111,32 @@ def location_affinity_route(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ROUTES = f"{_QUALITY}, {_QUALITY_ROUTE}, {_CATEGORY}, {_LOCATION}"
-_FUSED = """shares as (select task_id, business_id, 1.0::double / (60 + rank) share from qroute where rank <= 50 union all select task_id, business_id, 1.0::double / (60 + rank) from croute where rank <= 50
- union all select task_id, business_id, 0.5::double / (60 + rank) from lroute where rank <= 50),
+#: Rows of each route that are fused, and kept of the fused list. The queries without a number in their name fuse 50 a route, as their SQL says.
+PER_ROUTE = 500
+
+
+def _fused_sql(per_route: int) -> str:
+    return f"""shares as (select task_id, business_id, 1.0::double / (60 + rank) share from qroute where rank <= {per_route} union all select task_id, business_id, 1.0::double / (60 + rank) from croute where rank <= {per_route}
+ union all select task_id, business_id, 0.5::double / (60 + rank) from lroute where rank <= {per_route}),
 fused as (select task_id, business_id, round(sum(share), 9) fusion_score, count(*) route_count, row_number() over (partition by task_id order by round(sum(share), 9) desc, business_id) rank from shares group by 1, 2)"""
 
 
-def _fused(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    routes = [(_quality_route(spark, folder, 50), 1.0), (_category_route(spark, folder, 50), 1.0), (_location_route(spark, folder, 50), 0.5)]
+_FUSED, _FUSED_500 = _fused_sql(50), _fused_sql(PER_ROUTE)
+
+
+def _fused(spark: SparkSession, folder: str, n: int, per_route: int = PER_ROUTE) -> DataFrame:
+    routes = [(_quality_route(spark, folder, per_route), 1.0), (_category_route(spark, folder, per_route), 1.0), (_location_route(spark, folder, per_route), 0.5)]
     return R.fuse(routes, "task_id", "business_id", n)
 
 
 @query(f"with {_ROUTES}, {_FUSED} select task_id, business_id, fusion_score, route_count, rank from fused where rank <= 30")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return _fused(spark, folder, 30)
+    return _fused(spark, folder, 30, 50)
+
+
+@query(f"with {_ROUTES}, {_FUSED_500} select task_id, business_id, fusion_score, route_count, rank from fused where rank <= {PER_ROUTE}")
+def rrf_fusion_500(spark: SparkSession, folder: str) -> DataFrame:
+    return _fused(spark, folder, PER_ROUTE)
 
 
 @query(f"""with {_ROUTES} select coalesce(q.task_id, x.task_id) task_id, coalesce(q.business_id, x.business_id) business_id, q.task_id is not null in_base, x.task_id is not null in_extra
@@ -133,6 +146,11 @@ def protected_union(spark: SparkSession, folder: str) -> DataFrame:
     return R.protected_union(_quality_route(spark, folder, 30), _category_route(spark, folder, 30), _history(spark, folder), "task_id", "business_id")
 
 
+@query(SQL["protected_union"].replace("rank <= 30", f"rank <= {PER_ROUTE}"))
+def protected_union_500(spark: SparkSession, folder: str) -> DataFrame:
+    return R.protected_union(_quality_route(spark, folder, PER_ROUTE), _category_route(spark, folder, PER_ROUTE), _history(spark, folder), "task_id", "business_id")
+
+
 _LATEST = """latest as (select user_id, business_id, max_by(stars, (t, review_id)) stars, max(t) t from inter group by 1, 2),
 rated as (select user_id, business_id, case when stars >= 4 then 'positive' else 'negative' end feedback, pow(0.5, (epoch_us((select max(t) from inter)) - epoch_us(t)) / 86400000000.0::double / 365) w from latest where stars >= 4 or stars <= 2),
 pop as (select feedback, business_id, sum(w) p from rated group by 1, 2),
@@ -174,6 +192,15 @@ ranq as (select x.task_id, x.business_id, 'random' negative_kind, row_number() o
  and not exists (select 1 from h where h.task_id = x.task_id and h.business_id = x.business_id) and not exists (select 1 from s where s.task_id = x.task_id and s.business_id = x.business_id))
 select task_id, business_id, negative_kind, o selection_order from h union all select * from s union all select * from ranq where o <= 5""")
 def hard_similar_random_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return _negatives(spark, folder, _fused(spark, folder, 50, 50), 50, 200)
+
+
+@query(SQL["hard_similar_random_negatives"].replace(_FUSED, _FUSED_500).replace("from fused f where rank <= 50", f"from fused f where rank <= {PER_ROUTE}").replace("from croute x where rank <= 50", f"from croute x where rank <= {PER_ROUTE}").replace("from qroute x where rank <= 200", f"from qroute x where rank <= {PER_ROUTE}"))
+def hard_similar_random_negatives_500(spark: SparkSession, folder: str) -> DataFrame:
+    return _negatives(spark, folder, _fused(spark, folder, PER_ROUTE), PER_ROUTE, PER_ROUTE)
+
+
+def _negatives(spark: SparkSession, folder: str, fused: DataFrame, n_similar: int, n_random: int) -> DataFrame:
     target = tasks(spark, folder).join(interactions(spark, folder).withColumnRenamed("t", "cutoff_time"), ["user_id", "cutoff_time"]).select("task_id", "business_id")
     key = ["task_id", "business_id"]
 
@@ -186,9 +213,9 @@ def hard_similar_random_negatives(spark: SparkSession, folder: str) -> DataFrame
         ranked = df.withColumn("selection_order", F.row_number().over(Window.partitionBy("task_id").orderBy(*order)))
         return ranked.where(c("selection_order") <= n).select(*key, F.lit(kind).alias("negative_kind"), "selection_order")
 
-    hard = first(free(_fused(spark, folder, 50), target), "hard", 10, "rank")
-    similar = first(free(_category_route(spark, folder, 50), target, hard), "similar", 5, c("score").desc(), "business_id")
-    random = first(free(_quality_route(spark, folder, 200), target, hard, similar), "random", 5, S.hash_order("negative", c("task_id"), c("business_id")))
+    hard = first(free(fused, target), "hard", 10, "rank")
+    similar = first(free(_category_route(spark, folder, n_similar), target, hard), "similar", 5, c("score").desc(), "business_id")
+    random = first(free(_quality_route(spark, folder, n_random), target, hard, similar), "random", 5, S.hash_order("negative", c("task_id"), c("business_id")))
     return hard.unionByName(similar).unionByName(random)
 
 
