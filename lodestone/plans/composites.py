@@ -135,10 +135,30 @@ def ranking_features(spark: SparkSession, folder: str) -> DataFrame:
     n = interactions(spark, folder).groupBy("business_id").agg(F.count("*").alias("n"))
     f = _fused(spark, folder, 20, 50).select(*key, c("rank").alias("retrieval_rank")).join(_targets(spark, folder).select("task_id", "history_count", "target"), "task_id")
     f = f.join(score(_quality_route(spark, folder, 50), "q"), key, "left").join(score(_category_route(spark, folder, 50), "x"), key, "left").join(score(_location_route(spark, folder, 50), "l"), key, "left").join(n, "business_id", "left")
-    zero = F.lit(0.0)
+    return _feature_row(f)
+
+
+def _feature_row(f: DataFrame) -> DataFrame:
+    key, zero = ["task_id", "business_id"], F.lit(0.0)
     return f.select(*key, "retrieval_rank", F.coalesce("q", zero).alias("quality"), F.coalesce("x", zero).alias("category"), F.coalesce("l", F.lit(0.5)).alias("location"), c("l").isNull().alias("location_missing"), F.round(F.log1p("n"), 9).alias("log_reviews"), "history_count", (c("business_id") == c("target")).alias("label"))
 
 
+@query(f"""with {_ROUTES}, {_FUSED_500}, {_TARGET}, f as (select * from fused where rank <= {PER_ROUTE}), q as (select k.task_id, quality.business_id, quality score from tasks k join quality using (cutoff_time))
+select f.task_id, f.business_id, f.rank retrieval_rank, coalesce(q.score, 0) quality, coalesce(x.score, 0) category, coalesce(l.score, 0.5) location, l.km is null location_missing, round(ln(1 + n), 9) log_reviews, v.history_count, f.business_id = v.target as label
+from f join v using (task_id) left join q using (task_id, business_id) left join croute x using (task_id, business_id) left join lroute l using (task_id, business_id)
+left join (select business_id, count(*) n from inter group by 1) using (business_id)""")
+def ranking_features_500(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of every fused candidate from the uncut scores; a default stands only where the score is unknown."""
+    key = ["task_id", "business_id"]
+    events, items, history = interactions(spark, folder), businesses(spark, folder), _history(spark, folder)
+    quality = tasks(spark, folder).select("task_id", "cutoff_time").join(R.quality_as_of(events, tasks(spark, folder), items), "cutoff_time").select(*key, c("quality").alias("q"))
+    category = R.category_affinity(history, items).select(*key, F.round("category_score", 9).alias("x"))
+    location = R.location_affinity(history, items).select(*key, F.round("location_score", 9).alias("l"))
+    n = events.groupBy("business_id").agg(F.count("*").alias("n"))
+    f = _fused(spark, folder, PER_ROUTE).select(*key, c("rank").alias("retrieval_rank")).join(_targets(spark, folder).select("task_id", "history_count", "target"), "task_id")
+    return _feature_row(f.join(quality, key, "left").join(category, key, "left").join(location, key, "left").join(n, "business_id", "left"))
+
+
 @query(f"""with {_QUALITY}, {_QUALITY_ROUTE}, {_CATEGORY}, {_LOCATION}, b as (select q.task_id, q.business_id, q.score q, coalesce(x.score, 0) x, coalesce(l.score, 0.5) l from (select * from qroute where rank <= 100) q left join croute x using (task_id, business_id) left join lroute l using (task_id, business_id)),
 s as (select task_id, business_id, round(0.4::double * x / 0.7::double + 0.2::double * q / 0.7::double + 0.1::double * l / 0.7::double, 9) score from b) select task_id, business_id, score, row_number() over (partition by task_id order by score desc, business_id) rank from s qualify rank <= 10""")
 def weighted_hybrid(spark: SparkSession, folder: str) -> DataFrame:
