@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
@@ -31,6 +33,10 @@ def query(sql: str | None = None):  # noqa: ANN201
     return register
 
 
+_LATIN = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+#: The SQL of text.unicode_words.
+_WORDS = r"""list_concat(regexp_extract_all(regexp_replace(lower(text), '[\x{3400}-\x{9fff}]+', ' ', 'g'), '[\p{L}\p{M}\p{N}]+(?:''[\p{L}\p{M}\p{N}]+)?'),
+ flatten([[substring(r, i, 2) for i in range(1, greatest(2, len(r)))] for r in regexp_extract_all(lower(text), '[\x{3400}-\x{9fff}]+')]))"""
 _TERMS = ("parking", "terrace", "lamb", "noodles", "kids")
 _F = ", ".join(f"len([x for x in w if x = '{t}'])::double f{i}" for i, t in enumerate(_TERMS))
 _DF = ", ".join(f"count(*) filter (f{i} > 0) df{i}" for i in range(len(_TERMS)))
@@ -43,7 +49,16 @@ sc as (select k.business_id, doc_id, round({_S}, 9) score from k join st using (
 r as (select *, row_number() over (partition by business_id order by score desc, doc_id) rank from sc where score > 0)
 select business_id, doc_id, score, rank from r where rank <= 5""")
 def bm25_top_per_business(spark: SparkSession, folder: str) -> DataFrame:
-    scored = T.bm25(table(spark, folder, "documents", "business_id", "doc_id", "text"), "business_id", "doc_id", "text", _TERMS)
+    return _bm25_top(spark, folder, T.latin_words)
+
+
+@query(SQL["bm25_top_per_business"].replace(_LATIN, _WORDS))
+def bm25_top_per_business_unicode(spark: SparkSession, folder: str) -> DataFrame:
+    return _bm25_top(spark, folder, T.unicode_words)
+
+
+def _bm25_top(spark: SparkSession, folder: str, words: Callable[[Column], Column]) -> DataFrame:
+    scored = T.bm25(table(spark, folder, "documents", "business_id", "doc_id", "text"), "business_id", "doc_id", "text", _TERMS, words=words)
     return R.route_top(scored, "business_id", "doc_id", "score", 5, keep_zero=False).select("business_id", "doc_id", "score", "rank")
 
 
@@ -58,8 +73,17 @@ unit as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) we
 nrm as (select business_id, sqrt(sum(cw * cw)) nrm from cen group by 1)
 select u.doc_id, round(sum(u.weight * cw) / any_value(nrm), 6) cosine from unit u join b using (doc_id) join cen on cen.business_id = b.business_id and cen.term = u.term join nrm on nrm.business_id = b.business_id group by 1""")
 def tfidf_cosine_to_business(spark: SparkSession, folder: str) -> DataFrame:
+    return _tfidf_cosine(spark, folder, T.latin_words)
+
+
+@query(SQL["tfidf_cosine_to_business"].replace(_LATIN, _WORDS))
+def tfidf_cosine_to_business_unicode(spark: SparkSession, folder: str) -> DataFrame:
+    return _tfidf_cosine(spark, folder, T.unicode_words)
+
+
+def _tfidf_cosine(spark: SparkSession, folder: str, words: Callable[[Column], Column]) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "business_id")
-    unit = T.tfidf(docs, "doc_id", "text")
+    unit = T.tfidf(docs, "doc_id", "text", words=words)
     placed = unit.join(docs.where("business_id is not null").select("doc_id", "business_id"), "doc_id")
     centre = placed.groupBy("business_id", "term").agg(F.sum("weight").alias("cw"))
     norm = centre.groupBy("business_id").agg(F.sqrt(F.sum(c("cw") * c("cw"))).alias("norm"))
@@ -71,6 +95,11 @@ def top_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return T.top_terms(T.tfidf(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id", 5).select("doc_id", "term", "rank")
 
 
+@query(SQL["top_keywords"].replace(_LATIN, _WORDS))
+def top_keywords_unicode(spark: SparkSession, folder: str) -> DataFrame:
+    return T.top_terms(T.tfidf(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", words=T.unicode_words), "doc_id", 5).select("doc_id", "term", "rank")
+
+
 @query()
 def review_passages(spark: SparkSession, folder: str) -> DataFrame:
     reviews = table(spark, folder, "reviews", "review_id", "text").where("text is not null").groupBy("review_id").agg(F.min("text").alias("text"))
