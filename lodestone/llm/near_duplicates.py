@@ -50,15 +50,16 @@ class NearDuplicates:
 
     Only records of one kind are compared. Null texts and texts under ``min_words`` words have no links; a null id is
     left out. Repeated rows of one id count once; an id that appears with several texts is linked by any of them, never
-    to itself. An empty table gives empty results. Columns besides those three are not read.
+    to itself. With ``short_copies`` ids that share a text of at least one word are copies whatever its length. An empty table gives empty results. Columns besides those three are not read.
 
     A pair at similarity s becomes a candidate with probability 1 - (1 - s^rows)^bands at least: with 48 bands of 4
     rows 0.955 at 0.5, 0.998 at 0.6, above 0.9999 from 0.7. Every reported link is exact.
     """
 
-    def __init__(self, records: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, bands: int = 48, rows: int = 4):
+    def __init__(self, records: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int = 20, bands: int = 48, rows: int = 4, short_copies: bool = False):
         self.records = records.select(F.col("kind").cast("string"), F.col("id").cast("string"), F.col("text").cast("string")).where("kind is not null and id is not null and text is not null")
         self.keyed = self.records.withColumn("key", text_key(F.col("kind"), F.col("text")))
+        self.short_copies = short_copies
         self.threshold, self.shingle, self.min_words, self.bands, self.rows = threshold, shingle, min_words, bands, rows
         # 64 bits agree by (1 + s) / 2; three standard deviations below are let through
         agree = (1 + threshold) / 2
@@ -147,7 +148,7 @@ class NearDuplicates:
         copies = self.keyed.select("key", F.xxhash64("id").alias("h")).groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("key")
         wanted = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("key")).union(copies).distinct())
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-        return self.keyed.join(wanted, "key", "left_semi").select("key", "kind", "id", words_of(F.col("text")).alias("words")).where(F.size("words") >= max(self.min_words, self.shingle))
+        return self.keyed.join(wanted, "key", "left_semi").select("key", "kind", "id", words_of(F.col("text")).alias("words")).where(F.size("words") >= (1 if self.short_copies else max(self.min_words, self.shingle)))
 
     def _resolve(self) -> None:
         pairs = checkpointed(self.candidates())

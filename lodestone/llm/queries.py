@@ -29,7 +29,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
-    groups = NearDuplicates(_review_records(spark, folder), threshold=0.8, shingle=5).groups()
+    groups = NearDuplicates(_review_records(spark, folder), threshold=0.8, shingle=5, min_words=5, short_copies=True).groups()
     return groups.withColumnRenamed("kind", "record_kind").withColumnRenamed("id", "record_id")
 
 
