@@ -233,16 +233,16 @@ def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, which: np
     return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n)]
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], at: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Larger batches, so that more texts share one replay."""
+def _text_batches(batches: Iterator[pa.RecordBatch], at: int, rows: int, most_bytes: int = 1 << 28) -> Iterator[pa.RecordBatch]:
+    """Larger batches, so that more texts share one replay; one is closed at ``rows`` rows or ``most_bytes`` bytes."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(map(len, held)) >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        if sum(map(len, held)) >= rows or sum(b.nbytes for b in held) >= most_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()  # several where a column is beyond 2 GB
             held = []
-    if held and (joined := pa.Table.from_batches(held).combine_chunks().to_batches()):
-        yield joined[0]
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def encode_texts(
