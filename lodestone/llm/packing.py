@@ -114,8 +114,8 @@ def pack(
 
 
 def pack_texts(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, max_items: int = 128, vocabulary: str = DEFAULT_VOCABULARY, folder: str | None = None
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, max_items: int = 128, vocabulary: str = DEFAULT_VOCABULARY, folder: str | None = None, max_cost: float | None = None
 ) -> DataFrame:
     """:func:`pack` of texts by their length in tokens; a null or empty text has length 0."""
     sized = token_counts(df, id_col, text_col, vocabulary, folder)
-    return pack(sized, id_col, "n_tokens", capacity, max_items, n_rows=df.select(id_col).count())
+    return pack(sized, id_col, "n_tokens", capacity, max_items, max_cost, n_rows=df.select(id_col).count())
