@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
@@ -128,58 +130,116 @@ def layered_order(*tiers: tuple[Column, bool]) -> list[Column]:
 def bounded_reorder(df: DataFrame, task: str, item: str, base_rank: str, score: str, up: int = 5, down: int = 3) -> DataFrame:
     """(task, item, base_rank, new_rank): by score, but no item moves more than ``up`` places up or ``down`` down.
 
-    Places are filled one by one: items that would sink too deep go first, else the best item that may already stand
-    there. Sequential in a task's short list, so a task is one Pandas group.
+    Places are filled from the first: the best of the items that must not sink deeper, if there are any, else the best of
+    those that may stand there, else the best of all. Ties go to the lesser item. A task's list is one Pandas group; each
+    item enters and leaves two heaps once.
     """
     kind = dict(df.dtypes)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        left = {r[0]: (int(r[1]), float(r[2])) for r in group[[item, base_rank, score]].itertuples(index=False)}
-        out = []
-        for place in range(1, len(left) + 1):
-            must = [i for i, (r, _) in left.items() if r + down <= place]
-            may = must or [i for i, (r, _) in left.items() if r - up <= place] or list(left)
-            best = min(may, key=lambda i: (-left[i][1], i))
-            out.append((group[task].iloc[0], best, left.pop(best)[0], place))
-        return pd.DataFrame(out, columns=["task", "item", "base_rank", "new_rank"])
+        waiting = sorted(zip(group[base_rank].astype(int), -group[score].astype(float), group[item]))
+        admitted: list[tuple] = []  # may stand at the place
+        due: list[tuple] = []  # would sink too deep behind it
+        placed: dict = {}
+        seen = [0, 0]
+        for place in range(1, len(waiting) + 1):
+            for heap, reach, i in ((admitted, place + up, 0), (due, place - down, 1)):
+                while seen[i] < len(waiting) and waiting[seen[i]][0] <= reach:
+                    heapq.heappush(heap, waiting[seen[i]][1:])
+                    seen[i] += 1
+                while heap and heap[0][1] in placed:
+                    heapq.heappop(heap)
+            if not due and not admitted:
+                admitted = [x[1:] for x in waiting if x[2] not in placed]
+                heapq.heapify(admitted)
+                seen[0] = len(waiting)
+            placed[(due or admitted)[0][1]] = place
+        base = [x[0] for x in waiting]
+        items = [x[2] for x in waiting]
+        return pd.DataFrame({"task": group[task].iloc[0], "item": items, "base_rank": base, "new_rank": [placed[i] for i in items]})
 
     result = df.select(task, item, base_rank, score).groupBy(task).applyInPandas(run, f"task {kind[task]}, item {kind[item]}, base_rank int, new_rank int")
     return result.withColumnRenamed("task", task).withColumnRenamed("item", item)
 
 
-def protect_top(df: DataFrame, task: str, rank: str, base_rank: str, score: str, k: int = 3, margin: float = 0.2) -> DataFrame:
-    """``df`` with final_rank: an item of the base top ``k`` falls out of the top only to one that beats its score by ``margin``.
+def protect_top(df: DataFrame, task: str, item: str, rank: str, base_rank: str, score: str, k: int = 3, margin: float = 0.2, evidence: str | None = None) -> DataFrame:
+    """``df`` with final_rank: items of the base top ``k`` that fell out of the top take their place back, in base order.
 
-    Decided per task from the weakest entrant and the strongest displaced item; then the order is taken over again.
+    Each of them meets the weakest newcomer still in the top (by score, then item) and changes places with it, unless the
+    newcomer's score is at least ``margin`` higher and, where ``evidence`` names a column, that is true for the newcomer.
+    At most ``k`` items of a task are on either side, so the walk is a fixed number of column steps in one window.
     """
     w = Window.partitionBy(task)
     enters, leaves = (c(rank) <= k) & (c(base_rank) > k), (c(rank) > k) & (c(base_rank) <= k)
-    marked = df.withColumn("_in", F.row_number().over(w.orderBy(F.when(enters, 0).otherwise(1), c(score)))).withColumn("_out", F.row_number().over(w.orderBy(F.when(leaves, 0).otherwise(1), c(score).desc())))
-    pair = lambda side, n: F.max(F.when(side & (c(n) == 1), c(score))).over(w)
-    swap = (pair(leaves, "_out") + margin) > pair(enters, "_in")
-    moved = F.when(swap & leaves & (c("_out") == 1), F.lit(float(k))).when(swap & enters & (c("_in") == 1), F.lit(k + 0.5)).otherwise(c(rank).cast("double"))
-    return marked.withColumn("final_rank", F.row_number().over(w.orderBy(F.coalesce(moved, c(rank).cast("double")), rank))).drop("_in", "_out")
-
-
-def greedy_balanced(df: DataFrame, group: str, item: str, labels: str, n: int) -> DataFrame:
-    """(group, item, order): ``n`` items a group, each time the one whose rarest label was taken least so far, ties by item.
-
-    Sequential by nature; a group is one Pandas group and must be a bounded catalogue.
+    backed = F.coalesce(c(evidence), F.lit(False)) if evidence else F.lit(True)
+    weak = F.array_sort(F.collect_list(F.when(enters, F.struct(c(score).alias("s"), c(item).alias("i"), c(rank).alias("r"), backed.alias("e")))).over(w))
+    lost = F.array_sort(F.collect_list(F.when(leaves, F.struct(c(base_rank).alias("b"), c(score).alias("s"), c(rank).alias("r"), c(item).alias("i")))).over(w))
+    rows = df.withColumns({"_weak": weak, "_lost": lost, "_at": F.lit(0), "_final": c(rank)})
+    for step in range(k):
+        mine, other = F.get("_lost", F.lit(step)), F.get("_weak", c("_at"))
+        stays = (other["s"] - mine["s"] >= margin) & other["e"]
+        swap = F.coalesce(mine.isNotNull() & other.isNotNull() & ~stays, F.lit(False))
+        rows = rows.withColumn("_swap", swap)
+        rows = rows.withColumn("_final", F.when(c("_swap") & (c(item) == mine["i"]), other["r"]).when(c("_swap") & (c(item) == other["i"]), mine["r"]).otherwise(c("_final")))
+        rows = rows.withColumn("_at", c("_at") + c("_swap").cast("int"))
+    return rows.withColumn("final_rank", c("_final")).drop("_weak", "_lost", "_at", "_final", "_swap")
+
+
+def greedy_balanced(df: DataFrame, group: str, item: str, labels: str, n: int, quality: str | None = None) -> DataFrame:
+    """(group, item, order, reason): ``n`` items a group that cover its labels evenly.
+
+    Labels are taken from the rarest: one without a chosen item yet gets its best item (``first``), even beyond ``n``. Then
+    the label with the least chosen items for the square root of its size gets its best free item (``balance``), and where
+    no label has one, the best free items follow (``rest``). Best is by ``quality`` falling, then by item; ties of labels
+    by name. Sequential by nature: a group is one Pandas group and must be a bounded catalogue.
     """
     kind = dict(df.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left = {i: tuple(x) for i, x in zip(rows[item], rows[labels]) if x is not None and len(x)}
-        taken: dict[str, int] = {}
-        out: list[tuple] = []
-        while left and len(out) < n:
-            best = min(left, key=lambda i: (min(taken.get(x, 0) for x in left[i]), sum(taken.get(x, 0) for x in left[i]), i))
-            for x in left.pop(best):
-                taken[x] = taken.get(x, 0) + 1
-            out.append((rows[group].iloc[0], best, len(out) + 1))
-        return pd.DataFrame(out, columns=["g", "item", "order"])
-
-    result = df.select(group, item, labels).groupBy(group).applyInPandas(run, f"g {kind[group]}, item {kind[item]}, order int")
+    rows = df.select(c(group).alias("g"), c(item).alias("i"), c(labels).alias("l"), (c(quality).cast("double") if quality else F.lit(0.0)).alias("q"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("i").sort_values(["q", "i"], ascending=[False, True], na_position="last")
+        of = {i: sorted({x for x in ([] if l is None else l) if x is not None}) for i, l in zip(part["i"], part["l"])}
+        members: dict[str, list] = {}
+        for i, own in of.items():
+            for label in own:
+                members.setdefault(label, []).append(i)
+        free = {label: iter(m) for label, m in members.items()}
+        head = {label: next(f) for label, f in free.items()}
+        chosen: dict = {}
+        covered = dict.fromkeys(members, 0)
+
+        def best(label: str):  # noqa: ANN202
+            while head[label] is not None and head[label] in chosen:
+                head[label] = next(free[label], None)
+            return head[label]
+
+        def choose(i, reason: str) -> None:  # noqa: ANN001
+            chosen[i] = reason
+            for label in of[i]:
+                covered[label] += 1
+
+        for label in sorted(members, key=lambda x: (len(members[x]), x)):
+            if not covered[label]:
+                choose(best(label), "first")
+        queue = [(covered[x] / math.sqrt(len(members[x])), x) for x in members]
+        heapq.heapify(queue)
+        while queue and len(chosen) < n:
+            load, label = queue[0]
+            now = covered[label] / math.sqrt(len(members[label]))
+            if best(label) is None:
+                heapq.heappop(queue)
+            elif now > load:  # a label's load only grows, so an old entry is put back in its place
+                heapq.heapreplace(queue, (now, label))
+            else:
+                choose(best(label), "balance")
+        for i in of:
+            if len(chosen) >= n:
+                break
+            if i not in chosen:
+                choose(i, "rest")
+        return pd.DataFrame({"g": part["g"].iloc[0], "item": list(chosen), "order": range(1, len(chosen) + 1), "reason": list(chosen.values())})
+
+    result = rows.groupBy("g").applyInPandas(run, f"g {kind[group]}, item {kind[item]}, order int, reason string")
     return result.withColumnRenamed("g", group).withColumnRenamed("item", item)
 
 

@@ -242,13 +242,25 @@ def bounded_reorder(spark: SparkSession, folder: str) -> DataFrame:
     return R.bounded_reorder(fused, "task_id", "business_id", "rank", "semantic")
 
 
-@query()
+_MIX = "round(fusion_score * 20 + ('0x' || substr(sha256('mix:' || task_id || ':' || business_id), 1, 8))::bigint / 4294967296.0::double, 9)"
+
+
+@query(f"""with {_ROUTES}, {_FUSED_500}, m as (select task_id, business_id, rank base_rank, route_count >= 2 e, {_MIX} s from fused where rank <= 30),
+r as (select *, row_number() over (partition by task_id order by s desc, business_id) new_rank from m),
+x as (select *, row_number() over (partition by task_id order by s, business_id) k from r where new_rank <= 3 and base_rank > 3), l as (select *, row_number() over (partition by task_id order by base_rank) k from r where new_rank > 3 and base_rank <= 3),
+a1 as (select l.task_id, l.k, l.business_id mine, l.new_rank mr, x.business_id other, x.new_rank xr, not (x.s - l.s >= 0.2 and x.e) swap from l join x on l.task_id = x.task_id and l.k = 1 and x.k = 1),
+a2 as (select l.task_id, l.k, l.business_id mine, l.new_rank mr, x.business_id other, x.new_rank xr, not (x.s - l.s >= 0.2 and x.e) swap, a1.swap::int + 1 j from l join a1 using (task_id) join x on l.task_id = x.task_id and l.k = 2 and x.k = a1.swap::int + 1),
+a3 as (select l.task_id, l.k, l.business_id mine, l.new_rank mr, x.business_id other, x.new_rank xr, not (x.s - l.s >= 0.2 and x.e) swap from l join a2 using (task_id) join x on l.task_id = x.task_id and l.k = 3 and x.k = a2.j + a2.swap::int),
+w as (select task_id, mine, mr, other, xr from a1 where swap union all select task_id, mine, mr, other, xr from a2 where swap union all select task_id, mine, mr, other, xr from a3 where swap),
+moved as (select task_id, mine business_id, xr final_rank from w union all select task_id, other, mr from w)
+select task_id, business_id, base_rank, new_rank, coalesce(final_rank, new_rank) final_rank from r left join moved using (task_id, business_id)""")
 def top_protected_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    fused = _fused(spark, folder, 30).withColumn("mixed", c("fusion_score") * 20 + F.conv(F.substring(S.hash_order("mix", c("task_id"), c("business_id")), 1, 8), 16, 10).cast("double") / 2**32)
+    mixed = F.round(c("fusion_score") * 20 + F.conv(F.substring(S.hash_order("mix", c("task_id"), c("business_id")), 1, 8), 16, 10).cast("double") / 2**32, 9)
+    fused = _fused(spark, folder, 30).withColumn("mixed", mixed).withColumn("backed", c("route_count") >= 2)
     ranked = fused.withColumn("new_rank", F.row_number().over(Window.partitionBy("task_id").orderBy(c("mixed").desc(), "business_id")))
-    return R.protect_top(ranked, "task_id", "new_rank", "rank", "mixed").select("task_id", "business_id", c("rank").alias("base_rank"), "new_rank", "final_rank")
+    return R.protect_top(ranked, "task_id", "business_id", "new_rank", "rank", "mixed", evidence="backed").select("task_id", "business_id", c("rank").alias("base_rank"), "new_rank", "final_rank")
 
 
 @query()
 def balanced_business_selection(spark: SparkSession, folder: str) -> DataFrame:
-    return R.greedy_balanced(businesses(spark, folder).where("city is not null"), "city", "business_id", "categories", 10)
+    return R.greedy_balanced(businesses(spark, folder).where("city is not null"), "city", "business_id", "categories", 10, "rating")

@@ -9,7 +9,7 @@ from lodestone.operators.state import fold_sessions, latest_per_pair, preference
 from lodestone.plans.base import BIZ, INTER, businesses, interactions
 from lodestone.sources.tables import table
 from lodestone.sources.workspace import scratch_path
-from lodestone.streaming.latest import drain, latest_ratings, windowed_counts
+from lodestone.streaming.latest import current_ratings, drain, last_update, latest_ratings, upsert_batches, windowed_counts
 
 c = F.col
 
@@ -34,17 +34,8 @@ def stream_windowed_counts(spark: SparkSession, folder: str) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     source = spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*")
     out = scratch_path(spark, "windowed")
-    return _complete(spark, source, out)
-
-
-def _complete(spark: SparkSession, source: DataFrame, out: str) -> DataFrame:
-    counts = windowed_counts(source, "ts", ["event_type"], "7 days")
-
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select(c("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+    upsert_batches(windowed_counts(source, "ts", ["event_type"], "7 days"), out)
+    return last_update(spark.read.parquet(out), ["window_start", "event_type"]).select(c("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 def stream_latest_ratings(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,7 +44,7 @@ def stream_latest_ratings(spark: SparkSession, folder: str) -> DataFrame:
     events = source.where("user_id is not null and business_id is not null and stars is not null and review_time is not null").select("user_id", "business_id", "review_id", "stars", c("review_time").alias("t"))
     out = scratch_path(spark, "latest")
     drain(latest_ratings(events), out)
-    return spark.read.parquet(out).where("retracted is null").select("user_id", "business_id", "stars")
+    return current_ratings(spark.read.parquet(out))
 
 
 QUERIES = {"latest_per_pair": latest_per_pair_query, "session_fold": session_fold, "preference_conflicts": preference_conflicts, "stream_windowed_counts": stream_windowed_counts, "stream_latest_ratings": stream_latest_ratings}

@@ -73,4 +73,30 @@ def test_streamed_state_equals_the_batch(spark, tmp_path):
     source = spark.readStream.schema("user_id string, business_id string, review_id string, stars double, t timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
     drain(latest_ratings(source), str(tmp_path / "out"), checkpoint=str(tmp_path / "state"))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert ("u", "b", 2.0) in {(r.user_id, r.business_id, r.stars) for r in got} and ("v", "b", 4.0, None) in {tuple(r) for r in got}
+    assert ("u", "b", 2.0) in {(r.user_id, r.business_id, r.stars) for r in got} and ("v", "b", 4.0, None) in {(r.user_id, r.business_id, r.stars, r.retracted) for r in got}
+
+
+def test_latest_ratings_over_two_batches(spark, tmp_path):
+    from lodestone.streaming.latest import current_ratings, drain, latest_ratings
+
+    schema = "user_id string, business_id string, review_id string, stars double, t timestamp_ntz"
+    batches = [[("u", "b", "r1", 2.0, 5), ("u", "c", "r2", 3.0, 1)], [("u", "b", "r3", 4.0, 9), ("u", "c", "r0", 1.0, 1), ("v", "b", "r4", 5.0, 0)], [("u", "b", "r5", 1.0, 7)]]
+    for i, rows in enumerate(batches):
+        made = spark.createDataFrame([(*r[:4], f"2024-01-{r[4] + 1:02d}") for r in rows], "user_id string, business_id string, review_id string, stars double, d string")
+        made.selectExpr("user_id", "business_id", "review_id", "stars", "cast(d as timestamp_ntz) t").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / str(i)))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    drain(latest_ratings(source), str(tmp_path / "out"))
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    assert {tuple(r) for r in current_ratings(changes).collect()} == {("u", "b", 4.0), ("u", "c", 3.0), ("v", "b", 5.0)}
+    assert changes.where("business_id = 'b' and user_id = 'u' and retracted is not null").count() >= 1
+
+
+def test_windowed_counts_keep_the_last_update(spark, tmp_path):
+    from lodestone.streaming.latest import last_update, upsert_batches, windowed_counts
+
+    for i, days in enumerate([(1, 1, 2), (2, 20), (21,), (1, 22)]):  # the last 1 is behind the watermark
+        spark.createDataFrame([(f"2024-01-{d:02d}",) for d in days], "d string").selectExpr("cast(d as timestamp) ts", "'x' k").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    source = spark.readStream.schema("ts timestamp, k string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    upsert_batches(windowed_counts(source, "ts", ["k"]), str(tmp_path / "out"))
+    got = last_update(spark.read.parquet(str(tmp_path / "out")), ["window_start", "k"]).selectExpr("day(window_start) d", "n").collect()
+    assert {(r.d, r.n) for r in got} == {(1, 2), (2, 2), (20, 1), (21, 1), (22, 1)}

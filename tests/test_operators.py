@@ -59,20 +59,82 @@ def test_hash_fold_is_the_whole_hash(spark):
     assert got == {u: int(hashlib.sha256(f"s:{u}".encode()).hexdigest(), 16) % 5 + 1 for (u,) in rows}
 
 
+def brute_passages(text, overlap, max_chars=900):
+    """Passages by trying every prefix: sentences are found by looking at each place between two characters."""
+    closing = ".!?" if overlap else ".!?。！？"
+    ends = []
+    for p in range(1, len(text) + 1):
+        run = p
+        while run > 0 and text[run - 1].isspace():
+            run -= 1
+        after_mark = 0 < run < p and text[run - 1] in closing and (p == len(text) or not text[p].isspace())
+        in_marked_run = 0 < run < p and text[run - 1] in closing
+        line_end = text[p - 1] == "\n" and (p == len(text) or text[p] != "\n") and not in_marked_run
+        wide = overlap and text[p - 1] in "。！？"
+        if p == len(text) or after_mark or line_end or wide:
+            ends.append(p)
+    pieces, begin = [], 0
+    for end in ends:
+        while end - begin > max_chars:
+            cut = next((i for i in range(begin + max_chars, begin, -1) if text[i] == " " or overlap and text[i] == "\t"), begin + max_chars)
+            pieces.append((begin, cut))
+            begin = cut
+        if not overlap or text[begin:end].strip():
+            pieces.append((begin, end))
+        begin = end
+    out, i = [], 0
+    while i < len(pieces):
+        j = i
+        while j + 1 < len(pieces) and pieces[j + 1][1] - pieces[i][0] <= max_chars:
+            j += 1
+        if text[pieces[i][0] : pieces[j][1]].strip():
+            out.append((pieces[i][0], pieces[j][1]))
+        if j + 1 == len(pieces):
+            break
+        i = j if overlap and j > i else j + 1
+    return out
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_chunks_equal_a_search_of_every_place(overlap):
+    rnd = random.Random(3)
+    for _ in range(60):
+        text = "".join(rnd.choice(["word ", "longerword ", "x. ", "y! \n", "。", "？ ", "\n\n", "\t", "z?\t", "q" * rnd.randrange(1, 400), " "]) for _ in range(rnd.randrange(0, 160)))
+        assert T.chunks(text, overlap=overlap) == brute_passages(text, overlap), repr(text)
+
+
 def test_passages_lie_in_the_text():
     rnd = random.Random(0)
     for overlap in (False, True):
         text = " ".join("".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 12))) + rnd.choice(["", "", ".", "!", "\n"]) for _ in range(900)) + "x" * 1200
-        spans = T.segment(text, overlap=overlap)
-        assert 0 < len(spans) <= 8 and all(0 <= a < b <= len(text) and b - a <= 900 and text[a:b] == text[a:b].strip() for a, b in spans)
-    assert T.segment("   ") == [] and T.segment("ok") == [(0, 2)]
+        spans, more = T.passages(text, overlap)
+        assert (len(spans) <= 8) is not overlap and more is not overlap and all(0 <= a < b <= len(text) and b - a <= 900 and text[a:b] == text[a:b].strip() for _, a, b in spans)
+    assert T.passages("   ") == ([], False) and T.passages("ok") == ([(0, 0, 2)], False)
 
 
 def test_aspects_flip_on_negation_and_mix():
-    lexicon = {"service": (("helpful",), ("rude",)), "noise": (("calm",), ("loud",))}
-    text = "The staff was not helpful, but the room was calm. Rude and helpful waiter."
-    got = T.aspect_mentions(text, lexicon)
-    assert [(a, s, text[i:j]) for a, s, i, j in got] == [("service", "negative", "The staff was not helpful"), ("noise", "positive", "the room was calm"), ("service", "mixed", "Rude and helpful waiter")]
+    read = T.AspectReader({"service": (("helpful",), ("rude",)), "noise": (("calm",), ("loud",))})
+    text = "The staff was not helpful, but the room was calm. Rude and helpful waiter. Not once did the very helpful Dr. Loud speak"
+    got = [(a, s, p, text[i:j]) for a, s, p, i, j in read(text)]
+    assert got == [("service", "negative", 0.72, "The staff was not helpful"), ("noise", "positive", 0.85, "the room was calm"), ("service", "mixed", 0.60, "Rude and helpful waiter"), ("service", "positive", 0.85, "Not once did the very helpful Dr. Loud speak"), ("noise", "negative", 0.85, "Not once did the very helpful Dr. Loud speak")]
+    assert read("") == [] and T.AspectReader({})("helpful") == []
+
+
+def test_protection_walks_every_displaced_item(spark):
+    # base 1 2 3 all displaced: d meets a (0.6 - 0.5 < 0.2, swapped), e meets b (enough, stays), f meets b (0.9 - 0.8 < 0.2, swapped)
+    rows = [("t", "d", 1, 4, 0.5, True), ("t", "e", 2, 6, 0.1, True), ("t", "f", 3, 5, 0.8, True), ("t", "a", 4, 3, 0.6, True), ("t", "b", 5, 2, 0.9, True), ("t", "g", 6, 1, 0.95, True)]
+    df = spark.createDataFrame(rows, "task string, item string, base int, new int, score double, ok boolean")
+    got = {r.item: r.final_rank for r in R.protect_top(df, "task", "item", "new", "base", "score", evidence="ok").collect()}
+    assert got == {"d": 3, "a": 4, "e": 6, "b": 5, "f": 2, "g": 1}
+    doubted = {r.item: r.final_rank for r in R.protect_top(df.withColumn("ok", F.lit(None).cast("boolean")), "task", "item", "new", "base", "score", evidence="ok").collect()}
+    assert doubted == {"d": 3, "a": 4, "e": 2, "b": 6, "f": 1, "g": 5}
+
+
+def test_balanced_selection_covers_rare_labels_first(spark):
+    rows = [("c", f"i{k}", ["common"] + (["rare"] if k == 7 else []) + (["mid"] if k in (2, 5) else []), float(k)) for k in range(9)] + [("c", "none", None, 99.0), ("c", "i0", ["common"], 0.0)]
+    got = [(r.i, r.reason) for r in R.greedy_balanced(spark.createDataFrame(rows, "g string, i string, l array<string>, q double"), "g", "i", "l", 5, "q").orderBy("order").collect()]
+    assert got == [("i7", "first"), ("i5", "first"), ("i8", "balance"), ("i2", "balance"), ("i6", "balance")]
+    assert len(R.greedy_balanced(spark.createDataFrame(rows, "g string, i string, l array<string>, q double"), "g", "i", "l", 20, "q").collect()) == 10
 
 
 def test_metrics_with_missing_ranks_and_status(spark):
