@@ -71,7 +71,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return stuffed_pages(table(spark, folder, "documents", "doc_id", "text"))
+    return stuffed_pages(table(spark, folder, "documents", "doc_id", "text", "lang"), lang_col="lang")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

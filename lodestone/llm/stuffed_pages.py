@@ -1,23 +1,24 @@
 """Pages of repeated keywords, links or tags, told from prose by how their terms recur.
 
-A page is measured in one pass without a shuffle:
-
-* ``unit_share``: part of its visible characters in links, addresses, hashtags and key:value tags,
-* ``function_share``: part of its other words that are function words, which prose of any language needs,
-* ``number_share``: part that are numbers, high in menus, price lists and opening hours,
-* ``recurrence``: part of its content words seen again within a gap of ``GAP`` words,
-* ``regularity``: 1 / (1 + coefficient of variation of those gaps), weighted by term: 0.5 for chance, more for a beat,
-* ``lag_peak``: the largest mean positional autocorrelation of content words over the windows of ``LAG_WINDOWS``,
-* ``distinct_share``: different content words / content words.
-
-The verdict is a rule on these measures (:func:`stuffed`), the same for every language and size of corpus.
+Function words come from the corpus: those that a fifth of the documents of a language hold. A page is then a sequence of
+words in which every link, hashtag and key:value tag is one marker, so a list of links is a run of one term, and its
+content terms are the words and markers that are neither function words nor numbers.
+
+* ``recurrence``: share of the page's places that hold a content term which came up at most GAP places before. It is the
+  sum of the positional autocorrelation over LAG_WINDOWS: of the content terms' gaps, the share in each window.
+* ``lag_peak``: the largest of these windows, a beat.
+* ``regularity``: share of places that hold content terms which come back at all but equal gaps beyond GAP.
+* ``function_share``, ``number_share``, ``unit_share`` (markers), ``distinct_share`` of content terms, ``n_words``.
+
+Prose names things again too, but far between, and its places are mostly function words. The verdict is a rule on these
+measures (:func:`stuffed`), the same for every language and size of corpus.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,102 +26,108 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = 40
-LAG_WINDOWS = ((1, 1), (2, 2), (3, 4), (5, 8), (9, 16), (17, 32))
-MEASURES = ("unit_share", "function_share", "number_share", "recurrence", "regularity", "lag_peak", "distinct_share", "han_share", "n_words")
-
-FUNCTION_WORDS = frozenset(
-    """
-    the a an and or of to in is was for with at on it that this i we my our your you he she they them his her its from by
-    as are were be been not but have has had so me out which up into about after before near until when where while there
-    then than like just all both each if no nor only own same too very can will would could do does did off over under
-    again here what who how why because between said told
-    el la los las un una de del al y o en que es era por para con su sus se lo me mi no muy más pero como ya hasta desde
-    cuando donde está estaba nos le unos unas ni sin sobre
-    le les des du et ou qui est était pour par avec sur dans au aux ce cette ces son sa ses il elle on nous vous ne pas
-    mais plus très jusqu d l j c s n
-    der die das ein eine einen einem einer und oder zu zum zur im am auf mit von vom für ist war waren wurde es wir ich er
-    sie sich nicht auch aber nach bei als wie trotzdem den dem möchte kam
-    """.split()
-)
-FUNCTION_HAN = frozenset("的了在是我们你他她它不也都很就还和与及有这那到要会去来说把被让给吧吗呢啊得地着过对从但而或如果因为所以等才")
-_FUNCTION = FUNCTION_WORDS | FUNCTION_HAN
-
-#: Links in markup, addresses (also with a disguised dot), hashtags, key:value tags.
-_TAG_PATTERN = r"#[^\s#]+|(?<![^\W\d_])[^\W\d_]++:[\w-]*\w"
-_UNIT = re.compile(
-    r"<a\s[^>]{0,500}>[^<]{0,300}</a>|\[[^\]\n]{0,200}\]\([^)\s]{0,500}\)|(?:https?://|www\.)\S+"
-    r"|[\w-]{1,80}\s?(?:\(\.\)|\[\.\]|\[dot\]|\(dot\)|\s\.\s|\.)\s?[a-z]{2,12}/\S+|" + _TAG_PATTERN,
-    re.IGNORECASE,
-)
-_TAG = re.compile(_TAG_PATTERN, re.IGNORECASE)
+#: Lags of the positional autocorrelation, up to GAP.
+LAG_WINDOWS = ((1, 1), (2, 2), (3, 4), (5, 8), (9, 16), (17, 40))
+MEASURES = ("recurrence", "lag_peak", "regularity", "function_share", "number_share", "unit_share", "distinct_share", "n_words")
+#: Share of a language's documents that hold a function word, by the lower end of its interval (two standard errors).
+FUNCTION_DF = 0.2
+#: A word that makes more of a page than this is none of its function words, whatever it is elsewhere.
+FUNCTION_TOP = 0.3
+
+_LINK, _TAG, _KEY = "\ue000", "\ue001", "\ue002"
+_MARKUP = re.compile(r"<a\s[^<>]*>[^<>]*</a\s*>|\[[^\]\n]*\]\([^()\s]*\)|(?:https?://|www\.)\S+")
+#: Addresses without a scheme, the dot disguised or not.
+_HOST = re.compile(r"[\w-]+(?:(?:\s?(?:\(\.\)|\[\.\]|\[dot\]|\(dot\))\s?|\s\.\s|\.)[\w-]+)*?(?:\s?(?:\(\.\)|\[\.\]|\[dot\]|\(dot\))\s?|\s\.\s|\.)[a-z]{2,12}(?:/\S*|(?![\w.]))")
+_HOST_SIGN = re.compile(r"\.[a-z]|[(\[](?:\.|dot)[)\]]|\w \. [a-z]")
+_HASH = re.compile(r"#[^\s#]+")
+_PAIR = re.compile(r"(?<![^\W\d_])[^\W\d_]++:[\w-]*\w")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")  # what _WORD finds in such a text
-_WORD = re.compile(r"[㐀-䶿一-鿿]|[^\W_㐀-䶿一-鿿]+")
-
-
-def measure(text: str | None) -> tuple[float, ...]:
+_WORD = re.compile(r"[㐀-䶿一-鿿\ue000-\ue002]|[^\W_㐀-䶿一-鿿]+")
+_JVM_WORD = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]|[\p{L}\p{N}&&[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]]+"
+
+
+def page_words(text: str) -> list[str]:
+    """The words of a text in lower case, Chinese by character, with one marker for each link, hashtag and key:value tag."""
+    low = text.lower()
+    if not low.isascii():
+        low = low.translate({0xE000: " ", 0xE001: " ", 0xE002: " "})
+    if "http" in low or "www." in low or "<a" in low or "](" in low:
+        low = _MARKUP.sub(f" {_LINK} ", low)
+    if _HOST_SIGN.search(low):
+        low = _HOST.sub(f" {_LINK} ", low)
+    if "#" in low:
+        low = _HASH.sub(f" {_TAG} ", low)
+    if ":" in low:
+        low = _PAIR.sub(f" {_KEY} ", low)
+    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
+
+
+def measure(text: str | None, function_words: Collection[str]) -> tuple[float, ...]:
     """The measures of one text, in the order of MEASURES; all 0 for a null, empty or blank one."""
-    visible = len("".join(text.split())) if text else 0
-    if not visible:
-        return (0.0,) * len(MEASURES)
-    # an address has a slash and markup an angle or a bracket; without them the short pattern finds the same units
-    pattern = _UNIT if "/" in text or "www." in text.lower() or "](" in text else _TAG
-    units = pattern.findall(text) if pattern is _UNIT or ":" in text or "#" in text else []
-    unit_share = sum(len("".join(u.split())) for u in units) / visible
-    plain_text = (pattern.sub(" ", text) if units else text).lower()
-    words = (_ASCII_WORD if plain_text.isascii() else _WORD).findall(plain_text)
+    words = page_words(text) if text else []
     n = len(words)
     if not n:
-        return (unit_share, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        return (0.0,) * len(MEASURES)
     code: defaultdict[str, int] = defaultdict()
     code.default_factory = code.__len__  # the next free number
     terms = np.fromiter(map(code.__getitem__, words), np.int64, n)
-    function = np.fromiter(map(_FUNCTION.__contains__, code), bool, len(code))
-    number = np.fromiter(map(str.isdigit, code), bool, len(code))
-    han_share = 0.0 if text.isascii() else float(np.fromiter(("㐀" <= w[0] <= "鿿" for w in code), bool, len(code))[terms].mean())
+    m = len(code)
+    often = np.bincount(terms, minlength=m)
+    function = np.fromiter(map(function_words.__contains__, code), bool, m) & (often <= max(3, FUNCTION_TOP * n))
+    number = np.fromiter(map(str.isdigit, code), bool, m)
+    marker = np.fromiter(("\ue000" <= w <= "\ue002" for w in code), bool, m)
     plain = ~(function | number)
-    content = plain[terms]
-    n_content = int(content.sum())
-    recurrence = regularity = lag_peak = distinct = 0.0
-    if n_content:
-        distinct = float(plain.sum()) / n_content
-        places = np.flatnonzero(content)
-        order = places[np.argsort(terms[places], kind="stable")]
-        again = terms[order[1:]] == terms[order[:-1]]
-        gaps, owner = (order[1:] - order[:-1])[again], terms[order[1:]][again]
-        recurrence = float((gaps <= GAP).sum()) / n_content
-        if len(gaps):
-            count = np.bincount(owner, minlength=len(code))
-            mean = np.bincount(owner, gaps, len(code)) / np.maximum(count, 1)
-            square = np.bincount(owner, gaps.astype(float) ** 2, len(code)) / np.maximum(count, 1)
-            spread = np.sqrt(np.maximum(square - mean**2, 0)) / np.maximum(mean, 1)
-            often = count >= 2
-            if often.any():
-                regularity = float((count[often] / (1 + spread[often])).sum() / count[often].sum())
-        longest, counts, k = LAG_WINDOWS[-1][1], np.zeros(LAG_WINDOWS[-1][1] + 1), 1
-        while len(order) > k:  # distances from each occurrence to the k-th after it
-            near = (order[k:] - order[:-k])[terms[order[k:]] == terms[order[:-k]]]
-            near = near[near <= longest]
-            if not len(near):
-                break
-            counts += np.bincount(near, minlength=longest + 1)
-            k += 1
-        share = counts[1:] / np.maximum(n - np.arange(1, longest + 1), 1)
-        if k > 1:
-            lag_peak = max(float(share[low - 1 : min(high, n - 1)].mean()) for low, high in LAG_WINDOWS if low < n)
-    return (unit_share, np.count_nonzero(function[terms]) / n, np.count_nonzero(number[terms]) / n, recurrence, regularity, lag_peak, distinct, han_share, float(n))
-
-
-def page_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    shares = (float(often[function].sum()) / n, float(often[number].sum()) / n, float(often[marker].sum()) / n)
+    n_content = int(often[plain].sum())
+    if not n_content:
+        return (0.0, 0.0, 0.0, *shares, 0.0, float(n))
+    places = np.flatnonzero(plain[terms])
+    order = places[np.argsort(terms[places], kind="stable")]
+    held = terms[order]
+    again = held[1:] == held[:-1]
+    gaps, owner = (order[1:] - order[:-1])[again], held[1:][again]
+    profile = np.bincount(gaps[gaps <= GAP], minlength=GAP + 1)
+    windows = [profile[low : high + 1].sum() / n for low, high in LAG_WINDOWS]
+    regular = 0.0
+    far = gaps > GAP
+    if far.any():
+        count = np.bincount(owner, minlength=m)
+        mean = np.bincount(owner, gaps, m) / np.maximum(count, 1)
+        spread = np.sqrt(np.maximum(np.bincount(owner, gaps.astype(float) ** 2, m) / np.maximum(count, 1) - mean**2, 0))
+        beat = (count >= 4) & (spread <= 0.1 * mean)
+        regular = float((far & beat[owner]).sum()) / n
+    return (float(sum(windows)), float(max(windows)), regular, *shares, float(plain.sum()) / n_content, float(n))
+
+
+def function_words(df: DataFrame, text_col: str = "text", lang_col: str | None = None, share: float = FUNCTION_DF) -> DataFrame:
+    """(word) that at least ``share`` of the documents of some language hold, by the lower end of two standard errors.
+
+    Documents are counted whole and all of them, per value of ``lang_col`` (null is a value; without it there is one
+    language). Counts combine before the shuffle. A document has a bounded number of words above the share on average, so
+    the result has at most (mean number of different words of a document) / ``share`` rows a language.
+    """
+    lang = F.coalesce(F.lower(F.trim(F.col(lang_col).cast("string"))), F.lit("")) if lang_col else F.lit("")
+    docs = df.select(lang.alias("l"), F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(_JVM_WORD), F.lit(0))).alias("w")).where("size(w) > 0")
+    # the number of documents is the count of an empty word that each of them holds
+    counted = docs.select("l", F.explode(F.array_append("w", F.lit(""))).alias("word")).groupBy("l", "word").agg(F.count("*").alias("k"))
+    total = counted.where("word = ''").select("l", F.col("k").alias("n"))  # a row a language
+    known = counted.where("word <> '' and not word rlike '^[0-9]+$'").join(F.broadcast(total), "l")
+    return known.where(F.col("k") / F.col("n") - 2 * F.sqrt(share * (1 - share) / F.col("n")) >= share).select("word").distinct()
+
+
+def page_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, words: Collection[str] | None = None) -> DataFrame:
     """(id_col, the MEASURES as double) of every row; a null, empty or blank text measures 0 throughout.
 
-    Repeated rows come out as often as they come in, an empty table gives an empty result, and other columns, of
-    whatever name, are left out first.
+    ``words`` are the function words; without them they are taken from the corpus by :func:`function_words`, which is one
+    more pass over it. Repeated rows come out as often as they come in, an empty table gives an empty result, and other
+    columns, of whatever name, are left out first.
     """
+    known = frozenset(r["word"] for r in function_words(df, text_col, lang_col).collect()) if words is None else frozenset(words)  # a few hundred, see there
     source = df.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([measure(t) for t in batch.column(1).to_pylist()], float).reshape(-1, len(MEASURES))
+            values = np.array([measure(t, known) for t in batch.column(1).to_pylist()], float).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in values.T.copy())], ["k", *MEASURES])
 
     kind = source.schema["k"].dataType.simpleString()
@@ -128,18 +135,16 @@ def page_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def stuffed() -> Column:
-    """The rule over the measures: mostly links and tags, or words that recur as no prose does, or bare lists."""
+    """The rule over the measures: a fifth of the page is content that recurs, or a list of terms without any function word.
+
+    Two recurrences are free, as a short text has them by chance.
+    """
     c = F.col
-    few_numbers = c("number_share") < 0.08
-    listed = c("unit_share") >= 0.5
-    # prose keeps a third of function words (a tenth in Chinese); menus and profiles are told by their numbers
-    bare = c("function_share") < F.when(c("han_share") > 0.5, 0.08).otherwise(0.2)
-    recurring = (c("n_words") >= 8) & few_numbers & bare & ((c("recurrence") > 0.3) | (c("lag_peak") > 0.04))
-    beating = (c("n_words") >= 8) & few_numbers & (c("function_share") < F.when(c("han_share") > 0.5, 0.08).otherwise(0.32)) & (c("recurrence") > 0.6) & ((c("regularity") > 0.45) | (c("lag_peak") > 0.1))
+    recurring = (c("n_words") >= 8) & (c("recurrence") + c("regularity") - 2 / c("n_words") >= 0.2)
     bare_list = (c("n_words") >= 15) & (c("number_share") < 0.03) & (c("function_share") < 0.03)
-    return listed | recurring | beating | bare_list
+    return recurring | bare_list
 
 
-def stuffed_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stuffed_pages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None, words: Collection[str] | None = None) -> DataFrame:
     """(id_col) of the pages :func:`stuffed` flags, each id once; null, empty and blank texts are never flagged."""
-    return page_measures(df, id_col, text_col).where(stuffed()).select(id_col).distinct()
+    return page_measures(df, id_col, text_col, lang_col, words).where(stuffed()).select(id_col).distinct()

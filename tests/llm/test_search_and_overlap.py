@@ -12,7 +12,7 @@ import lodestone.llm.split_overlap as so
 import lodestone.llm.top_items as ti
 from lodestone.llm import queries as llm
 from lodestone.llm.split_overlap import split_overlap
-from lodestone.llm.stuffed_pages import measure, stuffed_pages
+from lodestone.llm.stuffed_pages import function_words, measure, stuffed_pages
 from lodestone.llm.top_items import cluster, read_top, top_items
 
 
@@ -141,28 +141,44 @@ def test_no_overlap_of_empty_sides(spark):
 
 
 PROSE = "We came on a Sunday and the waiter was kind to us, but the soup that they brought was cold and we had to wait for the bill. "
+COMMON = ("we", "came", "on", "a", "and", "the", "was", "to", "us", "but", "that", "they", "had", "for", "了", "次", "来", "一", "直", "稳", "定", "这", "的", "有", "点", "凉", "不", "过", "服", "务", "员", "很", "耐", "心", "我", "们", "等", "久")
 
 
 def test_pages_of_each_kind(spark):
+    names = [f"word{i}" for i in range(7000)]
     rows = [
         (1, "lamb pie " * 40), (2, " ".join(f"https://a{i}.test/x{i}" for i in range(30))), (3, " ".join(f"#tag{i}" for i in range(30))), (4, " | ".join(f"SKU:soup-{i:05d}" for i in range(30))),
         (5, "Welcome!\n" + ", ".join(f"{d} {m} {p}" for d in ("cod stew", "date pie") for m in ("cheap", "best", "delivery", "coupon") for p in ("Oslo", "Rome", "Lima"))),
-        (6, "优惠券火锅外卖，附近火锅团购 优惠券外卖 " * 12), (10, PROSE * 3), (11, PROSE + "#soup #lamb"), (12, "Dinner menu\n" + "\n".join(f"Soup {i} .... ${i}.50" for i in range(12))),
-        (13, "".join(f"See https://a{i}.test/x : {PROSE}" for i in range(4))), (14, "第27次来了，豆腐锅一直稳定，这次的饼有点凉，不过服务员很耐心，我们等了很久。"), (20, None), (21, ""), (22, " \n\t "), (23, PROSE * 3000), (24, "ok"),
+        (6, "优惠券火锅外卖，附近火锅团购 优惠券外卖 " * 12), (7, "the the the the the and and and and and " * 9), (8, " ".join(f"item{i} {' '.join(names[i * 60 : i * 60 + 50])} the and was" for i in range(9)) * 6),
+        (10, PROSE * 2 + "A friend of mine paid and left early."), (11, PROSE + "#soup #lamb"), (12, "Dinner menu\n" + "\n".join(f"Soup{i} of {names[i]} .... ${i}.50" for i in range(12))),
+        (13, "".join(f"See https://a{i}.test/x{i} : {PROSE.replace('soup', names[i]).replace('waiter', names[i + 50]).replace('bill', names[i + 99])}" for i in range(3))), (14, "第27次来了，豆腐锅一直稳定，这次的饼有点凉，不过服务员很耐心，我们等了很久。"), (20, None), (21, ""), (22, " \n\t "), (23, " ".join(f"the {a} was {b} and we had to wait for the {d}" for a, b, d in zip(names, names[2000:], names[4000:]))), (24, "ok"),
     ]
     df = spark.createDataFrame(rows + rows[:2], "doc_id bigint, text string").withColumn("k", F.lit("clash")).withColumn("recurrence", F.lit(1))
-    assert sorted(r.doc_id for r in stuffed_pages(df).collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r.doc_id for r in stuffed_pages(df, words=COMMON).collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
     assert stuffed_pages(df.limit(0)).count() == 0
 
 
 def test_measures_of_a_beat():
-    unit, function, number, recurrence, regularity, lag, distinct, han, n = measure("lamb pie " * 20)
-    assert (unit, function, number, han, n) == (0, 0, 0, 0, 40) and recurrence == 38 / 40 and regularity == 1.0 and lag == 1.0 and distinct == 2 / 40
-    assert measure(None) == measure("") == measure(" \n ") == (0.0,) * 9
-
-
-def test_pages_agree_with_the_labels(spark):
-    folder = "/root/testdata/sf0.1"
+    recurrence, peak, regularity, function, number, unit, distinct, n = measure("lamb pie " * 20, ())
+    assert (recurrence, peak, regularity, function, number, unit, distinct, n) == (38 / 40, 38 / 40, 0, 0, 0, 0, 2 / 40, 40)
+    far = measure(" ".join(f"w{i % 60}" for i in range(600)), ())
+    assert far[0] == far[1] == 0 and far[2] == 540 / 600  # a period of 60 words is beyond every window, but regular
+    links = measure("see https://a.test/x www.b.test <a href='q'>soup</a> [d](e) eats.test f(.)test/g #tag k:v 12", ("see",))
+    assert links[3:6] == (1 / 10, 1 / 10, 8 / 10)
+    assert measure(None, ()) == measure("", ()) == measure(" \n ", ()) == (0.0,) * 8
+
+
+def test_function_words_are_those_of_a_language(spark):
+    rows = [("The soup was good and Ann came", "en"), ("the lamb was cold and Bob left", " EN")] * 30 + [("die Suppe war gut", "de")] * 12 + [(None, "en"), ("", "de"), ("la sopa", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    assert {r.word for r in function_words(df, "text", "lang").collect()} == {"the", "soup", "was", "good", "and", "ann", "came", "lamb", "cold", "bob", "left", "die", "suppe", "war", "gut", "la", "sopa"} - {"la", "sopa"}
+    assert {r.word for r in function_words(df, "text", share=0.6).collect()} == {"the", "was", "and"}
+    assert function_words(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_pages_agree_with_the_labels(spark, folder):
+    folder = f"/root/testdata/{folder}"
     flagged = {r.doc_id for r in llm.p9_found(spark, folder).collect()}
     votes = {}
     for r in spark.read.parquet(f"{folder}/page_labels.parquet").where("page_label <> 'unsure'").collect():
