@@ -43,6 +43,7 @@ _HASH = re.compile(r"#[^\s#]+")
 _PAIR = re.compile(r"(?<![^\W\d_])[^\W\d_]++:[\w-]*\w")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")  # what _WORD finds in such a text
 _WORD = re.compile(r"[㐀-䶿一-鿿\ue000-\ue002]|[^\W_㐀-䶿一-鿿]+")
+_JVM_HAN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 _JVM_WORD = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]|[\p{L}\p{N}&&[^\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]]+"
 
 
@@ -107,11 +108,13 @@ def function_words(df: DataFrame, text_col: str = "text", lang_col: str | None =
     the result has at most (mean number of different words of a document) / ``share`` rows a language.
     """
     lang = F.coalesce(F.lower(F.trim(F.col(lang_col).cast("string"))), F.lit("")) if lang_col else F.lit("")
-    docs = df.select(lang.alias("l"), F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(_JVM_WORD), F.lit(0))).alias("w")).where("size(w) > 0")
-    # the number of documents is the count of an empty word that each of them holds
-    counted = docs.select("l", F.explode(F.array_append("w", F.lit(""))).alias("word")).groupBy("l", "word").agg(F.count("*").alias("k"))
-    total = counted.where("word = ''").select("l", F.col("k").alias("n"))  # a row a language
-    known = counted.where("word <> '' and not word rlike '^[0-9]+$'").join(F.broadcast(total), "l")
+    low = F.lower(F.col(text_col).cast("string"))
+    # without a Chinese character the short pattern finds the same words
+    found = F.when(low.rlike(_JVM_HAN), F.regexp_extract_all(low, F.lit(_JVM_WORD), F.lit(0))).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    docs = df.where(F.trim(F.col(text_col)) != "").select(lang.alias("l"), found.alias("w"))
+    counted = docs.select("l", F.explode(F.array_distinct("w")).alias("word")).groupBy("l", "word").agg(F.count("*").alias("k"))
+    total = df.where(F.trim(F.col(text_col)) != "").groupBy(lang.alias("l")).agg(F.count("*").alias("n"))  # a row a language
+    known = counted.where("not word rlike '^[0-9]+$'").join(F.broadcast(total), "l")
     return known.where(F.col("k") / F.col("n") - 2 * F.sqrt(share * (1 - share) / F.col("n")) >= share).select("word").distinct()
 
 
