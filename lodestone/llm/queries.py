@@ -33,11 +33,10 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return groups.withColumnRenamed("kind", "record_kind").withColumnRenamed("id", "record_id")
 
 
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+def p4_found(spark: SparkSession, folder: str, tally: tuple = ()) -> DataFrame:
     hits = table(spark, folder, "segment_hits", "case_id", "point_id", "score").where("score is not null and not isnan(score)")
-    best = hits.groupBy("case_id", "point_id").agg(F.max("score").alias("score"))
     owners = table(spark, folder, "review_segments", "point_id", "business_id").where("business_id is not null").groupBy("point_id").agg(F.min("business_id").alias("business_id"))
-    return top_items(best.join(owners, "point_id"), ["case_id", "business_id"], "point_id", "score", 5).select("case_id", "business_id", "point_id")
+    return top_items(hits.join(owners, "point_id"), ["case_id", "business_id"], "point_id", "score", 5, tally).select("case_id", "business_id", "point_id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,6 @@ import random
 import unicodedata
 
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,20 +33,40 @@ def test_top_items_with_ties_repeats_nulls_and_a_hot_group(spark):
     assert top_items(df.limit(0), ["g", "h"], "item", "score", 5).count() == 0
 
 
+def counters(spark):
+    return spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+
 def test_row_groups_below_the_nth_score_are_not_read(spark, monkeypatch):
-    monkeypatch.setattr(ti, "ROW_GROUP_BYTES", 2048)
+    monkeypatch.setattr(ti, "ROW_GROUP_ROWS", 512)
     df = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), F.col("id").alias("item"), F.rand(1).alias("score"))
-    path = cluster(df, ["g"], "item", "score")
-    files = [f.removeprefix("file://").removeprefix("file:") for f in spark.read.parquet(path).inputFiles()]
-    groups = sum(pq.ParquetFile(f).metadata.num_row_groups for f in files)
-    read = read_top(spark, path, 5).where("grp like '%hot%'").count()
-    assert groups > len(files) and read <= 5 * len(files)
-    got = top_items(df, ["g"], "item", "score", 5)
+    notes = cluster(df, ["g"], "item", "score")
+    assert notes.agg(F.sum("n_rows")).first()[0] == 60_000
+    read = read_top(notes, "grp string, item bigint, score double, g0 string", 5).where("grp like '%hot%'").count()
+    files = notes.select("file").distinct().count()
+    assert notes.count() > files and read <= 5 * files
+    skipped = counters(spark)
+    got = top_items(df, ["g"], "item", "score", 5, skipped)
     expected = [r.item for r in df.where("g = 'hot'").orderBy(F.desc("score"), "item").limit(5).collect()]
     assert [r.item for r in got.where("g = 'hot'").orderBy("rank").collect()] == expected
     assert got.count() == 20_000 + 5
 
 
+def test_row_groups_of_many_groups_are_skipped(spark, monkeypatch):
+    monkeypatch.setattr(ti, "ROW_GROUP_ROWS", 256)
+    df = spark.range(40_000).select((F.col("id") % 300).cast("string").alias("g"), F.col("id").alias("item"), F.round(F.rand(2), 3).alias("score"))
+    skipped = counters(spark)
+    rows = [(r.g, None, r.item, r.score) for r in df.collect()]
+    got = {(r.g, None, r.item, r["rank"]) for r in top_items(df, ["g"], "item", "score", 5, skipped).collect()}
+    assert got == best(rows, 5) and skipped[0].value > 20
+
+
+def test_p4_found_skips_row_groups(spark):
+    skipped = counters(spark)
+    assert llm.p4_found(spark, "/root/testdata/sf0.1", skipped).count() > 0
+    assert skipped[0].value > 0
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "point_id bigint, vector array<float>, id string, cells int")
 
