@@ -19,9 +19,16 @@ def distance_decay(km: Column, scale_km: float) -> Column:
     return F.coalesce(F.exp(-km / scale_km), F.lit(0.5))
 
 
+def micros(time: Column) -> Column:
+    """Microseconds of a zone-less time since 1970-01-01, the same in every session zone and monotone in all of them."""
+    since = time.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    return ((part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
+
+
 def age_days(event: Column, reference: Column) -> Column:
     """Days from ``event`` to ``reference`` with microseconds kept."""
-    return (F.unix_micros(reference.cast("timestamp")) - F.unix_micros(event.cast("timestamp"))) / 86_400e6
+    return (micros(reference) - micros(event)) / 86_400e6
 
 
 def half_life_weight(days: Column, half_life: float) -> Column:

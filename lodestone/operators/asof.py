@@ -3,9 +3,10 @@
 A version is available from the later of its validity and its recording. Among the versions available at a time the one
 with the latest validity counts, then the latest recording, then the greatest id; so an entity's current state is a
 running maximum over availability. Entities are hashed into buckets; a bucket's events meet its state timeline in an
-embedded DuckDB ASOF LEFT JOIN. A bucket with too many rows (one entity may hold a third of them) is cut into time
-slices at its own quantiles, and the state that holds at the start of a slice is carried into it as one row an entity,
-so neither events nor versions of a hot entity ever gather in one task.
+embedded DuckDB ASOF LEFT JOIN. An entity of more rows than a task should have (one may hold a third of them) stands apart
+from the buckets and is cut into time slices at its own quantiles, as many as its own size asks for, and the state that
+holds at the start of a slice is carried into it as one row. So neither events nor versions of a hot entity ever gather in
+one task, and no other entity is touched by it.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import micros
+from lodestone.sources.workspace import checkpointed
+
 #: Rows (events and versions) of one bucket or slice.
 TASK_ROWS = 200_000
-MAX_SLICES = 1_000
+#: Quantiles of a hot entity's times, from which its cuts are taken; beyond CUTS * TASK_ROWS rows its slices grow.
+CUTS = 999
 
 _ASOF = """
 with timeline as (
@@ -48,39 +53,42 @@ def as_known(events: DataFrame, versions: DataFrame) -> DataFrame:
     null entity, id, validity or recording never count. Repeated events come out once, repeated versions have no
     effect; empty tables on either side are allowed.
     """
-    c = F.col
-    e = events.select(c("event_id").cast("string"), c("entity").cast("string"), c("t").cast("timestamp_ntz")).distinct()
+    c, spark = F.col, events.sparkSession
+    e = checkpointed(events.select(c("event_id").cast("string"), c("entity").cast("string"), c("t").cast("timestamp_ntz")).distinct())
     v = versions.select(c("id").cast("string"), c("entity").cast("string"), c("valid_from").cast("timestamp_ntz"), c("recorded").cast("timestamp_ntz"))
     v = v.where("id is not null and entity is not null and valid_from is not null and recorded is not null").distinct().withColumn("avail", F.greatest("valid_from", "recorded"))
+    v = checkpointed(v)
     known, unknown = e.where("entity is not null and t is not null"), e.where("entity is null or t is null")
 
     times = known.select("entity", c("t").alias("at")).union(v.select("entity", c("avail").alias("at")))
-    buckets = max(1, math.ceil(times.count() / TASK_ROWS))
-    bucket = F.pmod(F.xxhash64("entity"), F.lit(buckets)).cast("int")
-    # one row a bucket, so its size is bounded by the rows / TASK_ROWS
-    sizes = times.groupBy(bucket.alias("bucket")).count().where(c("count") > 2 * TASK_ROWS)
-    hot = {r["bucket"]: min(MAX_SLICES, math.ceil(r["count"] / TASK_ROWS)) for r in sizes.collect()}
-    e_at, v_at = known.withColumn("bucket", bucket), v.withColumn("bucket", bucket)
-    if not hot:
-        left, right = e_at.withColumn("slice", F.lit(0)), v_at.withColumn("slice", F.lit(0))
+    # one count an entity, combined on the map side; of these a row for each hot entity, at most rows / TASK_ROWS, and one for the rest
+    counts = times.groupBy("entity").count()
+    sizes = counts.groupBy(F.when(c("count") > 2 * TASK_ROWS, c("entity")).alias("hot_entity")).agg(F.sum("count").alias("k")).collect()
+    buckets = max(1, math.ceil(sum(r["k"] for r in sizes if r["hot_entity"] is None) / TASK_ROWS))
+    slices = {r["hot_entity"]: math.ceil(r["k"] / TASK_ROWS) for r in sizes if r["hot_entity"] is not None}
+    bucket = F.pmod(F.xxhash64("entity"), F.lit(buckets)).cast("string")
+    if not slices:
+        left, right = (df.withColumn("bucket", bucket).withColumn("slice", F.lit(0)) for df in (known, v))
     else:
-        most = max(hot.values())
-        hot_times = times.withColumn("bucket", bucket).where(c("bucket").isin(*hot))
-        cuts = hot_times.groupBy("bucket").agg(F.percentile_approx(F.unix_micros(c("at").cast("timestamp")), [i / most for i in range(1, most)] or [0.5], 10_000).alias("cuts"))
-        cuts = cuts.select(c("bucket").alias("hot_bucket"), F.array_sort(F.array_distinct("cuts")).alias("cuts"))
+        hot = spark.createDataFrame(list(slices.items()), "hot_entity string, parts int")  # broadcast by Spark while it is small
+        cuts = times.join(hot, c("entity") == c("hot_entity")).groupBy("hot_entity").agg(F.first("parts").alias("parts"), F.percentile_approx("at", [i / (CUTS + 1) for i in range(1, CUTS + 1)], 10_000).alias("all"))
+        # of the fine quantiles as many as the entity has parts; where it asks for more all of them
+        wanted = F.when(c("parts") > CUTS, c("all")).otherwise(F.transform(F.sequence(F.lit(1), c("parts") - 1), lambda i: F.element_at("all", F.round(i * (CUTS + 1) / c("parts")).cast("int"))))
+        cuts = checkpointed(cuts.select("hot_entity", F.array_sort(F.array_distinct(wanted)).alias("cuts")))
 
         def sliced(df: DataFrame, time: str) -> DataFrame:
-            at = F.unix_micros(c(time).cast("timestamp"))
-            place = F.coalesce(F.size(F.filter("cuts", lambda x: x <= at)), F.lit(0))
-            return df.join(F.broadcast(cuts), c("bucket") == c("hot_bucket"), "left").withColumn("slice", place).withColumn("last", F.coalesce(F.size("cuts"), F.lit(0))).drop("cuts", "hot_bucket")
-
-        left = sliced(e_at, "t").drop("last")
-        by_slice = sliced(v_at, "avail")
-        state = F.struct("valid_from", "recorded", "id")
-        ends = by_slice.groupBy("bucket", "entity", "slice", "last").agg(F.max(state).alias("s")).where("slice < last")
-        carried = ends.select("bucket", "entity", "s", F.explode(F.sequence(c("slice") + 1, c("last"))).alias("slice")).groupBy("bucket", "entity", "slice").agg(F.max("s").alias("s"))
-        carried = carried.select("s.id", "entity", "s.valid_from", "s.recorded", F.greatest("s.valid_from", "s.recorded").alias("avail"), "bucket", "slice")
-        right = by_slice.drop("last").unionByName(carried)
+            place = F.coalesce(F.size(F.filter("cuts", lambda x: x <= c(time))), F.lit(0))
+            where = F.when(c("hot_entity").isNotNull(), F.concat(F.lit("="), c("entity"))).otherwise(bucket)
+            return df.join(cuts, c("entity") == c("hot_entity"), "left").withColumn("bucket", where).withColumn("slice", place).drop("cuts", "hot_entity")
+
+        left, by_slice = sliced(known, "t"), sliced(v, "avail")
+        # the state at the end of each slice of a hot entity; its running maximum goes into the slice after it
+        ends = by_slice.join(hot, c("entity") == c("hot_entity"), "left_semi").groupBy("entity", "slice").agg(F.max(F.struct("valid_from", "recorded", "id")).alias("s"))
+        every = cuts.select(c("hot_entity").alias("entity"), F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("slice"))
+        earlier = Window.partitionBy("entity").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # slices, not rows
+        carried = every.join(ends, ["entity", "slice"], "left").withColumn("s", F.max("s").over(earlier)).where("s is not null")
+        carried = carried.select("s.id", "entity", "s.valid_from", "s.recorded", F.greatest("s.valid_from", "s.recorded").alias("avail"), F.concat(F.lit("="), c("entity")).alias("bucket"), "slice")
+        right = by_slice.unionByName(carried)
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:
         return _joined(a.select(["event_id", "entity", "t"]), b.select(["id", "entity", "valid_from", "recorded", "avail"]))
@@ -93,7 +101,7 @@ def as_known(events: DataFrame, versions: DataFrame) -> DataFrame:
 
 def before(order: str, *keys: str) -> Window:
     """Window of the rows of ``keys`` strictly before the current one's time: peers at the same time are left out."""
-    return Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(order).cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*keys).orderBy(micros(F.col(order))).rangeBetween(Window.unboundedPreceding, -1)
 
 
 def latest_at_or_before(probes: DataFrame, facts: DataFrame, key: str, probe_time: str, fact_time: str, fact_id: str, strict: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import micros
+
 
 def totals_before(facts: DataFrame, probes: DataFrame, keys: list[str], time: str, measures: list[str], slices: int = 128) -> DataFrame:
     """``probes`` (keys, time) with ``n`` and the sum of each measure over the key's facts strictly before the time.
@@ -15,9 +17,8 @@ def totals_before(facts: DataFrame, probes: DataFrame, keys: list[str], time: st
     come in; a key without facts has 0. Null keys and times are left out.
     """
     c = F.col
-    micros = lambda: F.unix_micros(c(time).cast("timestamp"))
-    f = facts.select(*keys, micros().alias("at"), *(c(m).cast("double").alias(m) for m in measures)).dropna(subset=[*keys, "at"])
-    p = probes.select(*keys, micros().alias("at"), F.struct(*probes.columns).alias("probe")).dropna(subset=[*keys, "at"])
+    f = facts.select(*keys, micros(c(time)).alias("at"), *(c(m).cast("double").alias(m) for m in measures)).dropna(subset=[*keys, "at"])
+    p = probes.select(*keys, micros(c(time)).alias("at"), F.struct(*probes.columns).alias("probe")).dropna(subset=[*keys, "at"])
     span = f.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))  # one row
     width = F.greatest(F.lit(1), F.floor((c("hi") - c("lo")) / slices) + 1)
 

@@ -105,3 +105,36 @@ def test_rolling_targets_equal_the_greedy_choice(spark):
         if len(spaced) > 6:
             spaced = [spaced[round(i * (len(spaced) - 1) / 5)] for i in range(6)]
         assert sorted(got.get(u, [])) == spaced
+
+
+def test_hot_entity_is_sliced_alone_and_in_any_zone(spark, monkeypatch):
+    monkeypatch.setattr(asof, "TASK_ROWS", 40)
+    rnd = random.Random(2)
+    base = dt.datetime(2024, 3, 30)  # over the change to summer time
+    at = lambda: base + dt.timedelta(minutes=10 * rnd.randrange(300))
+    events = [(f"e{i}", "hot" if i % 3 else f"c{i % 17}", at(), 1) for i in range(600)]
+    versions = [(f"v{i}", "hot" if i % 2 else f"c{i % 17}", at(), at(), "x") for i in range(200)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = {r.event_id: r.attribute_id for r in as_known(spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS)).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    for event_id, entity, t, _ in events:
+        known = [(f, r, i) for i, e, f, r, _ in versions if e == entity and f <= t and r <= t]
+        assert got[event_id] == (max(known)[2] if known else None)
+
+
+def test_micros_ignore_the_zone(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions.scalars import micros
+
+    times = [dt.datetime(1969, 12, 31, 23, 59, 58, 250_000), dt.datetime(2024, 3, 31, 2, 30), dt.datetime(2024, 3, 31, 3, 30, 0, 1)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        got = [r.m for r in spark.createDataFrame([(t,) for t in times], "t timestamp_ntz").select(micros(F.col("t")).alias("m")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [round((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1)) for t in times]
