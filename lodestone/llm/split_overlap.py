@@ -1,30 +1,43 @@
 """Evaluation records that occur, exactly or nearly, among training records.
 
-Texts become sets of n-gram codes. Evaluation sets are indexed in blocks (n-gram -> records); every block is set beside
-every part of the training texts, which scan it for hits and compute the overlap of each pair that has enough of them.
-Blocks and parts are bounded in rows, equal texts are one row, and only the evaluation side is repeated, once a part.
+Texts become sets of n-gram codes, of characters or of words. With n-grams ordered by how few evaluation records hold them,
+two sets with an overlap of o share at least l of the first |x| - o + l of each. Only these are looked up, so n-grams that
+most records share are hardly touched, and no pair above the threshold is missed.
 
-Enough hits means: with n-grams ordered by how few evaluation records of the block hold them, two sets with an overlap
-of o share at least l of the first |x| - o + l of each. Only these are looked up, so n-grams that most records share
-are hardly touched, and no pair above the threshold is missed.
+* While the evaluation n-grams number at most INDEX_GRAMS, their posting lists are broadcast, and training texts are
+  scanned where they are, a batch at a time. Hits are counted sparsely, so a training text costs what it hits.
+* Beyond that both sides are partitioned by their rare n-grams: a join on the n-gram counts the hits of a pair, and pairs
+  with enough of them are verified by a join with the sets.
+
+Both ways give the same rows: for each pair the size of the overlap, the containment of the evaluation record in the
+training record, and the Jaccard similarity.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of evaluation texts that one task indexes, and of training texts that one task scans.
-EVAL_BLOCK = 20_000
+from lodestone.sources.workspace import checkpointed
+
+#: N-grams of all evaluation texts that are broadcast at most (some 40 bytes each in a worker).
+INDEX_GRAMS = 2_000_000
+#: Training texts of a task.
 TRAIN_PART = 20_000
 #: Shared rare n-grams asked of a pair before its whole sets are compared.
 RARE_HITS = 10
+#: Hits held at once by a task.
+_HITS = 2_000_000
+MEASURES = ("jaccard", "containment")
 
 
 def clean_split(split: Column) -> Column:
@@ -33,135 +46,226 @@ def clean_split(split: Column) -> Column:
     return F.when(tidy == "dev", "development").otherwise(tidy)
 
 
-def normal_text(text: str) -> str:
-    """NFKC, lower case, letters and digits only."""
-    return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).lower()))
+def normal_text(text: str, unit: str = "chars") -> str:
+    """NFKC, lower case, letters and digits only; with ``unit`` words the runs of them, one blank apart."""
+    low = unicodedata.normalize("NFKC", text).lower()
+    return "".join(filter(str.isalnum, low)) if unit == "chars" else " ".join(re.findall(r"[^\W_]+", low))
+
+
+def gram_codes(text: str, unit: str = "chars", n: int = 3) -> np.ndarray:
+    """The distinct runs of ``n`` characters or words of a normal text, ascending; up to three characters as exact codes, others hashed."""
+    if unit == "words":
+        words = text.split()
+        return np.unique(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + n])) >> 1 for i in range(len(words) - n + 1)], np.int64))
+    if n > 3:
+        return np.unique(np.array([xxhash.xxh64_intdigest(text[i : i + n]) >> 1 for i in range(len(text) - n + 1)], np.int64))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    size = max(len(points) - n + 1, 0)
+    code = np.zeros(size, np.int64)
+    for i in range(n):
+        code = (code << 21) | points[i : i + size]
+    return np.unique(code)
+
+
+def _lists(codes: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(c) for c in codes])))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(codes) if codes else np.empty(0, np.int64)))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def gram_codes(text: str) -> np.ndarray:
-    """The distinct runs of three characters as exact 63-bit codes, ascending."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])
+def _places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The list of each entry, and its place there."""
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(offsets[:-1], sizes)
 
 
-def _grams(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [normal_text(t) if t else "" for t in batch.column(0).to_pylist()]
-        keep = [i for i, t in enumerate(texts) if len(t) >= max(min_chars, 3)]
-        if keep:
-            codes = [gram_codes(texts[i]) for i in keep]
-            offsets = np.concatenate(([0], np.cumsum([len(c) for c in codes])))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(codes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array([texts[i] for i in keep]), lists], ["text", "normal", "grams"])
+def _expand(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start to before its end, one run after the other."""
+    sizes = ends - starts
+    upto = np.cumsum(sizes)
+    return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - (upto - sizes), sizes)
 
 
 class _Index:
-    """Posting lists of one block of evaluation sets."""
+    """Posting lists of the evaluation sets."""
 
-    def __init__(self, grams: np.ndarray, offsets: np.ndarray, threshold: float):
+    def __init__(self, grams: np.ndarray, offsets: np.ndarray, threshold: float, measure: str):
+        self.threshold, self.measure = threshold, measure
         self.sizes = np.diff(offsets)
         self.need = np.ceil(threshold * self.sizes - 1e-9).astype(np.int64)
         self.vocabulary, inverse, df = np.unique(grams, return_inverse=True, return_counts=True)
-        rank = np.empty(len(df), np.int64)
-        rank[np.argsort(df, kind="stable")] = np.arange(len(df))
-        self.rank = rank
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        code = rank[inverse.reshape(-1)]
+        self.rank = np.empty(len(df), np.int64)
+        self.rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+        owner, _ = _places(offsets)
+        code = self.rank[inverse.reshape(-1)]
         order = np.lexsort((code, owner))
-        self.code, self.owner, self.starts = code[order], owner, offsets[:-1]
-        place = np.arange(len(owner)) - np.repeat(self.starts, self.sizes)
+        self.code, self.starts = code[order], offsets[:-1]
+        _, place = _places(offsets)
         prefix = place < (self.sizes - self.need + RARE_HITS)[owner]
         by_code = np.argsort(self.code[prefix], kind="stable")
         self.postings = owner[prefix][by_code]
         self.ends = np.searchsorted(self.code[prefix][by_code], np.arange(len(df) + 1))
-
-    def overlaps(self, grams: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Evaluation records and sizes of their overlap with ``grams``, of all that can reach the threshold."""
+        self.keyed = owner * len(df) + self.code  # ascending: whether a set has a code is one search
+
+    def scan(self, grams: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(training set, evaluation set, overlap) of all pairs that reach the threshold."""
+        if not len(grams) or not len(self.vocabulary):
+            return
+        sizes = np.diff(offsets)
+        need = np.ceil(self.threshold * sizes - 1e-9).astype(np.int64) if self.measure == "jaccard" else np.zeros(len(sizes), np.int64)
+        owner, _ = _places(offsets)
         at = np.minimum(np.searchsorted(self.vocabulary, grams), len(self.vocabulary) - 1)
-        codes = np.sort(self.rank[at[self.vocabulary[at] == grams]])
-        need = math.ceil(threshold * len(grams) - 1e-9)
-        if len(codes) < need:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        absent = len(grams) - len(codes)  # n-grams that no evaluation record has come first in the order
-        looked = codes[: max(0, len(grams) - need + RARE_HITS - absent)]
-        hits = np.concatenate([self.postings[self.ends[c] : self.ends[c + 1]] for c in looked.tolist()] or [np.empty(0, np.int64)])
-        count = np.bincount(hits, minlength=len(self.sizes))
-        found = np.flatnonzero(count >= np.minimum(RARE_HITS, np.maximum(need, self.need)))
-        if not len(found):
-            return found, found
-        sizes = self.sizes[found]
-        ends = np.cumsum(sizes)
-        flat = self.code[np.arange(ends[-1]) + np.repeat(self.starts[found] - (ends - sizes), sizes)]
-        near = np.minimum(np.searchsorted(codes, flat), len(codes) - 1)
-        return found, np.add.reduceat((codes[near] == flat).astype(np.int64), ends - sizes)
-
-
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    return lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def overlapping_texts(records: DataFrame, threshold: float = 0.6, min_chars: int = 12) -> DataFrame:
-    """(eval_normal, train_normal, shared, n_eval, n_train, containment, jaccard): all pairs of different or equal normal
-    texts, one of an evaluation and one of a training record, whose sets of three-character runs have Jaccard >= threshold.
-
-    ``records`` has role (``eval`` or ``train``) and text; containment is shared / n_eval. Null, empty and blank texts
-    and those of under ``min_chars`` letters and digits take no part. Repeated texts count once. An empty side gives
-    an empty result.
+        present = self.vocabulary[at] == grams
+        owner, code = owner[present], self.rank[at[present]]
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        held = np.bincount(owner, minlength=len(sizes))
+        starts = np.cumsum(held) - held
+        place = np.arange(len(owner)) - starts[owner] + (sizes - held)[owner]  # n-grams that no evaluation record has come first
+        looked = (place < (sizes - need + RARE_HITS)[owner]) & (held >= need)[owner]
+        owner_looked, code_looked = owner[looked], code[looked]
+        lengths = self.ends[code_looked + 1] - self.ends[code_looked]
+        total = np.cumsum(lengths)
+        first = 0
+        while first < len(lengths):
+            past = int(np.searchsorted(total, (total[first - 1] if first else 0) + _HITS, side="right"))
+            past = max(past, first + 1)
+            past = int(np.searchsorted(owner_looked, owner_looked[past - 1], side="right"))  # a training set is counted as a whole
+            part = slice(first, past)
+            hits = self.postings[_expand(self.ends[code_looked[part]], self.ends[code_looked[part] + 1])]
+            pair, count = np.unique(np.repeat(owner_looked[part], lengths[part]) * len(self.sizes) + hits, return_counts=True)
+            t, e = pair // len(self.sizes), pair % len(self.sizes)
+            good = count >= np.minimum(RARE_HITS, np.maximum(np.maximum(need[t], self.need[e]), 1))
+            t, e = t[good], e[good]
+            for at_pair in range(0, len(t), 20_000):
+                yield self._verified(t[at_pair : at_pair + 20_000], e[at_pair : at_pair + 20_000], code, starts, held, sizes)
+            first = past
+
+    def _verified(self, t: np.ndarray, e: np.ndarray, code: np.ndarray, starts: np.ndarray, held: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of candidate pairs those that reach the threshold: the codes of each training set are searched in its evaluation set."""
+        mine = code[_expand(starts[t], starts[t] + held[t])]
+        pair = np.repeat(np.arange(len(t)), held[t])
+        wanted = e[pair] * len(self.vocabulary) + mine
+        at = np.minimum(np.searchsorted(self.keyed, wanted), len(self.keyed) - 1)
+        shared = np.bincount(pair[self.keyed[at] == wanted], minlength=len(t))
+        whole = self.sizes[e] if self.measure == "containment" else self.sizes[e] + sizes[t] - shared
+        good = shared >= self.threshold * whole - 1e-9
+        return t[good], e[good], shared[good]
+
+
+_BUILT: dict[int, _Index] = {}
+_PAIRS = "eval_normal string, train_normal string, shared bigint, n_eval bigint, n_train bigint"
+
+
+def _grams(texts: DataFrame, unit: str, n: int) -> DataFrame:
+    """(normal, grams) of texts with an n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [gram_codes(t, unit, n) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(codes)], ["normal", "grams"]).filter(pa.array([len(x) > 0 for x in codes]))
+
+    return texts.mapInArrow(run, "normal string, grams array<bigint>")
+
+
+def _by_broadcast(evals: DataFrame, train: DataFrame, threshold: float, measure: str) -> DataFrame:
+    collected = evals.toArrow()  # at most INDEX_GRAMS n-grams
+    parts = [_flat(chunk) for chunk in collected.column("grams").chunks]
+    grams = np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)])
+    sizes = np.concatenate([np.diff(p[1]) for p in parts] or [np.empty(0, np.int64)])
+    index = evals.sparkSession.sparkContext.broadcast((collected.column("normal").to_pylist(), grams, np.concatenate(([0], np.cumsum(sizes)))))
+    number = uuid.uuid4().int
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, grams, offsets = index.value
+        if number not in _BUILT:
+            _BUILT.clear()
+            _BUILT[number] = _Index(grams, offsets, threshold, measure)
+        built, names = _BUILT[number], pa.array(names, pa.string())
+        for batch in batches:
+            values, own = _flat(batch.column(1))
+            for t, e, shared in built.scan(values, own):
+                columns = [names.take(pa.array(e)), batch.column(0).take(pa.array(t)), pa.array(shared), pa.array(built.sizes[e]), pa.array(np.diff(own)[t])]
+                yield pa.RecordBatch.from_arrays(columns, ["eval_normal", "train_normal", "shared", "n_eval", "n_train"])
+
+    return train.mapInArrow(scan, _PAIRS)
+
+
+def _by_rare_grams(evals: DataFrame, train: DataFrame, threshold: float, measure: str) -> DataFrame:
+    c = F.col
+    need = lambda n: F.ceil(threshold * n - 1e-9)
+
+    def exploded(sets: DataFrame) -> DataFrame:
+        return sets.select("normal", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+
+    frequency = exploded(evals).groupBy("gram").agg(F.count("*").alias("df"))
+    sides = {}
+    for side, sets, asked in (("eval", evals, need(c("n"))), ("train", train, need(c("n")) if measure == "jaccard" else F.lit(0))):
+        rows = exploded(sets).join(frequency, "gram")  # n-grams that no evaluation record has come first and match nothing
+        w = Window.partitionBy("normal")  # the n-grams of one text
+        place = c("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "gram"))
+        sides[side] = rows.withColumn("place", place).where(c("place") <= c("n") - asked + RARE_HITS).select("gram", c("normal").alias(f"{side}_normal"), c("n").alias(f"n_{side}"))
+    pairs = sides["eval"].join(sides["train"], "gram").groupBy("eval_normal", "train_normal").agg(F.count("*").alias("hits"), F.first("n_eval").alias("n_eval"), F.first("n_train").alias("n_train"))
+    most = F.greatest(need(c("n_eval")), need(c("n_train"))) if measure == "jaccard" else need(c("n_eval"))
+    pairs = pairs.where(c("hits") >= F.least(F.lit(RARE_HITS), F.greatest(most, F.lit(1))))
+    both = pairs.join(evals.toDF("eval_normal", "x"), "eval_normal").join(train.toDF("train_normal", "y"), "train_normal")
+    sized = both.select("eval_normal", "train_normal", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"), c("n_eval").cast("bigint").alias("n_eval"), c("n_train").cast("bigint").alias("n_train"))
+    whole = c("n_eval") if measure == "containment" else c("n_eval") + c("n_train") - c("shared")
+    return sized.where(c("shared") >= threshold * whole - 1e-9)
+
+
+def overlapping_texts(normals: DataFrame, threshold: float = 0.6, unit: str = "chars", n: int = 3, measure: str = "jaccard") -> DataFrame:
+    """(eval_normal, train_normal, shared, n_eval, n_train, containment, jaccard): all pairs of an evaluation and a training text that reach the threshold.
+
+    ``normals`` has role (``eval`` or ``train``) and normal, see :func:`normal_text`. ``measure`` is the similarity the
+    threshold is for: ``jaccard`` of the sets of ``n``-grams, or ``containment``, the share of the evaluation text's
+    n-grams that the training text has, which also finds a short record inside a long text. Texts without an n-gram take
+    no part; repeated texts count once; an empty side gives an empty result.
     """
-    sets = records.where("text is not null and role in ('eval', 'train')").select("role", F.col("text").cast("string").alias("text")).distinct()
-
-    def grams(role: str) -> DataFrame:
-        rows = sets.where(F.col("role") == role).select("text").mapInArrow(lambda b: _grams(b, min_chars), "text string, normal string, grams array<bigint>")
-        return rows.dropDuplicates(["normal"]).select("normal", "grams")
-
-    counts = {r["role"]: r["count"] for r in sets.groupBy("role").count().collect()}
-    blocks, parts = max(1, math.ceil(counts.get("eval", 0) / EVAL_BLOCK)), max(1, math.ceil(counts.get("train", 0) / TRAIN_PART))
-    block, part = F.pmod(F.xxhash64("normal"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("normal"), F.lit(parts)).cast("int")
-    evals = grams("eval").withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    train = grams("train").withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[list[np.ndarray]] = [[], [], [], [], []]
-        if len(left) and len(right):
-            index = _Index(*_lists(left.column("grams")), threshold)
-            values, offsets = _lists(right.column("grams"))
-            for i in range(len(right)):
-                own = values[offsets[i] : offsets[i + 1]]
-                found, shared = index.overlaps(own, threshold)
-                good = shared >= threshold * (index.sizes[found] + len(own) - shared) - 1e-9
-                if good.any():
-                    found, shared = found[good], shared[good]
-                    for column, value in zip(rows, (found, np.full(len(found), i), shared, index.sizes[found], np.full(len(found), len(own)))):
-                        column.append(value)
-        e, t, shared, n_eval, n_train = (np.concatenate(c) if c else np.empty(0, np.int64) for c in rows)
-        return pa.table({"eval_normal": left.column("normal").take(pa.array(e)), "train_normal": right.column("normal").take(pa.array(t)), "shared": shared, "n_eval": n_eval, "n_train": n_train})
-
-    pairs = evals.groupBy("part", "block").cogroup(train.groupBy("part", "block")).applyInArrow(scan, "eval_normal string, train_normal string, shared bigint, n_eval bigint, n_train bigint")
+    if measure not in MEASURES or unit not in ("chars", "words") or not 0 < threshold <= 1:
+        raise ValueError(f"measure is one of {MEASURES}, unit chars or words, threshold in (0, 1]")
+    spark = normals.sparkSession
+
+    def side(role: str, rows: int) -> DataFrame:
+        parts = max(spark.sparkContext.defaultParallelism, math.ceil(rows / TRAIN_PART))
+        return _grams(normals.where(F.col("role") == role).select("normal").repartition(parts, "normal").dropDuplicates(["normal"]), unit, n)
+
+    counts = {r["role"]: r for r in normals.groupBy("role").agg(F.count("*").alias("rows"), F.sum(F.length("normal")).alias("chars")).collect()}
+    rows = lambda role: counts[role]["rows"] if role in counts else 0
+    # a text has at most as many n-grams as characters
+    small = (counts["eval"]["chars"] if "eval" in counts else 0) <= INDEX_GRAMS
+    pairs = (_by_broadcast if small else _by_rare_grams)(side("eval", rows("eval")), side("train", rows("train")), threshold, measure)
     return pairs.withColumn("containment", F.col("shared") / F.col("n_eval")).withColumn("jaccard", F.col("shared") / (F.col("n_eval") + F.col("n_train") - F.col("shared")))
 
 
-def _normalize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        normal = pa.array([normal_text(t) if t else "" for t in batch.column(3).to_pylist()])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], normal], ["source", "id", "split", "normal"])
-
-
-def split_overlap(records: DataFrame, threshold: float = 0.6, min_chars: int = 12, eval_splits: tuple[str, ...] = ("development", "test"), train_split: str = "train") -> DataFrame:
+def split_overlap(
+    records: DataFrame, threshold: float = 0.6, min_chars: int = 12, eval_splits: tuple[str, ...] = ("development", "test"), train_split: str = "train", unit: str = "chars", n: int = 3, measure: str = "jaccard"
+) -> DataFrame:
     """(eval_source, eval_split, eval_id, train_source, train_id, containment, jaccard) of all overlapping records.
 
     ``records`` has source, id, split, text. Splits are cleaned by :func:`clean_split`; null and other splits take no
-    part, nor do null ids. Repeated rows count once; a record found in an evaluation and a training split under one
-    id is not paired with itself. Texts as in :func:`overlapping_texts`; clashing extra columns are not read.
+    part, nor do null ids, null, empty and blank texts and those of under ``min_chars`` letters and digits. Repeated rows
+    count once; a record found in an evaluation and a training split under one id is not paired with itself. N-grams and
+    measure as in :func:`overlapping_texts`; clashing extra columns are not read.
     """
     c = F.col
+
+    def normalize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normal_text(t, unit) for t in batch.column(3).to_pylist()]
+            kept = pa.array([len(t) - t.count(" ") >= min_chars for t in texts])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], ["source", "id", "split", "normal"]).filter(kept)
+
     tidy = records.select(c("source").cast("string"), c("id").cast("string"), clean_split(c("split")).alias("split"), c("text").cast("string")).where("id is not null and text is not null")
-    tidy = tidy.where(c("split").isin(*eval_splits, train_split)).distinct()
+    tidy = tidy.where(c("split").isin(*eval_splits, train_split))
+    keyed = checkpointed(tidy.mapInArrow(normalize, "source string, id string, split string, normal string").distinct())
     role = F.when(c("split") == train_split, "train").otherwise("eval")
-    pairs = overlapping_texts(tidy.select(role.alias("role"), "text"), threshold, min_chars)
-    keyed = tidy.mapInArrow(_normalize, "source string, id string, split string, normal string").distinct()
+    pairs = overlapping_texts(keyed.select(role.alias("role"), "normal"), threshold, unit, n, measure)
     ends = keyed.where(c("split") != train_split).select(c("source").alias("eval_source"), c("split").alias("eval_split"), c("id").alias("eval_id"), c("normal").alias("eval_normal"))
     train = keyed.where(c("split") == train_split).select(c("source").alias("train_source"), c("id").alias("train_id"), c("normal").alias("train_normal"))
     return pairs.join(ends, "eval_normal").join(train, "train_normal").where("not (eval_source <=> train_source and eval_id = train_id)").select("eval_source", "eval_split", "eval_id", "train_source", "train_id", "containment", "jaccard").distinct()

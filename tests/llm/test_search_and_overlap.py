@@ -125,33 +125,42 @@ def request_rows(seed):
     return rows
 
 
-def overlaps(rows, threshold=0.6):
-    clean = lambda t: "".join(c for c in unicodedata.normalize("NFKC", t).lower() if c.isalnum())
+def overlaps(rows, threshold=0.6, unit="chars", n=3, measure="jaccard"):
+    def clean(t):
+        low = unicodedata.normalize("NFKC", t).lower()
+        return "".join(c for c in low if c.isalnum()) if unit == "chars" else "".join(c if c.isalnum() else " " for c in low).split()
+
     sides = {"eval": set(), "train": set()}
     for source, i, split, text in rows:
         split = None if split is None else split.strip().lower()
         split = "development" if split == "dev" else split
-        if i is not None and text and len(clean(text)) >= 12 and split in ("development", "test", "train"):
-            sides["train" if split == "train" else "eval"].add((source, i, split, clean(text)))
-    grams = lambda t: {t[k : k + 3] for k in range(len(t) - 2)}
+        if i is not None and text and len("".join(clean(text))) >= 12 and split in ("development", "test", "train"):
+            sides["train" if split == "train" else "eval"].add((source, i, split, clean(text) if unit == "chars" else tuple(clean(text))))
+    grams = lambda t: {t[k : k + n] for k in range(len(t) - n + 1)}
     out = {}
     for s1, a, split, x in sides["eval"]:
         for s2, b, _, y in sides["train"]:
             p, q = grams(x), grams(y)
-            if (s1, a) != (s2, b) and len(p & q) >= threshold * len(p | q):
+            if (s1, a) != (s2, b) and p and q and len(p & q) >= threshold * (len(p | q) if measure == "jaccard" else len(p)):
                 out[(s1, split, a, s2, b)] = round(len(p & q) / len(p), 9)
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_overlaps_equal_brute_force(spark, monkeypatch, small):
-    if small:
-        monkeypatch.setattr(so, "EVAL_BLOCK", 15)
-        monkeypatch.setattr(so, "TRAIN_PART", 10)
+@pytest.mark.parametrize("index_grams", [2_000_000, 0])
+@pytest.mark.parametrize("how", [{}, {"unit": "words", "n": 2, "threshold": 0.5}, {"measure": "containment", "threshold": 0.8}, {"unit": "words", "n": 3, "measure": "containment", "threshold": 1.0}, {"n": 5}])
+def test_overlaps_equal_brute_force(spark, monkeypatch, index_grams, how):
+    monkeypatch.setattr(so, "INDEX_GRAMS", index_grams)
+    monkeypatch.setattr(so, "_HITS", 50)
     rows = request_rows(1)
+    inside = rows[0][3] + " extra words of a training text that goes on and on " + rows[1][3] * 3
+    rows += [("s", "whole", "train", inside), ("s", "part", "test", rows[0][3])]
     df = spark.createDataFrame(rows, "source string, id string, split string, text string").withColumn("normal", F.lit("clash")).withColumn("block", F.lit(1))
-    got = {(r.eval_source, r.eval_split, r.eval_id, r.train_source, r.train_id): round(r.containment, 9) for r in split_overlap(df).collect()}
-    assert got == overlaps(rows) and ("s", "test", "w1", "l", "w2") in got
+    got = {(r.eval_source, r.eval_split, r.eval_id, r.train_source, r.train_id): round(r.containment, 9) for r in split_overlap(df, **how).collect()}
+    assert got == overlaps(rows, **how) and got
+    if not how:
+        assert ("s", "test", "w1", "l", "w2") in got
+    if how.get("measure") == "containment" and how.get("unit") != "words":
+        assert ("s", "test", "part", "s", "whole") in got
 
 
 def test_no_overlap_of_empty_sides(spark):
