@@ -80,9 +80,10 @@ def exact(points, k):
     return {(int(i), int(ids[j])) for row, i in enumerate(ids) for j in np.lexsort((ids, -s[row]))[:k]}
 
 
-def test_nearest_reaches_nine_tenths_of_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(sv, "BLOCK_ROWS", 150)
-    monkeypatch.setattr(sv, "MAX_PART_ROWS", 100)
+@pytest.mark.parametrize("part_rows", [6144, 60])
+def test_nearest_reaches_nine_tenths_of_brute_force(spark, monkeypatch, part_rows):
+    monkeypatch.setattr(sv, "LIST_ROWS", 150)
+    monkeypatch.setattr(sv, "MAX_PART_ROWS", part_rows)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(25, 64))
     points = {i: (centres[i % 25] + 0.35 * rng.normal(size=64)) * rng.uniform(0.1, 9) for i in range(900)}
@@ -98,7 +99,24 @@ def test_nearest_reaches_nine_tenths_of_brute_force(spark, monkeypatch):
     assert all([x[0] for x in sorted(v)] == [1, 2, 3, 4, 5] and [x[1] for x in sorted(v)] == sorted(x[1] for x in v) for v in per.values())
 
 
-def test_copies_of_one_vector_take_their_least_ids(spark):
+def test_collisions_are_those_of_the_windows_and_prune():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 64))
+    base = sv.unit(np.repeat(centres, 20, axis=0) + 0.3 * rng.normal(size=(800, 64)))
+    arrays = sv.SortedArrays(base)
+    counts = arrays.collisions(base[:9] @ arrays.axes, 0.05)
+    assert (counts == (np.abs(base[:9] @ arrays.axes - (base @ arrays.axes)[:, None, :]) <= 0.05).sum(axis=2).T).all()
+    q, c, cosine, verified = sv.search_list(base, base[:200], np.arange(200), 5)
+    true = exact({i: row for i, row in enumerate(base)}, 5)
+    found = set(zip(q.tolist(), c.tolist()))
+    assert len(found & true) / sum(i < 200 for i, _ in true) > 0.98 and verified < 0.2 * 200 * 800
+    lonely = sv.search_list(sv.unit(rng.normal(size=(300, 64))), base[:3], np.full(3, -1), 5)  # nothing is near: the whole list is compared
+    assert len(set(lonely[0])) == 3 and len(lonely[0]) == 15 and sv.search_list(base[:1], base[:1], np.zeros(1, int), 5)[3] == 0
+
+
+@pytest.mark.parametrize("hot", [64, 8])
+def test_copies_of_one_vector_take_their_least_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(sv, "HOT_COPIES", hot)
     rng = np.random.default_rng(4)
     one = [float(v) for v in rng.normal(size=64)]
     rows = [(i, one, "x", 1) for i in range(40)] + [(100 + i, [float(v) for v in rng.normal(size=64)], "x", 1) for i in range(12)]
