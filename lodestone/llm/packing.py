@@ -27,6 +27,10 @@ def best_fit(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float,
     """Container number of each item; ``sizes`` must fall and not exceed ``capacity``.
 
     An item that alone breaks a secondary capacity gets a container of its own. Ties go to the container opened first.
+
+    Items of one size are placed together. By the norm a container that takes one of them is nearer to full and so stays the
+    best for the next, until nothing more fits: the best container takes as many as fit, then the next best. By the dot
+    product it is the other way round, so there a run is placed item by item.
     """
     top = np.array([capacity, max_items, max_cost], float)
     scale = np.sqrt(np.array(weights)) / top
@@ -34,34 +38,53 @@ def best_fit(sizes: np.ndarray, capacity: int, max_items: int, max_cost: float,
     number = np.empty(1024, np.int64)
     live = opened = 0
     where = np.empty(len(sizes), np.int64)
-    for i, size in enumerate(sizes.tolist()):
-        item = np.array([size, 1.0, float(size) * size])
+    step = np.ones(len(sizes), bool) if rule == "dot" else np.concatenate(([True], sizes[1:] != sizes[:-1])) if len(sizes) else np.empty(0, bool)
+    heads = np.append(np.flatnonzero(step), len(sizes))
+    for first, past in zip(heads[:-1].tolist(), heads[1:].tolist()):
+        size = float(sizes[first])
+        item = np.array([size, 1.0, size * size])
         room = free[:, :live]
-        fits = np.flatnonzero((room[0] >= item[0]) & (room[1] >= 1) & (room[2] >= item[2]))
+        fits = np.flatnonzero((room >= item[:, None]).all(axis=0))
         if len(fits):
-            left = (room[:, fits] - item[:, None]) * scale[:, None]
             if rule == "norm":
-                best = fits[np.argmin(np.einsum("ij,ij->j", left, left))]
+                left = (room[:, fits] - item[:, None]) * scale[:, None]
+                fits = fits[np.argsort(np.einsum("ij,ij->j", left, left), kind="stable")]
             else:
-                best = fits[np.argmax((room[:, fits] * scale[:, None] * (item * scale)[:, None]).sum(0))]
-            where[i] = number[best]
-            free[:, best] -= item
-            if free[0, best] <= 0 and size > 0 or free[1, best] < 1:  # full: no longer looked at
-                live -= 1
-                free[:, best : live] = free[:, best + 1 : live + 1]
-                number[best:live] = number[best + 1 : live + 1]
-            continue
-        if live == len(number):
+                fits = fits[[np.argmax((room[:, fits] * (item * scale * scale)[:, None]).sum(0))]]
+            takes = _fitting(room[:, fits], item) if rule == "norm" else np.ones(1, np.int64)
+            takes = np.diff(np.minimum(np.concatenate(([0], np.cumsum(takes))), past - first))
+            where[first : first + takes.sum()] = np.repeat(number[fits], takes)
+            free[:, fits] -= item[:, None] * takes
+            first += int(takes.sum())
+        each = max(1, int(_fitting(top[:, None], item)[0])) if rule == "norm" else 1
+        more = -(-(past - first) // each)
+        while live + more > len(number):
             free = np.concatenate((free, np.empty_like(free)), axis=1)
             number = np.concatenate((number, np.empty_like(number)))
-        where[i] = opened
-        free[:, live] = top - item
-        number[live] = opened
-        opened += 1
-        live += bool(free[0, live] > 0 and free[1, live] >= 1)
+        held = np.minimum(each, past - first - each * np.arange(more))
+        where[first:past] = opened + np.arange(past - first) // each
+        free[:, live : live + more] = top[:, None] - item[:, None] * held
+        number[live : live + more] = opened + np.arange(more)
+        opened += more
+        live += more
+        open_ = np.flatnonzero((free[0, :live] > 0) & (free[1, :live] >= 1) & (free[2, :live] > 0)) if size > 0 else np.flatnonzero(free[1, :live] >= 1)
+        if len(open_) < live:  # full ones are no longer looked at
+            live = len(open_)
+            free[:, :live], number[:live] = free[:, open_], number[open_]
     return where
 
 
+def _fitting(room: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """How many equal items fit into each room."""
+    with np.errstate(divide="ignore"):
+        each = np.where(item[:, None] > 0, np.floor(room / item[:, None]), np.inf)
+    return each.min(axis=0).astype(np.int64)
+
+
+#: Default of the attention-cost capacity, as a share of capacity squared, which only one full item alone would reach.
+COST_SHARE = 0.875
+
+
 def pack(
     items: DataFrame, id_col: str, size_col: str, capacity: int = 1024, max_items: int = 128, max_cost: float | None = None, rule: str = "norm", shard_rows: int = 8192, n_rows: int | None = None
 ) -> DataFrame:
@@ -71,11 +94,12 @@ def pack(
     any item. ``start`` is where the piece begins in its item. An item of size null, zero or less is a piece of size 0,
     which takes a document's place in a container but no room. Equal sizes are taken in the order of their ids, so
     the result depends on the rows only, not on their partitioning; a repeated id is packed once per row. An empty
-    table gives an empty result. ``n_rows`` spares a count where it is known.
+    table gives an empty result. ``max_cost`` is the sum of squared sizes a container may hold, COST_SHARE * capacity squared
+    by default: an item of more stands alone. ``n_rows`` spares a count where it is known.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    cost = float(max_cost if max_cost is not None else capacity * capacity)
+    cost = float(max_cost if max_cost is not None else COST_SHARE * capacity * capacity)
     rows = items.select(F.col(id_col).alias("k"), F.greatest(F.coalesce(F.col(size_col).cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
     shards = max(1, math.ceil((items.count() if n_rows is None else n_rows) / shard_rows))
     kind = rows.schema["k"].dataType.simpleString()

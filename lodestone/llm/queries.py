@@ -102,5 +102,26 @@ where 2 * k >= p.n + q.n - k
 """
 
 
+#: Full-width digits, letters and marks, which NFKC writes as ASCII; no other character of the requests has a compatibility form.
+_WIDE, _PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_PAIRS = rf"""
+with raw as (select 'seed_queries' src, case_id id, split, query_text q from seed_queries union all select 'long_tail_02', case_id, split, query_text from long_tail_02),
+rec as (
+  select distinct src, id, case when lower(trim(split)) = 'dev' then 'development' else lower(trim(split)) end split, regexp_replace(lower(translate(q, '{_WIDE}', '{_PLAIN}')), '[^\p{{L}}\p{{N}}]', '', 'g') t
+  from raw where q is not null and id is not null),
+sets as (select t, list_distinct([substring(t, i, 3) for i in range(1, length(t) - 1)]) g from (select distinct t from rec where length(t) >= 12 and split in ('train', 'development', 'test'))),
+ev as (select distinct t, unnest(g) x from sets where t in (select t from rec where split in ('development', 'test'))),
+tr as (select distinct t, unnest(g) x from sets where t in (select t from rec where split = 'train')),
+k as (select ev.t a, tr.t b, count(*) k from ev join tr using (x) group by all),
+near as (select a, b, k / len(p.g)::double containment, k / (len(p.g) + len(q.g) - k)::double jaccard from k join sets p on p.t = a join sets q on q.t = b where k >= 0.6::double * (len(p.g) + len(q.g) - k) - 1e-9),
+pairs as (
+  select distinct e.src eval_source, e.split eval_split, e.id eval_id, r.src train_source, r.id train_id, containment, jaccard
+  from near join rec e on e.t = a and e.split in ('development', 'test') join rec r on r.t = b and r.split = 'train' where not (e.src = r.src and e.id = r.id))
+"""
+_P6 = _PAIRS + "select distinct eval_source, eval_split, least(eval_id, train_id) case_a, greatest(eval_id, train_id) case_b from pairs"
+_P6_REPORT = _PAIRS + """select eval_source, eval_split, train_source, count(distinct eval_id) n_eval_records, count(distinct train_id) n_train_records, count(*) n_pairs, round(max(containment), 6) max_containment
+from pairs group by all"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p4_found": _P4}
+    return {"p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p6_report": _P6_REPORT}

@@ -34,7 +34,7 @@ INDEX_GRAMS = 2_000_000
 #: Training texts of a task.
 TRAIN_PART = 20_000
 #: Shared rare n-grams asked of a pair before its whole sets are compared.
-RARE_HITS = 10
+RARE_HITS = 16
 #: Hits held at once by a task.
 _HITS = 2_000_000
 MEASURES = ("jaccard", "containment")
@@ -140,7 +140,8 @@ class _Index:
             hits = self.postings[_expand(self.ends[code_looked[part]], self.ends[code_looked[part] + 1])]
             pair, count = np.unique(np.repeat(owner_looked[part], lengths[part]) * len(self.sizes) + hits, return_counts=True)
             t, e = pair // len(self.sizes), pair % len(self.sizes)
-            good = count >= np.minimum(RARE_HITS, np.maximum(np.maximum(need[t], self.need[e]), 1))
+            most = np.maximum(np.maximum(need[t], self.need[e]), 1)  # no pair of sets of too different sizes can share that many
+            good = (count >= np.minimum(RARE_HITS, most)) & (np.minimum(held[t], self.sizes[e]) >= most)
             t, e = t[good], e[good]
             for at_pair in range(0, len(t), 20_000):
                 yield self._verified(t[at_pair : at_pair + 20_000], e[at_pair : at_pair + 20_000], code, starts, held, sizes)
