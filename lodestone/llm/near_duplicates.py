@@ -3,11 +3,12 @@
 1. A text's words are hashed in the JVM; an Arrow task turns them into shingles, signatures and band hashes. A text that
    a task has already seen is not signed again, so copies cost at most one entry a task and band.
 2. Band entries travel as blocks (one row a task, band and hash range), 20 bytes an entry, and are sorted and compared
-   in one task a band and hash range. Equal band hashes whose bit sketches are clearly unlike are dropped there.
+   in one task a band and hash range, one range at a time. Equal band hashes whose bit sketches are clearly unlike are
+   dropped there. A bucket of more than TILE entries is cut into tiles, which are compared in tasks of their own.
 3. Texts of the remaining candidates are joined in and their shingle sets compared exactly.
 4. Links are between different texts. Copies of a text are members of its class; ids are brought in only at the end.
 
-No bucket is capped: a bucket of any size is compared in steps of one distance at a time, streaming its pairs.
+No bucket is capped: one of any size is compared whole, streaming its pairs, on as many tasks as it has tiles.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from lodestone.llm.superminhash import band_hashes, bit_sketch, shingle_hashes,
 from lodestone.sources.workspace import checkpointed
 
 #: Keys of candidates that are broadcast at most (8 bytes each); beyond it they are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 1_000_000
 #: Entries of one band that one task compares, at about 20 bytes each.
-ENTRIES_PER_TASK = 500_000
+ENTRIES_PER_TASK = 250_000
+#: Entries of one bucket that are compared where they are; of a larger one each side of a tile.
+TILE = 8_192
 _FLUSH_ROWS = 40_000
 _ENTRY = np.dtype([("bucket", "<u4"), ("key", "<i8"), ("sketch", "<u8")])
 
@@ -70,7 +73,7 @@ class NearDuplicates:
     def candidates(self) -> DataFrame:
         """Distinct (a, b) keys of texts that share a band and whose sketches are alike."""
         ranges = max(1, math.ceil(self.records.count() / ENTRIES_PER_TASK))
-        shingle, bands, rows, m, max_unlike = self.shingle, self.bands, self.rows, self.bands * self.rows, self.max_unlike
+        shingle, bands, rows, m, max_unlike, tile = self.shingle, self.bands, self.rows, self.bands * self.rows, self.max_unlike, TILE
 
         def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -125,23 +128,38 @@ class NearDuplicates:
                 yield from blocks()
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            groups: dict[int, list[bytes]] = {}
+            payloads: list[bytes] = []
             for batch in batches:
-                for g, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    groups.setdefault(g, []).append(payload)
-            while groups:
-                _, payloads = groups.popitem()
-                entries = np.frombuffer(b"".join(payloads), _ENTRY)
-                del payloads
-                for a, b in _alike(entries, max_unlike):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                payloads += batch.column(1).to_pylist()
+            entries = np.frombuffer(b"".join(payloads), _ENTRY)
+            del payloads
+            small, large = _buckets(entries, tile)
+            for a, b in _alike(small, max_unlike):
+                yield _candidate_rows(a, b)
+            for bucket in large:
+                cuts = [bucket[at : at + tile] for at in range(0, len(bucket), tile)]
+                for i, left in enumerate(cuts):
+                    for right in cuts[i:]:
+                        yield _candidate_rows([None], [None], [left.tobytes()], [right.tobytes()])
+
+        def compare_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for a, b in _across(np.frombuffer(left, _ENTRY), np.frombuffer(right, _ENTRY), max_unlike):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         words = (
             self.keyed.select("key", F.xxhash64("kind").alias("salt"), words_of(F.col("text")).alias("words"))
             .where(F.size("words") >= max(self.min_words, self.shingle))
             .mapInArrow(sign, "grp int, payload binary")
         )
-        return words.repartition(bands * ranges, "grp").mapInArrow(compare, "a bigint, b bigint").distinct()
+        # a task for each band and range, so that no task holds two of them
+        found = checkpointed(words.repartitionById(bands * ranges, "grp").mapInArrow(compare, "a bigint, b bigint, left_tile binary, right_tile binary"))
+        pairs, tiles = found.where("a is not null").select("a", "b"), found.where("left_tile is not null").select("left_tile", "right_tile")
+        n_tiles = tiles.count()
+        if n_tiles:
+            pairs = pairs.union(tiles.repartition(min(n_tiles, 65_536)).mapInArrow(compare_tiles, "a bigint, b bigint"))
+        return pairs.distinct()
 
     def _texts(self, pairs: DataFrame) -> DataFrame:
         """(key, kind, id, words) of the texts in ``pairs`` and of texts that several ids share, of enough words."""
@@ -209,8 +227,14 @@ class NearDuplicates:
         return everyone.join(linked, ["kind", "id"], "left").select("kind", "id", F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def _alike(entries: np.ndarray, max_unlike: int, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Key pairs a < b of equal bucket and sketches that differ in at most ``max_unlike`` bits."""
+def _candidate_rows(a, b, left=None, right=None) -> pa.RecordBatch:  # noqa: ANN001
+    none = [None] * len(a)
+    columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left or none, pa.binary()), pa.array(right or none, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "left_tile", "right_tile"])
+
+
+def _buckets(entries: np.ndarray, tile: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Entries of buckets of two or more texts, by bucket and key, each text once a bucket; those of more than ``tile`` apart."""
     bucket = entries["bucket"]
     order = np.argsort(bucket)
     same = bucket[order[1:]] == bucket[order[:-1]]
@@ -222,6 +246,14 @@ def _alike(entries: np.ndarray, max_unlike: int, step: int = 1 << 20) -> Iterato
     if len(part):  # a text that several tasks signed
         again = (part["bucket"][1:] == part["bucket"][:-1]) & (part["key"][1:] == part["key"][:-1])
         part = part[np.concatenate(([True], ~again))]
+    _, starts, sizes = np.unique(part["bucket"], return_index=True, return_counts=True)
+    hot = np.flatnonzero(sizes > tile)
+    inside = np.repeat(sizes <= tile, sizes)
+    return part[inside], [part[starts[i] : starts[i] + sizes[i]] for i in hot]
+
+
+def _alike(part: np.ndarray, max_unlike: int, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Key pairs a < b of equal bucket and sketches that differ in at most ``max_unlike`` bits; ``part`` as :func:`_buckets` gives it."""
     bucket, key, sketch = (np.ascontiguousarray(part[c]) for c in ("bucket", "key", "sketch"))
     at = np.arange(len(part))
     distance = 1
@@ -236,6 +268,17 @@ def _alike(entries: np.ndarray, max_unlike: int, step: int = 1 << 20) -> Iterato
         distance += 1
 
 
+def _across(left: np.ndarray, right: np.ndarray, max_unlike: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Key pairs a < b of two parts of one bucket, which may be the same part."""
+    for at in range(0, len(left), rows):
+        mine = left[at : at + rows]
+        i, j = np.nonzero(np.bitwise_count(mine["sketch"][:, None] ^ right["sketch"][None, :]) <= max_unlike)
+        a, b = mine["key"][i], right["key"][j]
+        up = a < b
+        if up.any():
+            yield a[up], b[up]
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = column.offsets.to_numpy().astype(np.int64)
     return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -74,6 +74,7 @@ def test_blocks_and_shuffled_candidates_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(near, "ENTRIES_PER_TASK", 40)
     monkeypatch.setattr(near, "BROADCAST_KEYS", 0)
     monkeypatch.setattr(near, "_FLUSH_ROWS", 10)
+    monkeypatch.setattr(near, "TILE", 3)
     assert {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, SCHEMA), 0.5, 3).pairs().collect()} == brute(rows, 0.5, 3)
 
 
