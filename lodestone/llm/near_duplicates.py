@@ -31,7 +31,7 @@ BROADCAST_KEYS = 1_000_000
 ENTRIES_PER_TASK = 250_000
 #: Entries of one bucket that are compared where they are; of a larger one each side of a tile.
 TILE = 8_192
-_FLUSH_ROWS = 40_000
+_FLUSH_ROWS = 10_000
 _ENTRY = np.dtype([("bucket", "<u4"), ("key", "<i8"), ("sketch", "<u8")])
 
 
@@ -110,8 +110,8 @@ class NearDuplicates:
                 offsets -= offsets[0]
                 elements, owner = shingle_hashes(words, offsets, shingle)
                 elements = elements ^ _kind_salt(batch.column(1))[owner]
-                for first in range(0, len(batch), 4096):  # bounds the signatures held at once
-                    last = min(first + 4096, len(batch))
+                for first in range(0, len(batch), 2048):  # bounds the signatures held at once
+                    last = min(first + 2048, len(batch))
                     part = slice(*np.searchsorted(owner, [first, last]))
                     signature = signatures(elements[part], owner[part] - first, last - first, m)
                     hashes = band_hashes(signature, rows)
@@ -228,8 +228,8 @@ class NearDuplicates:
 
 
 def _candidate_rows(a, b, left=None, right=None) -> pa.RecordBatch:  # noqa: ANN001
-    none = [None] * len(a)
-    columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left or none, pa.binary()), pa.array(right or none, pa.binary())]
+    none = pa.nulls(len(a), pa.binary())
+    columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left, pa.binary()) if left else none, pa.array(right, pa.binary()) if right else none]
     return pa.RecordBatch.from_arrays(columns, ["a", "b", "left_tile", "right_tile"])
 
 
@@ -252,7 +252,7 @@ def _buckets(entries: np.ndarray, tile: int) -> tuple[np.ndarray, list[np.ndarra
     return part[inside], [part[starts[i] : starts[i] + sizes[i]] for i in hot]
 
 
-def _alike(part: np.ndarray, max_unlike: int, step: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _alike(part: np.ndarray, max_unlike: int, step: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Key pairs a < b of equal bucket and sketches that differ in at most ``max_unlike`` bits; ``part`` as :func:`_buckets` gives it."""
     bucket, key, sketch = (np.ascontiguousarray(part[c]) for c in ("bucket", "key", "sketch"))
     at = np.arange(len(part))
