@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
-from lodestone.operators.asof_stats import totals_before
 
 c = F.col
 #: Scores are compared after rounding, so the order of a sum never decides a rank.
@@ -25,53 +24,11 @@ def route_top(df: DataFrame, task: str, item: str, score: str, n: int, keep_zero
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(task).orderBy(c(score).desc(), item))).where(c("rank") <= n)
 
 
-def quality_as_of(events: DataFrame, cutoffs: DataFrame, items: DataFrame, prior: float = 20.0) -> DataFrame:
-    """(cutoff_time, business_id, n, quality) of every business with a review strictly before the cutoff.
-
-    0.8 of the Bayesian mean rating on 0..1 and 0.2 of log(1 + reviews) capped at the catalogue's 95th percentile.
-    """
-    probes = cutoffs.select("cutoff_time").distinct().crossJoin(F.broadcast(items.select("business_id").distinct()))  # the catalogue of each cutoff, by definition all pairs
-    counts = totals_before(events.select("business_id", c("t").alias("cutoff_time"), "stars"), probes, ["business_id"], "cutoff_time", ["stars"]).where("n > 0")
-    catalogue = Window.partitionBy("cutoff_time")  # a window, so that the counts are computed once and not joined to themselves
-    scaled = counts.withColumn("mean", F.sum("stars").over(catalogue) / F.sum("n").over(catalogue)).withColumn("p95", F.percentile(F.log1p("n"), F.lit(0.95)).over(catalogue))
-    rating = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((c("stars") + prior * c("mean")) / (c("n") + prior) - 1) / 4))
-    popular = F.when(c("p95") > 0, F.least(F.log1p("n"), c("p95")) / c("p95")).otherwise(0.0)
-    return scaled.select("cutoff_time", "business_id", "n", F.round(0.8 * rating + 0.2 * popular, DIGITS).alias("quality"))
-
-
 def history_of(tasks: DataFrame, events: DataFrame) -> DataFrame:
     """(task_id, business_id, stars, t) of the task's user strictly before its cutoff."""
     return tasks.select("task_id", "user_id", "cutoff_time").join(events.select("user_id", "business_id", "stars", "t"), "user_id").where("t < cutoff_time").select("task_id", "business_id", "stars", "t")
 
 
-def category_affinity(history: DataFrame, items: DataFrame) -> DataFrame:
-    """(task_id, business_id, category_score): the best category of the business by 0.7 mean stars and 0.3 frequency."""
-    tagged = items.select("business_id", F.explode(F.array_distinct("categories")).alias("category")).where("category is not null")
-    seen = history.join(tagged, "business_id").groupBy("task_id", "category").agg(F.count("*").alias("n"), F.sum("stars").alias("s"))
-    seen = seen.withColumn("most", F.max("n").over(Window.partitionBy("task_id")))
-    scored = seen.select("task_id", "category", (0.7 * ((c("s") / c("n") - 1) / 4) + 0.3 * c("n") / c("most")).alias("a"))
-    return scored.join(tagged, "category").groupBy("task_id", "business_id").agg(F.max("a").alias("category_score"))
-
-
-def location_affinity(history: DataFrame, items: DataFrame, scale_km: float = 10.0) -> DataFrame:
-    """(task_id, business_id, km, location_score) by distance from the mean place of the history."""
-    placed = items.where("latitude is not null and longitude is not null").select("business_id", "latitude", "longitude")
-    centre = history.join(placed, "business_id").groupBy("task_id").agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
-    pairs = centre.crossJoin(F.broadcast(placed))  # every task against the catalogue
-    km = S.haversine_km(c("lat"), c("lon"), c("latitude"), c("longitude"))
-    return pairs.select("task_id", "business_id", F.round(km, 6).alias("km"), F.exp(-km / scale_km).alias("location_score"))
-
-
-def fuse(routes: Iterable[tuple[DataFrame, float]], task: str, item: str, n: int, constant: float = 60.0) -> DataFrame:
-    """(task, item, fusion_score, route_count, rank): weighted reciprocal ranks of route lists (task, item, rank), summed."""
-    parts = [r.select(task, item, (F.lit(w) / (constant + c("rank"))).alias("share")) for r, w in routes]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.union(p)
-    summed = union.groupBy(task, item).agg(F.sum("share").alias("fusion_score"), F.count("*").alias("route_count"))
-    return route_top(summed, task, item, "fusion_score", n)
-
-
 def protected_union(base: DataFrame, extra: DataFrame, excluded: DataFrame, task: str, item: str) -> DataFrame:
     """(task, item, in_base, in_extra): all rows of both lists but the excluded; nothing is cut."""
     a, b = base.select(task, item, F.lit(1).alias("a")), extra.select(task, item, F.lit(1).alias("b"))

@@ -9,7 +9,7 @@ from lodestone.functions import scalars as S
 from lodestone.operators import retrieval as R
 from lodestone.plans.base import BIZ, INTER, TASKS, businesses, interactions, tasks
 from lodestone.plans.knowledge import _TARGET, _targets
-from lodestone.plans.recommend import _CATEGORY, _FUSED, _FUSED_500, _LOCATION, _QUALITY, _QUALITY_ROUTE, _ROUTES, PER_ROUTE, _category_route, _fused, _history, _location_route, _quality_route
+from lodestone.plans.recommend import _CATEGORY, _FUSED, _FUSED_500, _LOCATION, _QUALITY, _QUALITY_ROUTE, _ROUTES, PER_ROUTE, _category_route, _fused, _location_route, _quality_route, _ranked
 from lodestone.sources.tables import table
 
 c = F.col
@@ -150,24 +150,16 @@ left join (select business_id, count(*) n from inter group by 1) using (business
 def ranking_features_500(spark: SparkSession, folder: str) -> DataFrame:
     """Features of every fused candidate from the uncut scores; a default stands only where the score is unknown."""
     key = ["task_id", "business_id"]
-    events, items, history = interactions(spark, folder), businesses(spark, folder), _history(spark, folder)
-    quality = tasks(spark, folder).select("task_id", "cutoff_time").join(R.quality_as_of(events, tasks(spark, folder), items), "cutoff_time").select(*key, c("quality").alias("q"))
-    category = R.category_affinity(history, items).select(*key, F.round("category_score", 9).alias("x"))
-    location = R.location_affinity(history, items).select(*key, F.round("location_score", 9).alias("l"))
-    n = events.groupBy("business_id").agg(F.count("*").alias("n"))
-    f = _fused(spark, folder, PER_ROUTE).select(*key, c("rank").alias("retrieval_rank")).join(_targets(spark, folder).select("task_id", "history_count", "target"), "task_id")
-    return _feature_row(f.join(quality, key, "left").join(category, key, "left").join(location, key, "left").join(n, "business_id", "left"))
+    n = interactions(spark, folder).groupBy("business_id").agg(F.count("*").alias("n"))
+    f = _fused(spark, folder, PER_ROUTE).select(*key, c("rank").alias("retrieval_rank"), c("quality").alias("q"), c("category").alias("x"), c("location").alias("l"))
+    return _feature_row(f.join(_targets(spark, folder).select("task_id", "history_count", "target"), "task_id").join(n, "business_id", "left"))
 
 
 @query(f"""with {_QUALITY}, {_QUALITY_ROUTE}, {_CATEGORY}, {_LOCATION}, b as (select q.task_id, q.business_id, q.score q, coalesce(x.score, 0) x, coalesce(l.score, 0.5) l from (select * from qroute where rank <= 100) q left join croute x using (task_id, business_id) left join lroute l using (task_id, business_id)),
 s as (select task_id, business_id, round(0.4::double * x / 0.7::double + 0.2::double * q / 0.7::double + 0.1::double * l / 0.7::double, 9) score from b) select task_id, business_id, score, row_number() over (partition by task_id order by score desc, business_id) rank from s qualify rank <= 10""")
 def weighted_hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    from lodestone.operators.retrieval import category_affinity, location_affinity
-
     key = ["task_id", "business_id"]
-    history, items = _history(spark, folder), businesses(spark, folder)
-    b = _quality_route(spark, folder, 100).select(*key, c("score").alias("q"))
-    b = b.join(category_affinity(history, items).select(*key, F.round("category_score", 9).alias("x")), key, "left").join(location_affinity(history, items).select(*key, F.round("location_score", 9).alias("l")), key, "left")
+    b = _ranked(spark, folder, "quality", 100).select(*key, c("score").alias("q"), c("category").alias("x"), c("location").alias("l"))
     score = 0.4 * F.coalesce("x", F.lit(0.0)) / 0.7 + 0.2 * c("q") / 0.7 + 0.1 * F.coalesce("l", F.lit(0.5)) / 0.7
     return R.route_top(b.select(*key, score.alias("score")), "task_id", "business_id", "score", 10)
 

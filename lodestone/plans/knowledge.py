@@ -15,7 +15,7 @@ from lodestone.operators import text as T
 from lodestone.operators.learning import batch_score, linear, pairwise_logistic
 from lodestone.operators.vectors import cosine_top
 from lodestone.plans.base import BIZ, INTER, TASKS, businesses, interactions, tasks
-from lodestone.plans.recommend import _CATEGORY, _FUSED, _FUSED_500, _QUALITY, _QUALITY_ROUTE, _ROUTES, PER_ROUTE, _fused, _history, _quality_route
+from lodestone.plans.recommend import _CATEGORY, _FUSED, _FUSED_500, _QUALITY, _QUALITY_ROUTE, _ROUTES, PER_ROUTE, _fused, _quality_route, _ranked
 from lodestone.sources.tables import table
 
 c = F.col
@@ -291,9 +291,7 @@ _GRID = ", ".join(f"({q / 4}::double, {x / 4}::double)" for q in range(5) for x
 grid(wq, wx) as (values {_GRID}), r as (select wq, wx, cand.task_id, business_id, row_number() over (partition by wq, wx, cand.task_id order by round(wq * q + wx * x + (1 - wq - wx) * z, 9) desc, business_id) rank from cand, grid)
 select wq, wx, count(*) n, round(avg(coalesce(1.0::double / rank, 0)), 9) mrr from (select wq, wx, v.task_id, max(rank) filter (r.business_id = v.target) rank from r join v using (task_id) group by 1, 2, 3) group by 1, 2""")
 def grid_search(spark: SparkSession, folder: str) -> DataFrame:
-    q = _quality_route(spark, folder, 100).select("task_id", "business_id", c("score").alias("q"), (1 - (c("rank") - 1) / 100.0).alias("z"))
-    x = R.category_affinity(_history(spark, folder), businesses(spark, folder)).select("task_id", "business_id", F.round("category_score", 9).alias("x"))
-    cand = q.join(x, ["task_id", "business_id"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    cand = _ranked(spark, folder, "quality", 100).select("task_id", "business_id", c("score").alias("q"), F.coalesce("category", F.lit(0.0)).alias("x"), (1 - (c("rank") - 1) / 100.0).alias("z"))
     grid = spark.createDataFrame([(w["q"], w["x"]) for w in R.simplex(0.25, ["q", "x", "z"])], "wq double, wx double")
     score = F.round(c("wq") * c("q") + c("wx") * c("x") + (1 - c("wq") - c("wx")) * c("z"), 9)
     ranked = cand.crossJoin(F.broadcast(grid)).withColumn("rank", F.row_number().over(Window.partitionBy("wq", "wx", "task_id").orderBy(score.desc(), "business_id")))
@@ -327,9 +325,7 @@ def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def pairwise_logistic_ranking(spark: SparkSession, folder: str) -> DataFrame:
     """Fitted on differences of target and other candidates, then applied by the batch scorer."""
-    q = _quality_route(spark, folder, 50).select("task_id", "business_id", c("score").alias("quality"), (1 / (60.0 + c("rank"))).alias("rr"))
-    x = R.category_affinity(_history(spark, folder), businesses(spark, folder)).select("task_id", "business_id", c("category_score").alias("category"))
-    cand = q.join(x, ["task_id", "business_id"], "left").fillna(0.0, ["category"])
+    cand = _ranked(spark, folder, "quality", 50).select("task_id", "business_id", c("score").alias("quality"), (1 / (60.0 + c("rank"))).alias("rr"), F.coalesce("category", F.lit(0.0)).alias("category"))
     names = ["quality", "rr", "category"]
     target = _targets(spark, folder).select("task_id", c("target").alias("business_id"))
     positive = cand.join(target, ["task_id", "business_id"]).select("task_id", *(c(n).alias(f"p_{n}") for n in names))

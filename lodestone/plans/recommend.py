@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
 from lodestone.operators import retrieval as R
+from lodestone.operators.catalogue import candidates, catalogue, text_weights
 from lodestone.operators.splits import leave_last_two_out, rolling_targets
 from lodestone.plans.base import BIZ, INTER, TASKS, businesses, interactions, tasks
 
@@ -67,10 +68,24 @@ def _history(spark: SparkSession, folder: str) -> DataFrame:
     return R.history_of(tasks(spark, folder), interactions(spark, folder))
 
 
+def _described(spark: SparkSession, folder: str) -> DataFrame:
+    """(business_id, doc): name and categories as one text."""
+    cats = F.coalesce(F.array_join(F.array_sort(F.array_compact("categories")), " "), F.lit(""))
+    return businesses(spark, folder).select("business_id", F.concat_ws(" ", F.coalesce("name", F.lit("")), cats).alias("doc"))
+
+
+def _ranked(spark: SparkSession, folder: str, by: str, n: int, per_route: int = 500, weights: dict[str, float] | None = None) -> DataFrame:
+    """The first ``n`` businesses of each task by a route or by fused routes, with all their uncut scores."""
+    text = by == "text" or "text" in (weights or {})
+    known = catalogue(businesses(spark, folder), text_weights(_described(spark, folder), "doc") if text else None)
+    return candidates(interactions(spark, folder), tasks(spark, folder), known, by, n, per_route, weights)
+
+
+_ROUTE = ("task_id", "business_id", "score", "rank")
+
+
 def _quality_route(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    quality = R.quality_as_of(interactions(spark, folder), tasks(spark, folder), businesses(spark, folder))
-    pairs = tasks(spark, folder).select("task_id", "cutoff_time").join(quality, "cutoff_time").join(_history(spark, folder).select("task_id", "business_id").distinct(), ["task_id", "business_id"], "left_anti")
-    return R.route_top(pairs.select("task_id", "business_id", c("quality").alias("score")), "task_id", "business_id", "score", n)
+    return _ranked(spark, folder, "quality", n).select(*_ROUTE)
 
 
 @query(f"with {_QUALITY}, {_QUALITY_ROUTE} select task_id, business_id, score, rank from qroute where rank <= 20")
@@ -85,8 +100,7 @@ croute as (select task_id, business_id, round(max(a), 9) score, row_number() ove
 
 
 def _category_route(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    scored = R.category_affinity(_history(spark, folder), businesses(spark, folder)).withColumnRenamed("category_score", "score")
-    return R.route_top(scored, "task_id", "business_id", "score", n, keep_zero=False)
+    return _ranked(spark, folder, "category", n).select(*_ROUTE)
 
 
 @query(f"with {_QUALITY}, {_CATEGORY} select task_id, business_id, score, rank from croute where rank <= 20")
@@ -95,14 +109,13 @@ def category_affinity_route(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _KM = "2 * 6371.0088 * asin(sqrt(least(1.0, greatest(0.0, pow(sin(radians(latitude - lat) / 2), 2) + cos(radians(lat)) * cos(radians(latitude)) * pow(sin(radians(longitude - lon) / 2), 2)))))"
-_LOCATION = f"""centre as (select task_id, avg(latitude) lat, avg(longitude) lon from hist join biz using (business_id) where latitude is not null and longitude is not null group by 1),
+_LOCATION = f"""centre as (select task_id, round(avg(latitude), 6) lat, round(avg(longitude), 6) lon from hist join biz using (business_id) where latitude is not null and longitude is not null group by 1),
 dist as (select task_id, business_id, {_KM} km from centre, biz where latitude is not null and longitude is not null),
 lroute as (select task_id, business_id, round(km, 6) km, round(exp(-km / 10), 9) score, row_number() over (partition by task_id order by round(exp(-km / 10), 9) desc, business_id) rank from dist)"""
 
 
 def _location_route(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    scored = R.location_affinity(_history(spark, folder), businesses(spark, folder)).withColumnRenamed("location_score", "score")
-    return R.route_top(scored, "task_id", "business_id", "score", n)
+    return _ranked(spark, folder, "location", n).select("task_id", "business_id", F.round("km", 6).alias("km"), "score", "rank")
 
 
 @query(f"with {_QUALITY}, {_LOCATION} select task_id, business_id, score, rank from lroute where rank <= 20")
@@ -124,19 +137,49 @@ fused as (select task_id, business_id, round(sum(share), 9) fusion_score, count(
 _FUSED, _FUSED_500 = _fused_sql(50), _fused_sql(PER_ROUTE)
 
 
-def _fused(spark: SparkSession, folder: str, n: int, per_route: int = PER_ROUTE) -> DataFrame:
-    routes = [(_quality_route(spark, folder, per_route), 1.0), (_category_route(spark, folder, per_route), 1.0), (_location_route(spark, folder, per_route), 0.5)]
-    return R.fuse(routes, "task_id", "business_id", n)
+_THREE = {"quality": 1.0, "category": 1.0, "location": 0.5}
+
+
+def _fused(spark: SparkSession, folder: str, n: int, per_route: int = PER_ROUTE, weights: dict[str, float] | None = None) -> DataFrame:
+    return _ranked(spark, folder, "fused", n, per_route, weights or _THREE).withColumnRenamed("score", "fusion_score")
+
+
+_LISTED = ("task_id", "business_id", "fusion_score", "route_count", "rank")
 
 
 @query(f"with {_ROUTES}, {_FUSED} select task_id, business_id, fusion_score, route_count, rank from fused where rank <= 30")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return _fused(spark, folder, 30, 50)
+    return _fused(spark, folder, 30, 50).select(*_LISTED)
 
 
 @query(f"with {_ROUTES}, {_FUSED_500} select task_id, business_id, fusion_score, route_count, rank from fused where rank <= {PER_ROUTE}")
 def rrf_fusion_500(spark: SparkSession, folder: str) -> DataFrame:
-    return _fused(spark, folder, PER_ROUTE)
+    return _fused(spark, folder, PER_ROUTE).select(*_LISTED)
+
+
+_TEXT = r"""docs as (select business_id, regexp_extract_all(lower(concat_ws(' ', coalesce(name, ''), coalesce(array_to_string(list_sort([x for x in categories if x is not null]), ' '), ''))), '[\p{L}\p{N}]+') w from biz),
+tm as (select business_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) term from docs), tf as (select business_id, term, count(*) f from tm group by all),
+dfs as (select term, count(*) df from tf group by 1 having count(*) >= 2), nn as (select count(*) n from docs), raw as (select business_id, term, (1 + ln(f)) * (ln((1 + n) / (1 + df)::double) + 1) w from tf join dfs using (term), nn),
+tw as (select business_id, term, w / sqrt(sum(w * w) over (partition by business_id)) w from raw),
+cen as (select task_id, term, sum(w) filter (stars >= 4) p, sum(w) filter (stars <= 2) q from hist join tw using (business_id) group by 1, 2), nrm as (select task_id, sqrt(sum(p * p)) np, sqrt(sum(q * q)) nq from cen group by 1),
+cs as (select c.task_id, t.business_id, sum(c.p * t.w) a, sum(c.q * t.w) b from cen c join tw t using (term) group by 1, 2),
+tscore as (select task_id, business_id, round(greatest(0.0, least(1.0, 0.5::double + 0.5::double * coalesce(a / np, 0) - 0.5::double * coalesce(b / nq, 0))), 9) score
+ from nrm cross join (select distinct business_id from tw) left join cs using (task_id, business_id) where np is not null or nq is not null),
+troute as (select *, row_number() over (partition by task_id order by score desc, business_id) rank from tscore)"""
+
+
+@query(f"with {_QUALITY}, {_TEXT} select task_id, business_id, score, rank from troute where rank <= 20")
+def text_preference_route(spark: SparkSession, folder: str) -> DataFrame:
+    return _ranked(spark, folder, "text", 20).select(*_ROUTE)
+
+
+@query(f"""with {_ROUTES}, {_TEXT}, shares as (select task_id, business_id, 1.0::double / (60 + rank) share from qroute where rank <= {PER_ROUTE} union all select task_id, business_id, 1.0::double / (60 + rank) from croute where rank <= {PER_ROUTE}
+ union all select task_id, business_id, 1.0::double / (60 + rank) from lroute where rank <= {PER_ROUTE} union all select task_id, business_id, 1.0::double / (60 + rank) from troute where rank <= {PER_ROUTE}),
+fused as (select task_id, business_id, round(sum(share), 9) fusion_score, count(*) route_count, row_number() over (partition by task_id order by round(sum(share), 9) desc, business_id) rank from shares group by 1, 2)
+select task_id, business_id, fusion_score, route_count, rank from fused where rank <= {PER_ROUTE}""")
+def four_route_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality, category, location and text, 500 a route with equal weights, 500 kept."""
+    return _fused(spark, folder, PER_ROUTE, PER_ROUTE, {"quality": 1.0, "category": 1.0, "location": 1.0, "text": 1.0}).select(*_LISTED)
 
 
 @query(f"""with {_ROUTES} select coalesce(q.task_id, x.task_id) task_id, coalesce(q.business_id, x.business_id) business_id, q.task_id is not null in_base, x.task_id is not null in_extra
@@ -177,9 +220,7 @@ p as (select *, row_number() over (partition by task_id order by q desc, busines
 bl as (select task_id, business_id, round(0.7::double * case when n <= 1 then 1.0 else (n - rq)::double / (n - 1) end + (1 - 0.7::double) * case when n <= 1 then 1.0 else (n - rx)::double / (n - 1) end, 9) blend from p)
 select task_id, business_id, blend, row_number() over (partition by task_id order by blend desc, business_id) rank from bl""")
 def blend_percentile_rank(spark: SparkSession, folder: str) -> DataFrame:
-    q = _quality_route(spark, folder, 50).select("task_id", "business_id", c("score").alias("q"))
-    scored = R.category_affinity(_history(spark, folder), businesses(spark, folder)).select("task_id", "business_id", F.round("category_score", 9).alias("x"))
-    both = q.join(scored, ["task_id", "business_id"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    both = _ranked(spark, folder, "quality", 50).select("task_id", "business_id", c("score").alias("q"), F.coalesce("category", F.lit(0.0)).alias("x"))
     return R.blend(both, "task_id", "business_id", "q", "x", 0.7).select("task_id", "business_id", "blend", "rank")
 
 

@@ -190,3 +190,41 @@ def test_preference_signals_ignore_order(spark):
 def test_comma_list_trims_and_drops_blanks(spark):
     got = spark.createDataFrame([(" Bars , Vegan,, ",), (None,)], "x string").select(S.comma_list(F.col("x")).alias("l")).collect()
     assert [r.l for r in got] == [["Bars", "Vegan"], None]
+
+
+@pytest.mark.parametrize("slice_events", [200_000, 30])
+def test_candidates_are_as_of_each_task(spark, monkeypatch, slice_events):
+    import lodestone.operators.catalogue as K
+
+    monkeypatch.setattr(K, "SLICE_EVENTS", slice_events)
+    rnd = random.Random(1)
+    items = spark.createDataFrame([(f"b{i}", 40 + i / 100, None if i == 3 else -70.0, ["x", "y", None][: i % 3 + 1] if i != 4 else None) for i in range(12)], "business_id string, latitude double, longitude double, categories array<string>")
+    day = lambda n: f"2024-01-{1 + n // 24:02d} {n % 24:02d}:00:00"
+    raw = [(f"u{rnd.randrange(9)}" if rnd.random() < 0.7 else "hot", f"b{rnd.randrange(14)}", float(rnd.randrange(1, 6)), rnd.randrange(600)) for _ in range(400)]
+    events = spark.createDataFrame([(u, b, s, day(t)) for u, b, s, t in raw], "user_id string, business_id string, stars double, d string").selectExpr("user_id", "business_id", "stars", "cast(d as timestamp_ntz) t")
+    asked = [(f"t{i}", rnd.choice(["u1", "u2", "hot", "nobody"]), rnd.randrange(600)) for i in range(40)]
+    tasks = spark.createDataFrame([(k, u, day(t)) for k, u, t in asked] + [("null", None, day(3))], "task_id string, user_id string, d string").selectExpr("task_id", "user_id", "cast(d as timestamp_ntz) cutoff_time")
+    known = K.catalogue(items)
+    got = {}
+    for r in K.candidates(events, tasks, known, "quality", 5).collect():
+        got.setdefault(r.task_id, []).append((r["rank"], r.business_id, r.quality))
+    assert "null" not in got
+    for k, u, t in asked:
+        past = [(x, b, s) for x, b, s, at in raw if at < t and b in known.ids]
+        n = {b: sum(x[1] == b for x in past) for b in known.ids}
+        stars = {b: sum(x[2] for x in past if x[1] == b) for b in known.ids}
+        seen = [b for b in known.ids if n[b]]
+        if not seen:
+            assert k not in got
+            continue
+        mean, logs = sum(stars.values()) / sum(n.values()), sorted(math.log1p(n[b]) for b in seen)
+        at = 0.95 * (len(logs) - 1)
+        p95 = logs[int(at)] + (at - int(at)) * (logs[min(int(at) + 1, len(logs) - 1)] - logs[int(at)])
+        quality = {b: 0.8 * min(1, max(0, ((stars[b] + 20 * mean) / (n[b] + 20) - 1) / 4)) + 0.2 * min(math.log1p(n[b]), p95) / p95 for b in seen}
+        own = {b for x, b, _ in past if x == u}
+        best = sorted((b for b in seen if b not in own), key=lambda b: (-round(quality[b], 9), known.ids.index(b)))[:5]
+        rows = sorted(got.get(k, []))
+        assert [b for _, b, _ in rows] == best and all(q == pytest.approx(quality[b], abs=2e-9) for _, b, q in rows)
+    with pytest.raises(ValueError):
+        K.catalogue(items, limit=5)
+    assert K.candidates(events.limit(0), tasks, known, "fused", 5, weights={"quality": 1.0, "location": 1.0}).count() == 0

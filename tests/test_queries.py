@@ -4,11 +4,7 @@ from lodestone import queries as core
 from oracle import assert_same
 
 FOLDER = "/root/testdata/sf0.001"
-#: Their plans are parts of other queries here; they are compared at the larger scale by the driver.
-SLOW = {"hard_similar_random_negatives", "segment_metrics", "rank_movement", "grid_search", "protected_union", "blend_percentile_rank"}
-
-
-@pytest.mark.parametrize("name", sorted(set(core.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(core.oracle_sql())))
 def test_query_equals_its_sql(spark, name):
     assert_same(spark, FOLDER, core.queries()[name], core.oracle_sql()[name])
 
