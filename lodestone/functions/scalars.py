@@ -95,3 +95,10 @@ def open_at(start_minute: Column, end_minute: Column, minute: Column) -> Column:
     return F.when(start_minute == end_minute, False).when(start_minute < end_minute, (minute >= start_minute) & (minute < end_minute)).otherwise(
         F.when(start_minute.isNotNull() & end_minute.isNotNull(), (minute >= start_minute) | (minute < end_minute))
     )
+
+
+def open_in_week(start: Column, end: Column, start_before: Column, end_before: Column, minute: Column) -> Column:
+    """Whether the day's span holds the minute, or the overnight span of the day before still does; unknown without the day's span, unless the latter does."""
+    today = F.coalesce(open_at(start, end, minute) & ((start < end) | (minute >= start)), F.lit(False))
+    late = F.coalesce((start_before > end_before) & (minute < end_before), F.lit(False))
+    return F.when(today | late, True).when(start.isNull() | end.isNull(), F.lit(None)).otherwise(False)

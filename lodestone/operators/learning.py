@@ -69,3 +69,17 @@ def batch_score(df: DataFrame, keys: Sequence[str], features: Sequence[str], sco
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(np.asarray(scorer(matrix, features), float))], [*keys, "score"])
 
     return rows.mapInArrow(run, schema)
+
+
+def score_pairs(df: DataFrame, keys: Sequence[str], left: str, right: str, scorer: Callable[[list, list], list]) -> DataFrame:
+    """``keys`` and score: a plug-in ``scorer(left values, right values) -> numbers or None`` applied to Arrow batches of pairs."""
+    rows = df.select(*keys, F.col(left).alias("_left"), F.col(right).alias("_right"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", score double"
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = scorer(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(scores, pa.float64())], [*keys, "score"])
+
+    return rows.mapInArrow(run, schema)

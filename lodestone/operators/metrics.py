@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -56,15 +57,22 @@ def per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return g.select("label", "support", F.round(ratio(c("hit"), c("said")), 9).alias("precision"), F.round(ratio(c("hit"), c("support")), 9).alias("recall"), F.round(ratio(2 * c("hit"), c("support") + c("said")), 9).alias("f1"))
 
 
-def calibration(df: DataFrame, probability: str, outcome: str, order: Sequence[str], bins: int = 10) -> DataFrame:
-    """One row: n, Brier score, and expected calibration error over ``bins`` bins of equal size in the order of probability.
+def _placed(df: DataFrame, probability: str, order: Sequence[str], down: bool = False, ranges: int = 1024) -> DataFrame:
+    """``df`` with i, its place from 0 in the order of ``probability`` (falling with ``down``), then ``order``, and n, the number of rows.
 
-    Bins come from a rank computed over ranges of probability (counts of distinct probabilities, then a running sum),
-    so rows are not sorted in one task; rows of one probability are split over bins by their ``order`` columns.
+    Rows are counted by range of probability first, and then placed within their range, so no task sorts them all.
     """
-    counts = df.groupBy(probability).agg(F.count("*").alias("k"))
-    before = counts.select(probability, (F.sum("k").over(Window.orderBy(probability).rowsBetween(Window.unboundedPreceding, 0)) - c("k")).alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    ranked = df.join(before, probability).withColumn("i", c("before") + F.row_number().over(Window.partitionBy(probability).orderBy(*order)) - 1)
+    ranged = df.withColumn("_range", F.greatest(F.lit(0), F.least(F.lit(ranges - 1), F.floor(c(probability) * ranges))).cast("int"))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("k"))  # at most ``ranges`` rows
+    way = c("_range").desc() if down else c("_range").asc()
+    before = sizes.select("_range", (F.sum("k").over(Window.orderBy(way).rowsBetween(Window.unboundedPreceding, 0)) - c("k")).alias("before"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    inside = Window.partitionBy("_range").orderBy(c(probability).desc() if down else c(probability).asc(), *order)
+    return ranged.join(F.broadcast(before), "_range").withColumn("i", c("before") + F.row_number().over(inside) - 1).drop("before", "_range")
+
+
+def calibration(df: DataFrame, probability: str, outcome: str, order: Sequence[str], bins: int = 10) -> DataFrame:
+    """One row: n, Brier score, and expected calibration error over ``bins`` bins of equal size in the order of probability, then ``order``."""
+    ranked = _placed(df, probability, order)
     small, extra = F.floor(c("n") / bins), c("n") % bins  # the first ``extra`` bins have one row more
     head = extra * (small + 1)
     bin_ = F.when(c("i") < head, F.floor(c("i") / (small + 1))).otherwise(extra + F.floor((c("i") - head) / F.nullif(small, F.lit(0))))
@@ -72,21 +80,37 @@ def calibration(df: DataFrame, probability: str, outcome: str, order: Sequence[s
     return per.agg(F.sum("k").alias("n"), F.round(F.sum("se") / F.sum("k"), 9).alias("brier"), F.round(F.sum(c("k") * F.abs(c("p") - c("o"))) / F.sum("k"), 9).alias("ece"))
 
 
-def paired_bootstrap(df: DataFrame, unit: str, left: str, right: str, rounds: int = 500, seed: int = 7) -> DataFrame:
+def coverage_risk(df: DataFrame, probability: str, outcome: str, order: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """(coverage, n, risk): the share of wrong outcomes among the most probable ``coverage`` of the rows."""
+    marked = _placed(df, probability, order, down=True).withColumn("coverage", F.explode(F.array(*(F.lit(float(p)) for p in points)))).where(c("i") + 1 <= F.ceil(c("coverage") * c("n")))
+    return marked.groupBy("coverage").agg(F.count("*").alias("n"), F.round(1 - F.avg(c(outcome).cast("double")), 9).alias("risk"))
+
+
+#: Distribution of a Poisson variable of mean 1, by which a uniform number becomes a count.
+POISSON = tuple(float(x) for x in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]))
+_PRIME, _STRIDE = 2_147_483_647, 2_654_435_761
+
+
+def paired_bootstrap(df: DataFrame, unit: str, left: str, right: str, rounds: int = 500, seed: str = "boot") -> DataFrame:
     """One row: mean difference left - right, its 95 % interval and the share of resamples above 0, resampling units.
 
-    Rows are summed per unit first. Each unit draws a Poisson(1) count per resample from its own seeded generator, so a
-    resample is a sum that merges over partitions and no unit list is gathered.
+    Rows are summed per unit first. A unit's count in a resample is Poisson(1), drawn from a cubic of the unit's hash, shifted
+    by the resample and taken modulo a prime, so a resample is a sum that merges over partitions and no unit list is gathered.
     """
-    per = df.groupBy(unit).agg(F.sum(c(left) - c(right)).alias("d"), F.count("*").alias("n")).select(F.xxhash64(c(unit).cast("string")).alias("h"), "d", "n")
+    number = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), c(unit).cast("string")), 256), 1, 8), 16, 10).cast("bigint"), F.lit(_PRIME))
+    per = df.groupBy(unit).agg(F.sum(c(left) - c(right)).alias("d"), F.count("*").alias("n")).select(number.alias("h"), "d", "n")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, n = np.zeros(rounds), np.zeros(rounds)
+        shift = np.arange(rounds, dtype=np.int64) * _STRIDE % _PRIME
         for batch in batches:
-            for h, diff, size in zip(*(batch.column(i).to_numpy() for i in range(3))):
-                times = np.random.default_rng([seed, int(h) & 0xFFFFFFFFFFFF]).poisson(1.0, rounds)
-                d += times * diff
-                n += times * size
+            for at in range(0, len(batch), 512):
+                h, diff, size = (batch.column(i).to_numpy()[at : at + 512] for i in range(3))
+                z = (h[:, None] + shift) % _PRIME
+                u = z * z % _PRIME * z % _PRIME / _PRIME
+                times = np.searchsorted(POISSON, u, side="right")
+                d += diff @ times
+                n += size @ times
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds), pa.int32()), pa.array(d), pa.array(n)], ["b", "d", "n"])
 
     sums = per.mapInArrow(draw, "b int, d double, n double").groupBy("b").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0.0))).alias("delta"))

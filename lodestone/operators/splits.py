@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import hash_order
+
 c = F.col
 
 
@@ -50,3 +52,26 @@ def rolling_targets(events: DataFrame, min_history: int = 8, reserve: int = 2, l
     size = F.count("*").over(user)
     weight = F.when(size == 1, F.lit(1.0)).otherwise(0.5 + 0.5 * (k - 1) / F.nullif(size - 1, F.lit(0)))
     return kept.select("user_id", "review_id", c("p").cast("bigint").alias("target_position"), k.alias("k"), size.alias("n_targets"), F.round(weight, 9).alias("sample_weight"))
+
+
+def grouped_split(rows: DataFrame, group: str, stratum: str, shares: dict[str, float], trials: int = 16, seed: str = "split") -> DataFrame:
+    """(group, part, deviation): groups put whole into parts, by the trial that keeps the strata most alike.
+
+    In every trial a hash of seed, trial and group decides the part. A trial's deviation is the sum, over parts and strata, of
+    the difference between a stratum's share in the part and in all rows; the least wins, then the first. Only counts by
+    group and stratum are tried, not the rows.
+    """
+    c = F.col
+    counts = rows.groupBy(c(group).alias("g"), c(stratum).alias("s")).agg(F.count("*").alias("n"))
+    u = F.conv(F.substring(hash_order(seed, c("trial").cast("string"), c("g")), 1, 8), 16, 10).cast("double") / 2**32
+    names, upto, part = list(shares), 0.0, None
+    for name in names[:-1]:
+        upto = round(upto + shares[name], 12)
+        part = F.when(u < upto, name) if part is None else part.when(u < upto, name)
+    tried = counts.select("g").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("part", part.otherwise(names[-1]) if part is not None else F.lit(names[-1]))
+    cells = tried.join(counts, "g").groupBy("trial", "part", "s").agg(F.sum("n").alias("n"))  # trials x parts x strata
+    sizes = cells.groupBy("trial", "part").agg(F.sum("n").alias("t"))
+    share = counts.groupBy("s").agg(F.sum("n").alias("k")).withColumn("share", c("k") / F.sum("k").over(Window.partitionBy()))  # a row a stratum
+    off = sizes.crossJoin(F.broadcast(share)).join(cells, ["trial", "part", "s"], "left").withColumn("d", F.abs(F.coalesce("n", F.lit(0)) / c("t") - c("share")))
+    best = off.groupBy("trial").agg(F.round(F.sum("d"), 9).alias("deviation")).orderBy("deviation", "trial").limit(1)
+    return tried.join(F.broadcast(best), "trial").select(c("g").alias(group), "part", "deviation")

@@ -315,7 +315,14 @@ def class_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return M.per_class(labels.where("truth is not null"), "truth", "predicted")
 
 
-@query()
+_TIMES = f"len([t for t in {list(M.POISSON)} if u >= t])"
+
+
+@query(f"""with {_RANKS_500}, q2 as (select v.task_id, q.rank qr from v left join (select * from qroute where rank <= 500) q on q.task_id = v.task_id and q.business_id = v.target),
+per as (select user_id, sum(coalesce(1.0::double / target_rank, 0) - coalesce(1.0::double / qr, 0)) d, count(*) n, ('0x' || substr(sha256('boot:' || user_id), 1, 8))::bigint % 2147483647 h from tr join q2 using (task_id) group by user_id),
+z as (select b, d, n, (h + b * 2654435761 % 2147483647) % 2147483647 z from per, (select range b from range(500))), k as (select b, d, n, {_TIMES} k from (select b, d, n, (z * z % 2147483647 * z % 2147483647) / 2147483647::double u from z)),
+s as (select b, sum(k * d) / nullif(sum(k * n), 0) delta from k group by 1)
+select round(quantile_cont(delta, 0.025), 9) low, round(quantile_cont(delta, 0.975), 9) high, round(avg((delta > 0)::int), 9) share_above_zero, (select round(sum(d) / sum(n), 9) from per) delta from s""")
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
     both = _ranks(spark, folder).join(M.target_ranks(_targets(spark, folder).select("task_id", "target"), _quality_route(spark, folder, 500), "task_id", "business_id").select("task_id", c("target_rank").alias("qr")), "task_id")
     rr = lambda n: F.coalesce(1 / c(n), F.lit(0.0))

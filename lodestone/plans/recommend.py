@@ -74,9 +74,9 @@ def _described(spark: SparkSession, folder: str) -> DataFrame:
     return businesses(spark, folder).select("business_id", F.concat_ws(" ", F.coalesce("name", F.lit("")), cats).alias("doc"))
 
 
-def _ranked(spark: SparkSession, folder: str, by: str, n: int, per_route: int = 500, weights: dict[str, float] | None = None) -> DataFrame:
-    """The first ``n`` businesses of each task by a route or by fused routes, with all their uncut scores."""
-    text = by == "text" or "text" in (weights or {})
+def _ranked(spark: SparkSession, folder: str, by: str, n: int, per_route: int = 500, weights: dict[str, float] | None = None, texts: bool = False) -> DataFrame:
+    """The first ``n`` businesses of each task by a route or by fused routes, with all their uncut scores; that of the text only where it is used or asked for."""
+    text = texts or by == "text" or "text" in (weights or {})
     known = catalogue(businesses(spark, folder), text_weights(_described(spark, folder), "doc") if text else None)
     return candidates(interactions(spark, folder), tasks(spark, folder), known, by, n, per_route, weights)
 

@@ -114,14 +114,12 @@ def atomic_json(path: str | Path, value: object) -> None:
 
 
 def fingerprint(paths: Sequence[str | Path], config: Mapping[str, object]) -> str:
-    """SHA-256 over the files' bytes, in order, and the configuration."""
+    """SHA-256 over names, sizes and times of change of the files, in order, and the configuration; no content is read."""
     digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode())
     for path in paths:
         for part in sorted(Path(path).rglob("*.parquet")) if Path(path).is_dir() else [Path(path)]:
-            digest.update(part.name.encode())
-            with part.open("rb") as file:
-                while block := file.read(1 << 20):
-                    digest.update(block)
+            known = part.stat()
+            digest.update(f"{part.name}\x1f{known.st_size}\x1f{known.st_mtime_ns}\n".encode())
     return digest.hexdigest()
 
 
@@ -153,6 +151,28 @@ def markdown_report(df: DataFrame, path: str | Path, title: str, limit: int = 1_
     atomic_text(path, "\n".join(lines) + "\n")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on whatever file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+class VersionedStore:
+    """Rows by key in an append-only Parquet table: a put adds versions, a read takes the latest of each key by ``order``."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]):
+        self.spark, self.path, self.keys, self.order = spark, path, list(keys), list(order)
+
+    def put(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.path)
+
+    def latest(self) -> DataFrame:
+        """One row a key; nulls of ``order`` come before all values."""
+        rows = self.spark.read.parquet(self.path)
+        rest = [n for n in rows.columns if n not in self.keys and n not in self.order]
+        return rows.groupBy(*self.keys).agg(F.max(F.struct(*self.order, *rest)).alias("x")).select(*self.keys, *(F.col(f"x.{n}") for n in (*self.order, *rest)))
+
+
 class VectorCache:
     """Vectors by the hash of their text, as a Parquet table: new ones are appended, the first written stands."""
 
@@ -160,11 +180,11 @@ class VectorCache:
         self.spark, self.path = spark, path
 
     def load(self) -> DataFrame:
+        """What was written so far; a cache that can't be read raises, only one that isn't there is empty."""
         schema = "text_sha256 string, vector array<float>"
-        try:
-            return self.spark.read.schema(schema).parquet(self.path).dropDuplicates(["text_sha256"])
-        except Exception:  # nothing written yet
+        if not exists(self.spark, f"{self.path}/_SUCCESS"):
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path).dropDuplicates(["text_sha256"])
 
     def encode(self, texts: DataFrame, text_col: str, encoder) -> DataFrame:  # noqa: ANN001
         """``texts`` with vector; only texts not in the cache go through ``encoder(list of texts) -> list of vectors``, in Arrow batches."""
