@@ -104,18 +104,33 @@ def before(order: str, *keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy(micros(F.col(order))).rangeBetween(Window.unboundedPreceding, -1)
 
 
-def latest_at_or_before(probes: DataFrame, facts: DataFrame, key: str, probe_time: str, fact_time: str, fact_id: str, strict: bool = False) -> DataFrame:
+def latest_at_or_before(probes: DataFrame, facts: DataFrame, key: str, probe_time: str, fact_time: str, fact_id: str, strict: bool = False, slices: int = 128) -> DataFrame:
     """``probes`` with ``fact_id`` and ``fact_time`` of the newest fact of the key at or before (``strict``: before) the probe's time.
 
-    Facts of one time are resolved to the greatest id. Union and one window over the key, so a probe costs one sorted
-    row, never a range join. Null keys and times never match; a probe without a fact keeps nulls.
+    Facts of one time are resolved to the greatest id. Time is cut into ``slices`` of equal length: the newest fact of a key's
+    earlier slices is found from one row a slice, and only the probe's own slice is run through a window, partitioned by key
+    and slice, so a key that holds most facts is spread over its slices. A probe costs one sorted row, never a range join.
+    Null keys and times never match; a probe without a fact keeps nulls.
     """
     c = F.col
     order = 0 if strict else 2  # where a probe sorts beside facts of the same time, which are at 1
-    f = facts.where(c(key).isNotNull() & c(fact_time).isNotNull()).groupBy(key, fact_time).agg(F.max(fact_id).alias("_id"))
-    p = probes.select(c(key).alias("_k"), c(probe_time).alias("_t"), F.lit(order).alias("_o"), F.struct(*probes.columns).alias("_row"), F.lit(None).cast(f.schema["_id"].dataType).alias("_id"), F.lit(None).cast(f.schema[fact_time].dataType).alias("_ft"))
-    rows = p.unionByName(f.select(c(key).alias("_k"), c(fact_time).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(p.schema["_row"].dataType).alias("_row"), "_id", c(fact_time).alias("_ft")))
-    so_far = Window.partitionBy("_k").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("_fact", F.when(c("_o") == 1, F.struct("_id", "_ft"))).withColumn("_last", F.last("_fact", ignorenulls=True).over(so_far))
-    found = F.when(c("_k").isNotNull() & c("_t").isNotNull(), c("_last"))
-    return seen.where(c("_o") == order).select("_row.*", found["_id"].alias(fact_id), found["_ft"].alias(fact_time))
+    f = facts.where(c(key).isNotNull() & c(fact_time).isNotNull()).groupBy(c(key).alias("_k"), c(fact_time).alias("_t")).agg(F.max(fact_id).alias("_id"))
+    p = probes.select(c(key).alias("_k"), c(probe_time).alias("_t"), F.struct(*probes.columns).alias("_row"))
+    span = f.agg(F.min(micros(c("_t"))).alias("_lo"), F.max(micros(c("_t"))).alias("_hi"))  # one row
+
+    def sliced(df: DataFrame) -> DataFrame:
+        place = F.floor((micros(c("_t")) - c("_lo")) / (F.floor((c("_hi") - c("_lo")) / slices) + 1))
+        return df.crossJoin(F.broadcast(span)).withColumn("_s", F.coalesce(F.greatest(F.lit(-1), F.least(F.lit(slices), place)), F.lit(0)).cast("int")).drop("_lo", "_hi")
+
+    f, p = sliced(f), sliced(p)
+    fact = F.struct(c("_t").alias("t"), c("_id").alias("id"))
+    marks = f.groupBy("_k", "_s").agg(F.max(fact).alias("_fact")).unionByName(p.select("_k", "_s").distinct().withColumn("_fact", F.lit(None).cast(f.select(fact.alias("x")).schema["x"].dataType)))
+    marks = marks.groupBy("_k", "_s").agg(F.max("_fact").alias("_fact"))
+    earlier = marks.select(c("_k").alias("_mk"), c("_s").alias("_ms"), F.max("_fact").over(Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))  # slices, not facts
+    none = p.schema["_row"].dataType
+    rows = p.select("_k", "_s", "_t", F.lit(order).alias("_o"), "_row", F.lit(None).cast(f.select(fact.alias("x")).schema["x"].dataType).alias("_fact")).unionByName(f.select("_k", "_s", "_t", F.lit(1).alias("_o"), F.lit(None).cast(none).alias("_row"), fact.alias("_fact")))
+    so_far = Window.partitionBy("_k", "_s").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("_last", F.last("_fact", ignorenulls=True).over(so_far)).where(c("_o") == order)
+    both = seen.join(earlier, (c("_k") == c("_mk")) & (c("_s") == c("_ms")), "left")
+    found = F.when(c("_k").isNotNull() & c("_t").isNotNull(), F.coalesce("_last", "_before"))
+    return both.select("_row.*", found["id"].alias(fact_id), found["t"].alias(fact_time))

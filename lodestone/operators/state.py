@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import micros
+
 c = F.col
 
 
@@ -18,7 +20,11 @@ def latest_per_pair(events: DataFrame, keys: list[str], order: list[str]) -> Dat
     return events.groupBy(*keys).agg(F.max(F.struct(*order, *fields)).alias("x")).select(*keys, "x.*")
 
 
-def fold_patches(patches: Iterable[dict], min_confidence: float = 0.6) -> dict[str, dict]:
+#: Patches below it have no effect.
+MIN_CONFIDENCE = 0.6
+
+
+def fold_patches(patches: Iterable[dict], min_confidence: float = MIN_CONFIDENCE) -> dict[str, dict]:
     """Conditions after the patches in order: add, replace and remove by slot.
 
     A patch under ``min_confidence``, or whose evidence text is empty, has no effect. A hard condition is only removed
@@ -38,18 +44,63 @@ def fold_patches(patches: Iterable[dict], min_confidence: float = 0.6) -> dict[s
     return state
 
 
-def fold_sessions(df: DataFrame, session: str, turn: str, patch: str) -> DataFrame:
-    """(session, n_patches, state JSON): the patches (JSON text) of each session folded in the order of turns.
+#: What a slot may hold before a patch, by which the effect of a run of patches is told.
+_STARTS = ("none", "soft", "hard")
+
+
+def _effect(patches: Iterable[dict]) -> dict[str, dict | None | str]:
+    """What a run of patches of one slot makes of each start: ``same``, None or a state. Effects of runs can be composed."""
+    out: dict[str, dict | None | str] = {}
+    for start in _STARTS:
+        held: dict | None = None if start == "none" else {"hard": start == "hard", "same": True}
+        for p in patches:
+            if (p.get("confidence") or 0.0) < MIN_CONFIDENCE or not p.get("evidence"):
+                continue
+            if p["operation"] == "remove":
+                if held and (not held["hard"] or p.get("explicit")):
+                    held = None
+            elif p["operation"] == "replace" or held is None:
+                if held is None or not held["hard"] or p.get("hard"):
+                    held = {"value": p.get("value"), "hard": bool(p.get("hard"))}
+        out[start] = "same" if held and held.get("same") else held
+    return out
+
+
+def _composed(effects: Iterable[dict]) -> dict | None:
+    """The state after runs of patches, one after the other, from nothing."""
+    state: dict | None = None
+    for effect in effects:
+        result = effect["none" if state is None else "hard" if state["hard"] else "soft"]
+        state = state if result == "same" else result
+    return state
 
-    A session is one Pandas group: conversations are short by nature.
+
+def fold_sessions(df: DataFrame, session: str, turn: str, patch: str, slices: int = 8) -> DataFrame:
+    """(session, slot, value, hard, n_patches): the conditions of each session after its patches (JSON text) in the order of turns.
+
+    Slots don't touch each other, and what a run of patches does to one is a small table from what the slot held before. So
+    the patches of a session, slot and slice of time become such a table first, and the tables of a slot, at most ``slices``,
+    are applied one after the other: a session of any length is spread over its slots and slices. ``turn`` is a zone-less
+    time; patches of one turn are taken in the order of their text. value is JSON text. A slot without a condition at the end
+    has no row; null patches, sessions and turns are left out.
     """
     kind = dict(df.dtypes)[session]
+    rows = df.where(c(patch).isNotNull() & c(session).isNotNull() & c(turn).isNotNull()).select(c(session).alias("s"), micros(c(turn)).alias("at"), c(patch).alias("p")).withColumn("slot", F.get_json_object("p", "$.slot")).where("slot is not null")
+    span = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))  # one row
+    cut = rows.crossJoin(F.broadcast(span)).withColumn("slice", F.floor((c("at") - c("lo")) / (F.floor((c("hi") - c("lo")) / slices) + 1)).cast("int")).drop("lo", "hi")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = [json.loads(x) for x in group.sort_values([turn, patch])[patch]]
-        return pd.DataFrame([(group[session].iloc[0], len(ordered), json.dumps(fold_patches(ordered), sort_keys=True))], columns=["s", "n", "state"])
+        ordered = [json.loads(x) for x in group.sort_values(["at", "p"])["p"]]
+        return pd.DataFrame([(*group[["s", "slot", "slice"]].iloc[0], len(ordered), json.dumps(_effect(ordered)))], columns=["s", "slot", "slice", "n", "effect"])
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        state = _composed(map(json.loads, group.sort_values("slice")["effect"]))
+        found = [] if state is None else [(group["s"].iloc[0], group["slot"].iloc[0], json.dumps(state["value"]), state["hard"], int(group["n"].sum()))]
+        return pd.DataFrame(found, columns=["s", "slot", "value", "hard", "n"])
 
-    return df.where(c(patch).isNotNull()).select(session, turn, patch).groupBy(session).applyInPandas(run, f"s {kind}, n bigint, state string").withColumnRenamed("s", session).withColumnRenamed("n", "n_patches")
+    effects = cut.groupBy("s", "slot", "slice").applyInPandas(run, f"s {kind}, slot string, slice int, n bigint, effect string")
+    done = effects.groupBy("s", "slot").applyInPandas(finish, f"s {kind}, slot string, value string, hard boolean, n bigint")
+    return done.withColumnRenamed("s", session).withColumnRenamed("n", "n_patches")
 
 
 def preference_fold(df: DataFrame, keys: list[str], slot: str, value: str, priority: str, order: str) -> DataFrame:

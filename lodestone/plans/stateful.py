@@ -21,7 +21,8 @@ def latest_per_pair_query(spark: SparkSession, folder: str) -> DataFrame:
 def session_fold(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events", "event_id", "ts", "user_id", "event_type", "value")
     patch = F.to_json(F.struct(F.when(c("event_type") == "purchase", "replace").when(c("value") < 5, "remove").otherwise("add").alias("operation"), c("event_type").alias("slot"), F.round("value", 3).alias("value"), (c("value") > 80).alias("hard"), F.lit(0.9).alias("confidence"), c("event_id").cast("string").alias("evidence")))
-    return fold_sessions(e.withColumn("patch", patch), "user_id", "ts", "patch")
+    folded = fold_sessions(e.withColumn("patch", patch), "user_id", "ts", "patch")
+    return folded.select("user_id", "slot", c("value").cast("double").alias("value"), "hard", "n_patches")
 
 
 def preference_conflicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,6 +50,11 @@ def stream_latest_ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"latest_per_pair": latest_per_pair_query, "session_fold": session_fold, "preference_conflicts": preference_conflicts, "stream_windowed_counts": stream_windowed_counts, "stream_latest_ratings": stream_latest_ratings}
 SQL = {
+    "session_fold": """with e as (select user_id, event_type slot, round(value, 3) v, value > 80 hard, case when event_type = 'purchase' then 'replace' when value < 5 then 'remove' else 'add' end op, row_number() over w i from events where user_id is not null and ts is not null and event_type is not null window w as (partition by user_id, event_type order by ts)),
+l as (select *, op = 'replace' or op = 'add' and coalesce(lag(op) over w, 'remove') = 'remove' sets, max(i) over (partition by user_id, slot) n from e window w as (partition by user_id, slot order by i)),
+f as (select *, min(i) filter (sets and hard) over (partition by user_id, slot) h from l),
+s as (select user_id, slot, n, h, coalesce(max(i) filter (i > h and op = 'replace' and hard), h, max(i) filter (sets)) pos, max_by(op, i) last_op from f group by 1, 2, 3, 4)
+select s.user_id, s.slot, f.v as value, f.hard, s.n n_patches from s join f on f.user_id = s.user_id and f.slot = s.slot and f.i = s.pos where s.h is not null or s.last_op <> 'remove'""",
     "latest_per_pair": f"with {INTER} select user_id, business_id, max_by(stars, (t, review_id)) stars, max_by(review_id, (t, review_id)) last_review from inter group by 1, 2",
     "preference_conflicts": f"""with {INTER}, {BIZ}, x as (select review_id, user_id, city, case when stars >= 4 then 1 else 2 end p from inter join biz using (business_id) where city is not null),
 r as (select *, row_number() over w k, first_value(city) over w fc, first_value(p) over w fp from x window w as (partition by user_id order by p, review_id))

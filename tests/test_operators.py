@@ -228,3 +228,40 @@ def test_candidates_are_as_of_each_task(spark, monkeypatch, slice_events):
     with pytest.raises(ValueError):
         K.catalogue(items, limit=5)
     assert K.candidates(events.limit(0), tasks, known, "fused", 5, weights={"quality": 1.0, "location": 1.0}).count() == 0
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_sessions_folded_in_slices_equal_one_fold(spark, slices):
+    from lodestone.operators.state import fold_sessions
+
+    rnd = random.Random(11)
+    rows = []
+    for i in range(400):
+        p = {"operation": rnd.choice(["add", "replace", "remove"]), "slot": rnd.choice("ab"), "value": rnd.randrange(9), "hard": rnd.random() < 0.2, "confidence": rnd.choice([0.9, 0.9, 0.3]), "evidence": rnd.choice(["x", "x", ""]), "explicit": rnd.random() < 0.2}
+        rows.append((rnd.choice(["hot", "hot", "u", "v"]), f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", json.dumps(p)))
+    df = spark.createDataFrame(rows + [("u", None, "{}"), (None, "2024-01-01 00:00:00", "{}"), ("u", "2024-01-01 00:00:00", None)], "s string, d string, p string").selectExpr("s", "cast(d as timestamp_ntz) t", "p")
+    got = {(r.s, r.slot): (json.loads(r.value), r.hard) for r in fold_sessions(df, "s", "t", "p", slices).collect()}
+    expected = {}
+    for s in ("hot", "u", "v"):
+        for slot, state in fold_patches(json.loads(p) for who, _, p in rows if who == s).items():
+            expected[(s, slot)] = (state["value"], state["hard"])
+    assert got == expected
+
+
+def test_json_is_flattened_at_any_depth(spark):
+    df = spark.createDataFrame([("a", '{"x": {"y": [1, {"z": true}], "n": null}, "w": "u\'free\'"}'), ("b", "broken"), ("c", None), ("d", "{}")], "id string, j string")
+    got = sorted((r.id, tuple(r.path), r.value) for r in T.flatten_json(df, "id", "j").collect())
+    assert got == [("a", ("w",), "u'free'"), ("a", ("x", "y"), "1"), ("a", ("x", "y", "z"), "true")]
+
+
+def test_catalogue_search_prefers_whole_names(spark):
+    names = spark.createDataFrame([("Hot Pot",), ("Pot Pie",), ("火锅店",)], "name string")
+    asked = spark.createDataFrame([("1", "a hot pot near pie"), ("2", "附近的火锅"), ("3", None), ("4", "nothing")], "q string, t string")
+    got = [(r.q, r.name, r["rank"]) for r in T.catalogue_search(asked, "q", "t", names, "name", 5).orderBy("q", "rank").collect()]
+    assert got == [("1", "Hot Pot", 1), ("1", "Pot Pie", 2), ("2", "火锅店", 1)]
+
+
+def test_week_includes_the_night_before(spark):
+    rows = [(600, 1200, None, None, 700), (600, 1200, 1300, 100, 50), (600, 600, None, None, 600), (None, None, 1300, 100, 50), (None, None, None, None, 50), (1300, 100, 600, 700, 50), (1300, 100, 600, 700, 1310)]
+    got = spark.createDataFrame(rows, "a int, b int, pa int, pb int, m int").select(S.open_in_week(*map(F.col, ("a", "b", "pa", "pb", "m"))).alias("o")).collect()
+    assert [r.o for r in got] == [True, True, False, True, None, False, True]
