@@ -116,3 +116,40 @@ def paired_bootstrap(df: DataFrame, unit: str, left: str, right: str, rounds: in
     sums = per.mapInArrow(draw, "b int, d double, n double").groupBy("b").agg((F.sum("d") / F.nullif(F.sum("n"), F.lit(0.0))).alias("delta"))
     mean = per.agg(F.round(F.sum("d") / F.sum("n"), 9).alias("delta"))
     return sums.agg(F.round(F.percentile("delta", F.lit(0.025)), 9).alias("low"), F.round(F.percentile("delta", F.lit(0.975)), 9).alias("high"), F.round(F.avg((c("delta") > 0).cast("double")), 9).alias("share_above_zero")).crossJoin(mean)
+
+
+def logistic_calibrator(df: DataFrame, score: str, outcome: str, l2: float = 1e-6, rounds: int = 50) -> tuple[float, float]:
+    """(a, b) of the probability 1 / (1 + exp(-(a + b * score))) that fits 0/1 outcomes best; each Newton step is one aggregate of six sums."""
+    rows = df.where(c(score).isNotNull() & c(outcome).isNotNull()).select(c(score).cast("double").alias("x"), c(outcome).cast("double").alias("y"))
+    a = b = 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * c("x"))))
+        v = p * (1 - p)
+        g0, g1, h0, h1, h2 = rows.agg(F.sum(c("y") - p), F.sum((c("y") - p) * c("x")), F.sum(v), F.sum(v * c("x")), F.sum(v * c("x") * c("x"))).first()
+        if g0 is None:
+            return 0.0, 0.0
+        step = np.linalg.solve(np.array([[h0 + l2, h1], [h1, h2 + l2]]), np.array([g0 - l2 * a, g1 - l2 * b]))
+        a, b = a + float(step[0]), b + float(step[1])
+        if np.abs(step).max() < 1e-10:
+            break
+    return a, b
+
+
+def isotonic(df: DataFrame, score: str, outcome: str, most: int = 100_000) -> DataFrame:
+    """(score, fitted): the non-decreasing means of a 0/1 outcome by score that are nearest to it.
+
+    Rows are counted by score first; scores are to be binned to at most ``most`` values, which is checked. Neighbouring
+    scores out of order are pooled until none is left.
+    """
+    counts = df.where(c(score).isNotNull() & c(outcome).isNotNull()).groupBy(score).agg(F.count("*").alias("_n"), F.sum(c(outcome).cast("double")).alias("_s")).orderBy(score).limit(most + 1).collect()
+    if len(counts) > most:
+        raise ValueError(f"more than {most} scores: bin them first")
+    pools: list[list[float]] = []  # rows, sum of outcomes, scores
+    for row in counts:
+        pools.append([row["_n"], row["_s"], 1])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            n, s, k = pools.pop()
+            pools[-1] = [pools[-1][0] + n, pools[-1][1] + s, pools[-1][2] + k]
+    fitted = [s / n for n, s, k in pools for _ in range(int(k))]
+    kind = dict(df.dtypes)[score]
+    return df.sparkSession.createDataFrame([(row[score], f) for row, f in zip(counts, fitted)], f"{score} {kind}, fitted double")

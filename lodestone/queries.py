@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import breadth, composites, events, knowledge, recommend, relational, stateful
+from lodestone.plans import breadth, composites, evaluation, events, knowledge, recommend, relational, stateful
 
-_MODULES = (events, relational, recommend, knowledge, stateful, composites, breadth)
+_MODULES = (events, relational, recommend, knowledge, stateful, composites, breadth, evaluation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

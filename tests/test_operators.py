@@ -265,3 +265,18 @@ def test_week_includes_the_night_before(spark):
     rows = [(600, 1200, None, None, 700), (600, 1200, 1300, 100, 50), (600, 600, None, None, 600), (None, None, 1300, 100, 50), (None, None, None, None, 50), (1300, 100, 600, 700, 50), (1300, 100, 600, 700, 1310)]
     got = spark.createDataFrame(rows, "a int, b int, pa int, pb int, m int").select(S.open_in_week(*map(F.col, ("a", "b", "pa", "pb", "m"))).alias("o")).collect()
     assert [r.o for r in got] == [True, True, False, True, None, False, True]
+
+
+def test_calibrators_fit_what_they_should(spark):
+    rnd = random.Random(6)
+    rows = [(x, int(rnd.random() < 1 / (1 + math.exp(-(0.5 + 2 * x))))) for x in (rnd.gauss(0, 1) for _ in range(4000))]
+    a, b = M.logistic_calibrator(spark.createDataFrame(rows + [(None, 1)], "x double, y int"), "x", "y")
+    assert abs(a - 0.5) < 0.15 and abs(b - 2) < 0.2
+    assert M.logistic_calibrator(spark.createDataFrame([], "x double, y int"), "x", "y") == (0.0, 0.0)
+    counts = [(1, 4, 1), (2, 4, 3), (3, 4, 1), (4, 2, 1), (5, 1, 1), (6, 3, 2)]
+    df = spark.createDataFrame([(s, int(i < good)) for s, n, good in counts for i in range(n)], "s int, o int")
+    got = {r.s: r.fitted for r in M.isotonic(df, "s", "o").collect()}
+    mean = lambda j, k: sum(g for s, _, g in counts if j <= s <= k) / sum(n for s, n, _ in counts if j <= s <= k)
+    assert got == {i: pytest.approx(max(min(mean(j, k) for k in range(i, 7)) for j in range(1, i + 1))) for i in range(1, 7)}
+    with pytest.raises(ValueError):
+        M.isotonic(df, "s", "o", most=3)
