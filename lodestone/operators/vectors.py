@@ -13,10 +13,11 @@ c = F.col
 
 
 def _unit(column: pa.ChunkedArray, size: int) -> np.ndarray:
-    lists = column.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    offsets = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.float64).reshape(-1, size)
+    parts = [np.empty((0, size))]
+    for lists in column.chunks:
+        offsets = lists.offsets.to_numpy()
+        parts.append(lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.float64).reshape(-1, size))
+    flat = np.concatenate(parts)
     return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
 
 

@@ -11,8 +11,8 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import text as T
 from lodestone.plans.base import BIZ, INTER, businesses, interactions, tasks
 from lodestone.plans.breadth import _ASKED, _CONDITIONS, _conditions
-from lodestone.plans.knowledge import _RANKS_500, _ranks, _targets
-from lodestone.plans.recommend import _FUSED_500, _QUALITY, _ROUTES, PER_ROUTE, _fused, _quality_route
+from lodestone.plans.knowledge import _RANKS_500, _TARGET, _ranks, _targets
+from lodestone.plans.recommend import _FOUR, _FUSED_FOUR, _QUALITY, _ROUTES, _TEXT, PER_ROUTE, _fused, _quality_route
 from lodestone.sources.tables import table
 
 c = F.col
@@ -125,6 +125,28 @@ def conversation_compaction(spark: SparkSession, folder: str) -> DataFrame:
     return kept.union(rest.select("user_id", F.lit(None).cast("bigint").alias("turn"), F.lit("compacted").alias("kind"), "n", "first_ts", "last_ts", "n_types"))
 
 
+@query(f"""with {_ROUTES}, {_TEXT}, {_FUSED_FOUR}, {_TARGET}, f as (select * from fused where rank <= 100), q as (select k.task_id, quality.business_id, quality score from tasks k join quality using (cutoff_time)),
+u as (select task_id, count(*) n, avg(stars) mean, count(*) filter (stars >= 4) hi, count(*) filter (stars <= 2) lo, max(t) last from hist group by 1)
+select f.task_id, f.business_id, f.rank retrieval_rank, fusion_score, route_count, coalesce(q.score, 0) quality, coalesce(x.score, 0) category, coalesce(l.score, 0.5) location, coalesce(ts.score, 0.5) as text, coalesce(u.n, 0) history_length, round(coalesce(mean, 0), 9) average_rating,
+ round(coalesce(hi / n::double, 0), 9) share_high, round(coalesce(lo / n::double, 0), 9) share_low, round((epoch_us(k.cutoff_time) - epoch_us(last)) / 86400000000.0::double, 6) days_since_last, coalesce(price_level, 0)::int price_level, coalesce(rating, 0) rating, coalesce(len(categories), 0) n_categories, coalesce(is_open, false)::int is_open, f.business_id = v.target as label
+from f join v using (task_id) join tasks k on k.task_id = f.task_id left join q on q.task_id = f.task_id and q.business_id = f.business_id left join croute x on x.task_id = f.task_id and x.business_id = f.business_id left join lroute l on l.task_id = f.task_id and l.business_id = f.business_id
+left join tscore ts on ts.task_id = f.task_id and ts.business_id = f.business_id left join u on u.task_id = f.task_id left join biz on biz.business_id = f.business_id""")
+def ltr_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Features of the first 100 fused candidates: routes, the user's history before the task, the business's facts, and the label."""
+    k = tasks(spark, folder)
+    h = R.history_of(k, interactions(spark, folder)).groupBy("task_id").agg(F.count("*").alias("n"), F.avg("stars").alias("mean"), F.count_if(c("stars") >= 4).alias("hi"), F.count_if(c("stars") <= 2).alias("lo"), F.max("t").alias("last"))
+    users = _targets(spark, folder).select("task_id", "target").join(k.select("task_id", "cutoff_time"), "task_id").join(h, "task_id", "left")
+    facts = businesses(spark, folder).select("business_id", "price_level", "rating", "categories", "is_open")
+    f = _fused(spark, folder, 100, PER_ROUTE, _FOUR).join(users, "task_id").join(facts, "business_id", "left")
+    or_zero = lambda x: F.coalesce(x, F.lit(0))
+    share = lambda n: F.round(F.coalesce(c(n) / c("n"), F.lit(0.0)), 9).alias
+    return f.select(
+        "task_id", "business_id", c("rank").alias("retrieval_rank"), "fusion_score", c("route_count").cast("bigint").alias("route_count"), F.coalesce("quality", F.lit(0.0)).alias("quality"), F.coalesce(F.when(c("category") > 0, c("category")), F.lit(0.0)).alias("category"), F.coalesce("location", F.lit(0.5)).alias("location"),
+        F.coalesce("text", F.lit(0.5)).alias("text"), or_zero(c("n")).alias("history_length"), F.round(F.coalesce("mean", F.lit(0.0)), 9).alias("average_rating"), share("hi")("share_high"), share("lo")("share_low"), F.round(S.age_days(c("last"), c("cutoff_time")), 6).alias("days_since_last"),
+        or_zero(c("price_level").cast("int")).alias("price_level"), F.coalesce("rating", F.lit(0.0)).alias("rating"), or_zero(F.when(c("categories").isNotNull(), F.size("categories"))).cast("bigint").alias("n_categories"), F.coalesce("is_open", F.lit(False)).cast("int").alias("is_open"), (c("business_id") == c("target")).alias("label"),
+    )
+
+
 # evaluation
 
 

@@ -13,6 +13,7 @@ from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
 from lodestone.operators import text as T
 from lodestone.operators.learning import batch_score, linear, pairwise_logistic
+from lodestone.operators.trees import LambdaMart
 from lodestone.operators.vectors import cosine_top
 from lodestone.plans.base import BIZ, INTER, TASKS, businesses, interactions, tasks
 from lodestone.plans.recommend import _CATEGORY, _FUSED, _FUSED_500, _QUALITY, _QUALITY_ROUTE, _ROUTES, PER_ROUTE, _fused, _quality_route, _ranked
@@ -158,13 +159,14 @@ _MENTIONS = f"""men as (select review_id, min(business_id) business_id, min(user
 m as (select *, {_SENTIMENT} sentiment, {_ASPECT} aspect, 0.5::double + 0.1::double * stars confidence, pow(0.5, (epoch_us({_END}) - epoch_us(event_time)) / 86400000000.0::double / 365) decay from men where event_time < {_END})"""
 
 
-def _mentions(spark: SparkSession, folder: str) -> DataFrame:
+def _mentions(spark: SparkSession, folder: str, cutoff: str = "2025-01-01") -> DataFrame:
+    """What reviews before the ``cutoff`` say, as seen at that time."""
     r = table(spark, folder, "reviews", "review_id", "business_id", "user_id", "stars", "review_time", "text").dropna()
     r = r.groupBy("review_id").agg(*(F.min(n).alias(n) for n in ("business_id", "user_id", "stars")), F.min("review_time").alias("event_time"), F.min("text").alias("text"))
     low = F.lower("text")
     aspect = F.when(low.rlike("waiter|server|counterperson|barista"), "service").when(low.rlike("parking"), "parking").otherwise("other")
     sentiment = F.when(c("stars") >= 4, "positive").when(c("stars") <= 2, "negative").otherwise("neutral")
-    end = F.lit("2025-01-01").cast("timestamp_ntz")
+    end = F.lit(cutoff).cast("timestamp_ntz")
     return r.where(c("event_time") < end).withColumns({"sentiment": sentiment, "aspect": aspect, "confidence": 0.5 + 0.1 * c("stars"), "cutoff_time": end})
 
 
@@ -339,3 +341,15 @@ def pairwise_logistic_ranking(spark: SparkSession, folder: str) -> DataFrame:
     pairs = cand.join(target, ["task_id", "business_id"], "left_anti").join(positive, "task_id").select(*((c(f"p_{n}") - c(n)).alias(n) for n in names))
     weights = pairwise_logistic(pairs, names)
     return batch_score(cand, ["task_id", "business_id"], names, linear(weights))
+
+
+@query()
+def lambdamart_ranking(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosted trees fitted on the tasks that are not of the test split and applied to all by the batch scorer."""
+    names = ["fusion_score", "quality", "category", "location"]
+    cand = _fused(spark, folder, 50).select("task_id", "business_id", *names)
+    target = _targets(spark, folder).where("split <> 'test'").select("task_id", "target")
+    labelled = cand.join(target, "task_id").withColumn("label", (c("business_id") == c("target")).cast("int"))
+    model = LambdaMart(names, rounds=4, depth=2).fit(labelled, "task_id", "label")
+    scored = batch_score(cand, ["task_id", "business_id"], names, model.scorer())
+    return R.route_top(scored, "task_id", "business_id", "score", 50)

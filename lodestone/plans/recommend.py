@@ -173,13 +173,14 @@ def text_preference_route(spark: SparkSession, folder: str) -> DataFrame:
     return _ranked(spark, folder, "text", 20).select(*_ROUTE)
 
 
-@query(f"""with {_ROUTES}, {_TEXT}, shares as (select task_id, business_id, 1.0::double / (60 + rank) share from qroute where rank <= {PER_ROUTE} union all select task_id, business_id, 1.0::double / (60 + rank) from croute where rank <= {PER_ROUTE}
- union all select task_id, business_id, 1.0::double / (60 + rank) from lroute where rank <= {PER_ROUTE} union all select task_id, business_id, 1.0::double / (60 + rank) from troute where rank <= {PER_ROUTE}),
-fused as (select task_id, business_id, round(sum(share), 9) fusion_score, count(*) route_count, row_number() over (partition by task_id order by round(sum(share), 9) desc, business_id) rank from shares group by 1, 2)
-select task_id, business_id, fusion_score, route_count, rank from fused where rank <= {PER_ROUTE}""")
+_FUSED_FOUR = _FUSED_500.replace("0.5::double / (60 + rank)", "1.0::double / (60 + rank)").replace(f"from lroute where rank <= {PER_ROUTE}", f"from lroute where rank <= {PER_ROUTE} union all select task_id, business_id, 1.0::double / (60 + rank) from troute where rank <= {PER_ROUTE}")
+_FOUR = {"quality": 1.0, "category": 1.0, "location": 1.0, "text": 1.0}
+
+
+@query(f"with {_ROUTES}, {_TEXT}, {_FUSED_FOUR} select task_id, business_id, fusion_score, route_count, rank from fused where rank <= {PER_ROUTE}")
 def four_route_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Quality, category, location and text, 500 a route with equal weights, 500 kept."""
-    return _fused(spark, folder, PER_ROUTE, PER_ROUTE, {"quality": 1.0, "category": 1.0, "location": 1.0, "text": 1.0}).select(*_LISTED)
+    return _fused(spark, folder, PER_ROUTE, PER_ROUTE, _FOUR).select(*_LISTED)
 
 
 @query(f"""with {_ROUTES} select coalesce(q.task_id, x.task_id) task_id, coalesce(q.business_id, x.business_id) business_id, q.task_id is not null in_base, x.task_id is not null in_extra

@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,25 @@ def test_calibrators_fit_what_they_should(spark):
     assert got == {i: pytest.approx(max(min(mean(j, k) for k in range(i, 7)) for j in range(1, i + 1))) for i in range(1, 7)}
     with pytest.raises(ValueError):
         M.isotonic(df, "s", "o", most=3)
+
+
+def test_boosted_trees_rank_the_wanted_item_first(spark):
+    from lodestone.operators.trees import LambdaMart, lambdas
+
+    rnd = random.Random(9)
+    rows = []
+    for t in range(150):
+        items = [(rnd.random(), rnd.random(), rnd.random()) for _ in range(12)]
+        wanted = max(range(12), key=lambda i: -abs(items[i][0] - 0.5) + 0.02 * items[i][1])  # no linear score finds it
+        rows += [(f"t{t}", f"i{i}", *(None if rnd.random() < 0.02 else v for v in x), int(i == wanted)) for i, x in enumerate(items)]
+    df = spark.createDataFrame(rows, "task string, item string, a double, b double, noise double, y int")
+    model = LambdaMart(["a", "b", "noise"], rounds=6, depth=2, least_rows=5).fit(df, "task", "y")
+    scored = batch_score(df.select("task", "item", F.col("y").alias("kept"), "a", "b", "noise"), ["task", "item", "kept"], ["a", "b", "noise"], model.scorer()).collect()
+    places = []
+    for t in {r.task for r in scored}:
+        own = sorted((r for r in scored if r.task == t), key=lambda r: -r.score)
+        places.append([r.kept for r in own].index(1) + 1)
+    assert sum(1 / p for p in places) / len(places) > 0.6 and {int(f) for tree in model.trees for f in tree.feature if f >= 0} >= {0}
+    g, h = lambdas(np.array([0.0, 1.0, 2.0]), np.array([1, 0, 0]))
+    assert g[0] > 0 > g[1] and abs(g.sum()) < 1e-12 and (h > 0).all()
+    assert LambdaMart(["a"]).fit(df.limit(0), "task", "y").trees == []
