@@ -101,13 +101,31 @@ def top_keywords_unicode(spark: SparkSession, folder: str) -> DataFrame:
     return T.top_terms(T.tfidf(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", words=T.unicode_words), "doc_id", 5).select("doc_id", "term", "rank")
 
 
-@query()
+def _passages_sql(overlap: bool) -> str:
+    """For texts whose sentences all fit a passage, which those of the tables do; longer ones are tested against brute force."""
+    blank = [x for x in map(chr, range(0x10000)) if x.isspace()]
+    space, trimmed = "[" + "".join(f"\\x{{{ord(x):x}}}" for x in blank) + "]", "'" + "".join(blank) + "'"
+    closing = f"[.!?]{space}+|[。！？]" if overlap else f"[.!?。！？]{space}+"
+    back = "coalesce(list_max([x for x in ends if x < e and x > s]), e)" if overlap else "e"
+    truncated = "" if overlap else ", n > 8 truncated"
+    return rf"""with recursive rev as (select review_id, min(text) t from reviews where text is not null group by 1 having min(text) is not null),
+sen as (select review_id, t, [x for x in regexp_extract_all(t, '(?s).*?(?:{closing}|\n+|$)') if x <> ''] parts from rev where t <> ''),
+en as (select review_id, t, [list_sum([length(y) for y in parts[1:i]])::bigint for i in range(1, len(parts) + 1)] ends from sen),
+p as (select review_id, t, ends, 0::bigint k, 0::bigint s, list_max([x for x in ends if x <= 900]) e from en
+ union all select review_id, t, ends, k + 1, {back}, list_max([x for x in ends if x <= {back} + 900]) from p where e < length(t)),
+c as (select review_id, k, s + length(part) - length(ltrim(part, {trimmed})) s2, e - (length(part) - length(rtrim(part, {trimmed}))) e2, trim(part, {trimmed}) part, count(*) over (partition by review_id) n from (select *, substring(t, (s + 1)::int, (e - s)::int) part from p) where trim(part, {trimmed}) <> ''),
+q as (select *, row_number() over (partition by review_id order by k) - 1 i from c)
+select review_id, i::int segment_index, s2::int char_start, e2::int char_end, sha256(review_id || chr(31) || i || chr(31) || s2 || chr(31) || e2 || chr(31) || sha256(part)) segment_id{truncated} from q
+where {'true' if overlap else 'i < 8 and (i = 0 or e2 - s2 >= 20)'}""".replace("\\\\", "\\")
+
+
+@query(_passages_sql(False))
 def review_passages(spark: SparkSession, folder: str) -> DataFrame:
     reviews = table(spark, folder, "reviews", "review_id", "text").where("text is not null").groupBy("review_id").agg(F.min("text").alias("text"))
     return T.segments(reviews, "review_id", "text").drop("segment_text")
 
 
-@query()
+@query(_passages_sql(True))
 def review_passages_overlapping(spark: SparkSession, folder: str) -> DataFrame:
     reviews = table(spark, folder, "reviews", "review_id", "text").where("text is not null").groupBy("review_id").agg(F.min("text").alias("text"))
     return T.segments(reviews, "review_id", "text", overlap=True).drop("segment_text")
