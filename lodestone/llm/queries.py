@@ -123,5 +123,26 @@ _P6_REPORT = _PAIRS + """select eval_source, eval_split, train_source, count(dis
 from pairs group by all"""
 
 
+_GROUPS = r"""
+with recursive rec as (
+  select distinct 'review' kind, review_id id, text from reviews where review_id is not null and text is not null
+  union all
+  select distinct 'segment', segment_id, segment_text from review_segments where segment_id is not null and segment_text is not null),
+words as (select kind, id, md5(text) t, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from rec),
+texts as (select kind, t, any_value(w) w, count(distinct id) n from words group by 1, 2),
+runs as (select distinct kind, t, unnest([concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) for i in range(1, len(w) - 3)]) s from texts where len(w) >= 5),
+sizes as (select kind, t, count(*) k from runs group by 1, 2),
+half as (select a.kind, a.t a, b.t b, count(*) k from runs a join runs b on a.kind = b.kind and a.s = b.s and a.t < b.t group by all),
+near as (select half.kind, a, b from half join sizes p on p.kind = half.kind and p.t = a join sizes q on q.kind = half.kind and q.t = b where half.k >= 0.8::double * (p.k + q.k - half.k) - 1e-9),
+lnk as (select kind, a, b from near union all select kind, b, a from near),
+reach as (select kind, t a, t b from texts union select r.kind, r.a, l.b from reach r join lnk l on l.kind = r.kind and l.a = r.b),
+root as (select kind, a t, min(b) root from reach group by 1, 2),
+links as (select x.kind, x.t, case when len(w) >= 1 then n - 1 else 0 end + coalesce((select sum(o.n) from lnk l join texts o on o.kind = l.kind and o.t = l.b where l.kind = x.kind and l.a = x.t), 0) k from texts x),
+per as (select words.kind, words.id, case when links.k > 0 then root else words.id || words.t end root, links.k from words join root using (kind, t) join links using (kind, t)),
+least_id as (select kind, root, min(id) g from per group by 1, 2)
+select per.kind record_kind, per.id record_id, coalesce(min(g) filter (k > 0), per.id) group_id, max(k)::bigint n_links from per join least_id using (kind, root) group by 1, 2
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p4_found": _P4, "p6_found": _P6, "p6_report": _P6_REPORT}
+    return {"p1_found": _P1, "p1_groups": _GROUPS, "p4_found": _P4, "p6_found": _P6, "p6_report": _P6_REPORT}
