@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +75,7 @@ def _composed(effects: Iterable[dict]) -> dict | None:
     return state
 
 
-def fold_sessions(df: DataFrame, session: str, turn: str, patch: str, slices: int = 8) -> DataFrame:
+def fold_sessions(df: DataFrame, session: str, turn: str, patch: str, slices: int = 64) -> DataFrame:
     """(session, slot, value, hard, n_patches): the conditions of each session after its patches (JSON text) in the order of turns.
 
     Slots don't touch each other, and what a run of patches does to one is a small table from what the slot held before. So
@@ -89,17 +89,21 @@ def fold_sessions(df: DataFrame, session: str, turn: str, patch: str, slices: in
     span = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))  # one row
     cut = rows.crossJoin(F.broadcast(span)).withColumn("slice", F.floor((c("at") - c("lo")) / (F.floor((c("hi") - c("lo")) / slices) + 1)).cast("int")).drop("lo", "hi")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = [json.loads(x) for x in group.sort_values(["at", "p"])["p"]]
-        return pd.DataFrame([(*group[["s", "slot", "slice"]].iloc[0], len(ordered), json.dumps(_effect(ordered)))], columns=["s", "slot", "slice", "n", "effect"])
-
-    def finish(group: pd.DataFrame) -> pd.DataFrame:
-        state = _composed(map(json.loads, group.sort_values("slice")["effect"]))
-        found = [] if state is None else [(group["s"].iloc[0], group["slot"].iloc[0], json.dumps(state["value"]), state["hard"], int(group["n"].sum()))]
-        return pd.DataFrame(found, columns=["s", "slot", "value", "hard", "n"])
-
-    effects = cut.groupBy("s", "slot", "slice").applyInPandas(run, f"s {kind}, slot string, slice int, n bigint, effect string")
-    done = effects.groupBy("s", "slot").applyInPandas(finish, f"s {kind}, slot string, value string, hard boolean, n bigint")
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [json.dumps(_effect([json.loads(x["p"]) for x in patches])) for patches in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in batch.column(3)], pa.int64()), pa.array(done, pa.string())], ["s", "slot", "slice", "n", "effect"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states = [_composed(json.loads(x["effect"]) for x in runs) for runs in batch.column(3).to_pylist()]
+            value, hard = [None if x is None else json.dumps(x["value"]) for x in states], [None if x is None else x["hard"] for x in states]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(value, pa.string()), pa.array(hard, pa.bool_()), batch.column(2)], ["s", "slot", "value", "hard", "n"]).filter(pa.array([x is not None for x in states]))
+
+    lists = cut.groupBy("s", "slot", "slice").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("run"))  # the patches of a slot in a slice
+    tables = lists.mapInArrow(effects, f"s {kind}, slot string, slice int, n bigint, effect string")
+    runs = tables.groupBy("s", "slot").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("slice", "effect"))).alias("runs"))  # ``slices`` entries
+    done = runs.mapInArrow(finish, f"s {kind}, slot string, value string, hard boolean, n bigint")
     return done.withColumnRenamed("s", session).withColumnRenamed("n", "n_patches")
 
 

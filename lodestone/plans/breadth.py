@@ -91,6 +91,23 @@ def profile_store_latest(spark: SparkSession, folder: str) -> DataFrame:
     return store.latest().select("user_id", "profile_id", "history_length", "average_rating")
 
 
+@query(f"with {BIZ} select city, count(*) n, max(rating) best from biz group by 1")
+def reused_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that is built at the first call and only read at the second."""
+    out = scratch_path(spark, "reused") + "/table"
+    built: list[int] = []
+
+    def build() -> DataFrame:
+        built.append(1)
+        return businesses(spark, folder).groupBy("city").agg(F.count("*").alias("n"), F.max("rating").alias("best"))
+
+    for _ in range(2):
+        found = X.built_once(spark, out, [f"{folder}/business_fact_versions.parquet"], {"by": "city"}, build)
+    if len(built) != 1:
+        raise RuntimeError("the table was built again")
+    return found
+
+
 # scalars and texts
 
 

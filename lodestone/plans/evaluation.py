@@ -12,7 +12,7 @@ from lodestone.operators import text as T
 from lodestone.plans.base import BIZ, INTER, businesses, interactions, tasks
 from lodestone.plans.breadth import _ASKED, _CONDITIONS, _conditions
 from lodestone.plans.knowledge import _RANKS_500, _TARGET, _ranks, _targets
-from lodestone.plans.recommend import _FOUR, _FUSED_FOUR, _QUALITY, _ROUTES, _TEXT, PER_ROUTE, _fused, _quality_route
+from lodestone.plans.recommend import _FOUR, _FUSED_FOUR, _QUALITY, _ROUTES, _TEXT, PER_ROUTE, _fused, _quality_route, _ranked
 from lodestone.sources.tables import table
 
 c = F.col
@@ -170,6 +170,33 @@ def paired_retrieval_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return both.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(a & b).alias("both_hit"), F.count_if(a & ~b).alias("only_fused"), F.count_if(b & ~a).alias("only_quality"))
 
 
+_RECALL = ", ".join(f"round(avg(case when rank <= {k} then 1.0 else 0.0 end), 9) recall_{k}" for k in (50, 100, 500))
+
+
+@query(f"""with {_ROUTES}, {_TEXT}, {_FUSED_FOUR}, {_TARGET}, al as (select 'quality' route, task_id, business_id, rank from qroute union all select 'category', task_id, business_id, rank from croute union all select 'location', task_id, business_id, rank from lroute
+ union all select 'text', task_id, business_id, rank from troute union all select 'fused', task_id, business_id, rank from fused), r as (select unnest(['quality', 'category', 'location', 'text', 'fused']) route)
+select r.route, count(*) n, count(rank) n_listed, {_RECALL} from r join v on true left join (select * from al where rank <= 500) al on al.route = r.route and al.task_id = v.task_id and al.business_id = v.target group by 1""")
+def route_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Which routes list a task's target, and how high."""
+    targets = _targets(spark, folder).select("task_id", "target")
+    out = None
+    for route in (*_FOUR, "fused"):
+        listed = _ranked(spark, folder, route, PER_ROUTE, PER_ROUTE, _FOUR if route == "fused" else None)
+        ranks = M.target_ranks(targets, listed, "task_id", "business_id")
+        recall = (F.round(F.avg(F.when(c("target_rank") <= k, 1.0).otherwise(0.0)), 9).alias(f"recall_{k}") for k in (50, 100, 500))
+        part = ranks.agg(F.count("*").alias("n"), F.count("target_rank").alias("n_listed"), *recall).select(F.lit(route).alias("route"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""with {_QUALITY}, l as (select task_id, business_id, max_by(stars, (t, stars)) stars from hist group by 1, 2) select task_id, count(*) n_businesses, round(avg(stars), 9) mean_latest, count(*) filter (stars >= 4) n_liked from l group by 1""")
+def replayed_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of a user replayed up to each task's time: the latest rating of each business counts."""
+    h = R.history_of(tasks(spark, folder), interactions(spark, folder))
+    latest = h.groupBy("task_id", "business_id").agg(F.max_by("stars", F.struct("t", "stars")).alias("stars"))
+    return latest.groupBy("task_id").agg(F.count("*").alias("n_businesses"), F.round(F.avg("stars"), 9).alias("mean_latest"), F.count_if(c("stars") >= 4).alias("n_liked"))
+
+
 _HITS = """h as (select case_id, point_id, max(score) score from segment_hits where score is not null and not isnan(score) and case_id is not null group by all),
 st as (select point_id, max(stars) stars, max(coalesce(useful, 0)) useful from review_segments group by 1),
 r as (select case_id, point_id, stars >= 4 rel, row_number() over (partition by case_id order by score desc, point_id) a, row_number() over (partition by case_id order by useful desc, point_id) b from h join st using (point_id))"""

@@ -124,12 +124,17 @@ def fingerprint(paths: Sequence[str | Path], config: Mapping[str, object]) -> st
 
 
 def built_once(spark: SparkSession, out: str, inputs: Sequence[str | Path], config: Mapping[str, object], build) -> DataFrame:  # noqa: ANN001
-    """The table ``out``: reused if its manifest has the fingerprint of inputs and configuration, else built by ``build()``."""
-    manifest, now = Path(out + ".manifest.json"), fingerprint(inputs, config)
-    if not (manifest.exists() and Path(out).exists() and json.loads(manifest.read_text()).get("fingerprint") == now):
-        manifest.unlink(missing_ok=True)
+    """The table ``out``: reused if its manifest has the fingerprint of inputs and configuration, else built by ``build()``.
+
+    ``out`` may be on any file system. The manifest goes first and comes back last, so a broken build is never reused.
+    """
+    manifest, now = f"{out}.manifest.json", fingerprint(inputs, config)
+    known = json.loads("".join(r[0] for r in spark.read.text(manifest, wholetext=True).collect())) if exists(spark, manifest) else {}
+    if known.get("fingerprint") != now or not exists(spark, f"{out}/_SUCCESS"):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(manifest)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         write_parquet(build(), out)
-        atomic_json(manifest, {"fingerprint": now, "config": dict(config)})
+        spark.createDataFrame([(json.dumps({"fingerprint": now, "config": dict(config)}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
     return spark.read.parquet(out)
 
 
