@@ -41,7 +41,8 @@ def item_pairs(events: DataFrame, half_life_days: float = 365.0, beta: float = 1
 
     Per user and item the latest rating counts: 4 and more is positive, 2 and less negative, else it drops out. Weights
     halve every ``half_life_days`` before the last event. Similarity is the cosine of the weighted co-occurrence, shrunk
-    by support / (support + beta).
+    by support / (support + beta). A user meets itself once for each pair of rated items, which is what is counted; a
+    user's partition that grows beyond the others is split by the adaptive skew join.
     """
     latest = events.groupBy("user_id", "business_id").agg(F.max(F.struct("t", "review_id", "stars")).alias("x")).select("user_id", "business_id", "x.stars", "x.t")
     sign = F.when(c("stars") >= 4, "positive").when(c("stars") <= 2, "negative")

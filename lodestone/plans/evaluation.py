@@ -11,7 +11,7 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import text as T
 from lodestone.plans.base import BIZ, INTER, businesses, interactions, tasks
 from lodestone.plans.breadth import _ASKED, _CONDITIONS, _conditions
-from lodestone.plans.knowledge import _RANKS_500, _TARGET, _ranks, _targets
+from lodestone.plans.knowledge import _RANKS_500, _TARGET, _WORDS, _ranks, _targets
 from lodestone.plans.recommend import _FOUR, _FUSED_FOUR, _QUALITY, _ROUTES, _TEXT, PER_ROUTE, _fused, _quality_route, _ranked
 from lodestone.sources.tables import table
 
@@ -82,6 +82,46 @@ def structured_semantic_score(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_BM25 = f"""own as (select point_id, min(business_id) business_id, min(segment_text) text from review_segments where business_id is not null and segment_text is not null group by 1),
+tx as (select business_id, point_id, {_WORDS} w from own), h as (select case_id, point_id, max(score) score from segment_hits where score is not null and not isnan(score) and case_id is not null group by all),
+req as (select case_id, min(requirement_text) text from long_tail_02 where requirement_text is not null group by 1), qt as (select case_id, unnest(list_distinct({_WORDS})) term from req),
+asked as (select distinct case_id, business_id from h join own using (point_id)), st as (select business_id, count(*) n, greatest(avg(len(w)), 1e-9) mean from tx group by 1),
+tf as (select business_id, point_id, len, term, count(*) f from (select business_id, point_id, len(w) len, unnest(w) term from tx) group by all), dfs as (select business_id, term, count(*) df from tf group by all),
+bm as (select a.case_id, a.business_id, tf.point_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * f * 2.5::double / (f + 1.5::double * (0.25::double + 0.75::double * len / mean))), 9) score
+ from asked a join qt using (case_id) join tf on tf.business_id = a.business_id and tf.term = qt.term join dfs on dfs.business_id = a.business_id and dfs.term = qt.term join st on st.business_id = a.business_id group by 1, 2, 3)"""
+
+
+def _request_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(case_id, business_id, point_id, score) of the passages hit, and their BM25 among the passages of their business."""
+    own = table(spark, folder, "review_segments", "point_id", "business_id", "segment_text").where("business_id is not null and segment_text is not null").groupBy("point_id").agg(F.min("business_id").alias("business_id"), F.min("segment_text").alias("text"))
+    h = table(spark, folder, "segment_hits", "case_id", "point_id", "score").where("score is not null and not isnan(score) and case_id is not null").groupBy("case_id", "point_id").agg(F.max("score").alias("score"))
+    hits = h.join(own.select("point_id", "business_id"), "point_id")
+    texts = table(spark, folder, "long_tail_02", "case_id", "requirement_text").where("requirement_text is not null").groupBy("case_id").agg(F.min("requirement_text").alias("asked"))
+    requests = hits.select("case_id", "business_id").distinct().join(texts, "case_id")
+    return hits, T.bm25_requests(own, requests, "business_id", "point_id", "text", "case_id", "asked")
+
+
+@query(f"with {_BM25} select case_id, business_id, point_id, score, row_number() over (partition by case_id, business_id order by score desc, point_id) rank from bm qualify rank <= 3")
+def bm25_passages_of_requests(spark: SparkSession, folder: str) -> DataFrame:
+    _, scored = _request_scores(spark, folder)
+    w = Window.partitionBy("case_id", "business_id").orderBy(c("score").desc(), "point_id")
+    return scored.withColumn("rank", F.row_number().over(w)).where(c("rank") <= 3)
+
+
+@query(f"""with {_BM25}, d as (select case_id, business_id, point_id, row_number() over (partition by case_id, business_id order by h.score desc, point_id) r from h join own using (point_id)),
+b as (select case_id, business_id, point_id, row_number() over (partition by case_id, business_id order by score desc, point_id) r from bm),
+u as (select case_id, business_id, point_id, 1.0::double / (60 + r) s from d union all select case_id, business_id, point_id, 0.5::double / (60 + r) from b where r <= 20), f as (select case_id, business_id, point_id, round(sum(s), 9) fused from u group by 1, 2, 3)
+select case_id, business_id, point_id, fused from f qualify row_number() over (partition by case_id, business_id order by fused desc, point_id) <= 3""")
+def hybrid_passages_of_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages of each request and business by reciprocal ranks of the vector score and of BM25."""
+    hits, scored = _request_scores(spark, folder)
+    w = Window.partitionBy("case_id", "business_id")
+    rank = lambda df: df.withColumn("r", F.row_number().over(w.orderBy(c("score").desc(), "point_id")))
+    share = lambda df, weight: df.select("case_id", "business_id", "point_id", (F.lit(weight) / (60 + c("r"))).alias("s"))
+    both = share(rank(hits), 1.0).union(share(rank(scored).where("r <= 20"), 0.5)).groupBy("case_id", "business_id", "point_id").agg(F.round(F.sum("s"), 9).alias("fused"))
+    return both.withColumn("r", F.row_number().over(w.orderBy(c("fused").desc(), "point_id"))).where("r <= 3").drop("r")
+
+
 # profiles and memory
 
 
