@@ -35,9 +35,10 @@ FUNCTION_DF = 0.2
 FUNCTION_TOP = 0.3
 
 _LINK, _TAG, _KEY = "\ue000", "\ue001", "\ue002"
-_MARKUP = re.compile(r"<a\s[^<>]*>[^<>]*</a\s*>|\[[^\]\n]*\]\([^()\s]*\)|(?:https?://|www\.)\S+")
-#: Addresses without a scheme, the dot disguised or not.
-_HOST = re.compile(r"[\w-]+(?:(?:\s?(?:\(\.\)|\[\.\]|\[dot\]|\(dot\))\s?|\s\.\s|\.)[\w-]+)*?(?:\s?(?:\(\.\)|\[\.\]|\[dot\]|\(dot\))\s?|\s\.\s|\.)[a-z]{2,12}(?:/\S*|(?![\w.]))")
+_MARKUP = re.compile(r"<a\s[^<>]*>[^<>]*</a\s*>|\[[^\[\]\n]*\]\([^()\s]*\)|(?:https?://|www\.)\S+")
+#: Addresses without a scheme, the dot disguised or not; of up to ten labels, and begun at a word, so that a text costs its length.
+_DOT = r"(?:\s?(?:\(\.\)|\[\.\]|\[dot\]|\(dot\))\s?|\s\.\s|\.)"
+_HOST = re.compile(rf"(?<![\w-])[\w-]++(?:{_DOT}[\w-]++){{0,8}}?{_DOT}[a-z]{{2,12}}(?:/\S*|(?![\w.]))")
 _HOST_SIGN = re.compile(r"\.[a-z]|[(\[](?:\.|dot)[)\]]|\w \. [a-z]")
 _HASH = re.compile(r"#[^\s#]+")
 _PAIR = re.compile(r"(?<![^\W\d_])[^\W\d_]++:[\w-]*\w")

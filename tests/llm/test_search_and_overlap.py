@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -214,6 +215,13 @@ def test_measures_of_a_beat():
     assert measure(None, ()) == measure("", ()) == measure(" \n ", ()) == (0.0,) * 8
 
 
+def test_odd_long_texts_cost_their_length():
+    began = time.perf_counter()
+    for text in ("x" * 300_000 + " a.b.test/c", "[" * 200_000 + "](", "a." * 200_000, "a . " * 100_000 + "test", "<a " * 100_000 + "http", "-" * 300_000 + ".a", "#" * 200_000, "a:" * 100_000 + "-" * 100_000, "(.)" * 100_000):
+        assert measure(text, ())[-1] >= 0
+    assert time.perf_counter() - began < 20
+
+
 def test_function_words_are_those_of_a_language(spark):
     rows = [("The soup was good and Ann came", "en"), ("the lamb was cold and Bob left", " EN")] * 30 + [("die Suppe war gut", "de")] * 12 + [(None, "en"), ("", "de"), ("la sopa", None)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, text string, lang string")
