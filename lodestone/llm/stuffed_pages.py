@@ -144,7 +144,7 @@ def stuffed() -> Column:
     Two recurrences are free, as a short text has them by chance.
     """
     c = F.col
-    recurring = (c("n_words") >= 8) & (c("recurrence") + c("regularity") - 2 / c("n_words") >= 0.2)
+    recurring = (c("n_words") >= 8) & (c("recurrence") + c("regularity") - 2 / F.greatest(c("n_words"), F.lit(1.0)) >= 0.2)
     bare_list = (c("n_words") >= 15) & (c("number_share") < 0.03) & (c("function_share") < 0.03)
     return recurring | bare_list
 
