@@ -91,6 +91,17 @@ def _expand(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(starts - (upto - sizes), sizes)
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, ascending, and how often each occurs; by counters where they would be hardly more than the keys, else by sorting."""
+    if not len(keys):
+        return keys, keys
+    if keys.max() < 4 * len(keys):
+        count = np.bincount(keys)
+        found = np.flatnonzero(count)
+        return found, count[found]
+    return np.unique(keys, return_counts=True)
+
+
 class _Index:
     """Posting lists of the evaluation sets."""
 
@@ -138,7 +149,9 @@ class _Index:
             past = int(np.searchsorted(owner_looked, owner_looked[past - 1], side="right"))  # a training set is counted as a whole
             part = slice(first, past)
             hits = self.postings[_expand(self.ends[code_looked[part]], self.ends[code_looked[part] + 1])]
-            pair, count = np.unique(np.repeat(owner_looked[part], lengths[part]) * len(self.sizes) + hits, return_counts=True)
+            low = owner_looked[first]
+            pair, count = _counted(np.repeat(owner_looked[part] - low, lengths[part]) * len(self.sizes) + hits)
+            pair = pair + low * len(self.sizes)
             t, e = pair // len(self.sizes), pair % len(self.sizes)
             most = np.maximum(np.maximum(need[t], self.need[e]), 1)  # no pair of sets of too different sizes can share that many
             good = (count >= np.minimum(RARE_HITS, most)) & (np.minimum(held[t], self.sizes[e]) >= most)
