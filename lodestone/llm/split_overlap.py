@@ -4,12 +4,13 @@ Texts become sets of n-gram codes, of characters or of words. With n-grams order
 two sets with an overlap of o share at least l of the first |x| - o + l of each. Only these are looked up, so n-grams that
 most records share are hardly touched, and no pair above the threshold is missed.
 
-* While the evaluation n-grams number at most INDEX_GRAMS, their posting lists are broadcast, and training texts are
-  scanned where they are, a batch at a time. Hits are counted sparsely, so a training text costs what it hits.
-* Beyond that both sides are partitioned by their rare n-grams: a join on the n-gram counts the hits of a pair, and pairs
-  with enough of them are verified by a join with the sets.
+* The posting lists of about INDEX_GRAMS evaluation n-grams at a time are broadcast, and training texts are scanned where
+  they are, a batch at a time. Hits are counted sparsely, so a training text costs what it hits. Of several such blocks
+  each is written and its broadcast dropped before the next is collected, so the driver holds one.
+* Beyond INDEX_BLOCKS blocks both sides are partitioned by their rare n-grams: a join on the n-gram counts the hits of a
+  pair, and pairs with enough of them are verified by a join with the sets.
 
-Both ways give the same rows: for each pair the size of the overlap, the containment of the evaluation record in the
+Texts are made different and numbered first; only numbers travel until a pair is found. Both ways give the same rows: for each pair the size of the overlap, the containment of the evaluation record in the
 training record, and the Jaccard similarity.
 """
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ from lodestone.sources.workspace import checkpointed
 
 #: N-grams of all evaluation texts that are broadcast at most (some 40 bytes each in a worker).
 INDEX_GRAMS = 2_000_000
+#: Broadcasts of that size, one after the other, before both sides are joined instead.
+INDEX_BLOCKS = 16
 #: Training texts of a task.
 TRAIN_PART = 20_000
 #: Shared rare n-grams asked of a pair before its whole sets are compared.
@@ -173,41 +177,54 @@ class _Index:
 
 
 _BUILT: dict[int, _Index] = {}
-_PAIRS = "eval_normal string, train_normal string, shared bigint, n_eval bigint, n_train bigint"
+_PAIRS = "eval_key bigint, train_key bigint, shared bigint, n_eval bigint, n_train bigint"
 
 
 def _grams(texts: DataFrame, unit: str, n: int) -> DataFrame:
-    """(normal, grams) of texts with an n-gram."""
+    """(key, grams) of texts (key, normal) with an n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [gram_codes(t, unit, n) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(codes)], ["normal", "grams"]).filter(pa.array([len(x) > 0 for x in codes]))
+            codes = [gram_codes(t, unit, n) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(codes)], ["key", "grams"]).filter(pa.array([len(x) > 0 for x in codes]))
 
-    return texts.mapInArrow(run, "normal string, grams array<bigint>")
+    return texts.mapInArrow(run, "key bigint, grams array<bigint>")
 
 
-def _by_broadcast(evals: DataFrame, train: DataFrame, threshold: float, measure: str) -> DataFrame:
-    collected = evals.toArrow()  # at most INDEX_GRAMS n-grams
+def _by_broadcast(evals: DataFrame, train: DataFrame, threshold: float, measure: str) -> tuple[DataFrame, Broadcast]:
+    collected = evals.toArrow()  # about INDEX_GRAMS n-grams
     parts = [_flat(chunk) for chunk in collected.column("grams").chunks]
     grams = np.concatenate([p[0] for p in parts] or [np.empty(0, np.int64)])
     sizes = np.concatenate([np.diff(p[1]) for p in parts] or [np.empty(0, np.int64)])
-    index = evals.sparkSession.sparkContext.broadcast((collected.column("normal").to_pylist(), grams, np.concatenate(([0], np.cumsum(sizes)))))
+    index = evals.sparkSession.sparkContext.broadcast((collected.column("key").to_numpy(), grams, np.concatenate(([0], np.cumsum(sizes)))))
     number = uuid.uuid4().int
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, grams, offsets = index.value
+        keys, grams, offsets = index.value
         if number not in _BUILT:
             _BUILT.clear()
             _BUILT[number] = _Index(grams, offsets, threshold, measure)
-        built, names = _BUILT[number], pa.array(names, pa.string())
+        built = _BUILT[number]
         for batch in batches:
             values, own = _flat(batch.column(1))
             for t, e, shared in built.scan(values, own):
-                columns = [names.take(pa.array(e)), batch.column(0).take(pa.array(t)), pa.array(shared), pa.array(built.sizes[e]), pa.array(np.diff(own)[t])]
-                yield pa.RecordBatch.from_arrays(columns, ["eval_normal", "train_normal", "shared", "n_eval", "n_train"])
+                columns = [pa.array(keys[e]), batch.column(0).take(pa.array(t)), pa.array(shared), pa.array(built.sizes[e]), pa.array(np.diff(own)[t])]
+                yield pa.RecordBatch.from_arrays(columns, ["eval_key", "train_key", "shared", "n_eval", "n_train"])
 
-    return train.mapInArrow(scan, _PAIRS)
+    return train.mapInArrow(scan, _PAIRS), index
+
+
+def _by_blocks(evals: DataFrame, train: DataFrame, blocks: int, threshold: float, measure: str) -> DataFrame:
+    if blocks == 1:
+        return _by_broadcast(evals, train, threshold, measure)[0]
+    train = checkpointed(train)  # its n-grams are read once a block
+    done = None
+    for i in range(blocks):
+        pairs, index = _by_broadcast(evals.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i), train, threshold, measure)
+        found = checkpointed(pairs)
+        index.destroy()
+        done = found if done is None else done.union(found)
+    return done
 
 
 def _by_rare_grams(evals: DataFrame, train: DataFrame, threshold: float, measure: str) -> DataFrame:
@@ -215,20 +232,20 @@ def _by_rare_grams(evals: DataFrame, train: DataFrame, threshold: float, measure
     need = lambda n: F.ceil(threshold * n - 1e-9)
 
     def exploded(sets: DataFrame) -> DataFrame:
-        return sets.select("normal", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+        return sets.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
 
     frequency = exploded(evals).groupBy("gram").agg(F.count("*").alias("df"))
     sides = {}
     for side, sets, asked in (("eval", evals, need(c("n"))), ("train", train, need(c("n")) if measure == "jaccard" else F.lit(0))):
         rows = exploded(sets).join(frequency, "gram")  # n-grams that no evaluation record has come first and match nothing
-        w = Window.partitionBy("normal")  # the n-grams of one text
+        w = Window.partitionBy("key")  # the n-grams of one text
         place = c("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("df", "gram"))
-        sides[side] = rows.withColumn("place", place).where(c("place") <= c("n") - asked + RARE_HITS).select("gram", c("normal").alias(f"{side}_normal"), c("n").alias(f"n_{side}"))
-    pairs = sides["eval"].join(sides["train"], "gram").groupBy("eval_normal", "train_normal").agg(F.count("*").alias("hits"), F.first("n_eval").alias("n_eval"), F.first("n_train").alias("n_train"))
+        sides[side] = rows.withColumn("place", place).where(c("place") <= c("n") - asked + RARE_HITS).select("gram", c("key").alias(f"{side}_key"), c("n").alias(f"n_{side}"))
+    pairs = sides["eval"].join(sides["train"], "gram").groupBy("eval_key", "train_key").agg(F.count("*").alias("hits"), F.first("n_eval").alias("n_eval"), F.first("n_train").alias("n_train"))
     most = F.greatest(need(c("n_eval")), need(c("n_train"))) if measure == "jaccard" else need(c("n_eval"))
     pairs = pairs.where(c("hits") >= F.least(F.lit(RARE_HITS), F.greatest(most, F.lit(1))))
-    both = pairs.join(evals.toDF("eval_normal", "x"), "eval_normal").join(train.toDF("train_normal", "y"), "train_normal")
-    sized = both.select("eval_normal", "train_normal", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"), c("n_eval").cast("bigint").alias("n_eval"), c("n_train").cast("bigint").alias("n_train"))
+    both = pairs.join(evals.toDF("eval_key", "x"), "eval_key").join(train.toDF("train_key", "y"), "train_key")
+    sized = both.select("eval_key", "train_key", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"), c("n_eval").cast("bigint").alias("n_eval"), c("n_train").cast("bigint").alias("n_train"))
     whole = c("n_eval") if measure == "containment" else c("n_eval") + c("n_train") - c("shared")
     return sized.where(c("shared") >= threshold * whole - 1e-9)
 
@@ -245,16 +262,21 @@ def overlapping_texts(normals: DataFrame, threshold: float = 0.6, unit: str = "c
         raise ValueError(f"measure is one of {MEASURES}, unit chars or words, threshold in (0, 1]")
     spark = normals.sparkSession
 
+    texts = checkpointed(normals.select("role", "normal").where("normal is not null").distinct().withColumn("key", F.monotonically_increasing_id()))
+
     def side(role: str, rows: int) -> DataFrame:
         parts = max(spark.sparkContext.defaultParallelism, math.ceil(rows / TRAIN_PART))
-        return _grams(normals.where(F.col("role") == role).select("normal").repartition(parts, "normal").dropDuplicates(["normal"]), unit, n)
+        return _grams(texts.where(F.col("role") == role).select("key", "normal").repartition(parts, "key"), unit, n)
 
-    counts = {r["role"]: r for r in normals.groupBy("role").agg(F.count("*").alias("rows"), F.sum(F.length("normal")).alias("chars")).collect()}
+    counts = {r["role"]: r for r in texts.groupBy("role").agg(F.count("*").alias("rows"), F.sum(F.length("normal")).alias("chars")).collect()}
     rows = lambda role: counts[role]["rows"] if role in counts else 0
     # a text has at most as many n-grams as characters
-    small = (counts["eval"]["chars"] if "eval" in counts else 0) <= INDEX_GRAMS
-    pairs = (_by_broadcast if small else _by_rare_grams)(side("eval", rows("eval")), side("train", rows("train")), threshold, measure)
-    return pairs.withColumn("containment", F.col("shared") / F.col("n_eval")).withColumn("jaccard", F.col("shared") / (F.col("n_eval") + F.col("n_train") - F.col("shared")))
+    blocks = max(1, math.ceil((counts["eval"]["chars"] if "eval" in counts else 0) / max(INDEX_GRAMS, 1)))
+    evals, train = side("eval", rows("eval")), side("train", rows("train"))
+    pairs = _by_blocks(evals, train, blocks, threshold, measure) if blocks <= INDEX_BLOCKS else _by_rare_grams(evals, train, threshold, measure)
+    of = lambda role: texts.where(F.col("role") == role).select(F.col("key").alias(f"{role}_key"), F.col("normal").alias(f"{role}_normal"))
+    named = pairs.join(of("eval"), "eval_key").join(of("train"), "train_key").select("eval_normal", "train_normal", "shared", "n_eval", "n_train")
+    return named.withColumn("containment", F.col("shared") / F.col("n_eval")).withColumn("jaccard", F.col("shared") / (F.col("n_eval") + F.col("n_train") - F.col("shared")))
 
 
 def split_overlap(
