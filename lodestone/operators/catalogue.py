@@ -3,19 +3,22 @@
 A task's candidates are ranked among all items of the catalogue, so what it costs is the catalogue, whichever way it is
 written. Here it costs one pass of vector arithmetic over the catalogue and no row: tasks and events are cut into slices of
 time, the state of the catalogue at the start of a slice (events and stars of each item) is carried into it, and a task of
-the cluster walks through its slice in the order of time. Only the chosen candidates become rows.
+the cluster walks through its slices in the order of time. Rows come and go in Arrow batches, sorted by Spark, so what a
+worker holds is the catalogue and a batch, however many tasks a slice has. Only the chosen candidates become rows.
 
 The catalogue travels to the workers and is checked to be at most CATALOGUE_ROWS items.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,10 @@ from lodestone.sources.workspace import checkpointed
 CATALOGUE_ROWS = 1_000_000
 #: Events of a slice of time.
 SLICE_EVENTS = 200_000
+#: Tasks of a slice of time.
+SLICE_TASKS = 4_000
+#: Rows of a batch that a walk returns, and a task's list more.
+OUT_ROWS = 10_000
 ROUTES = ("quality", "category", "location", "text")
 DIGITS = 9
 _c = F.col
@@ -143,33 +150,136 @@ class Scorer:
 def ranked(score: np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` items by falling score, then id; items with a NaN have no place."""
     have = np.flatnonzero(~np.isnan(score))
+    if 0 < n < len(have):
+        have = have[score[have] >= np.partition(score[have], len(have) - n)[len(have) - n]]  # all that tie with the n-th
     return have[np.lexsort((have, -score[have]))[:n]]
 
 
-_OUT = "task_id string, business_id string, score double, rank int, route_count int, quality double, category double, location double, text double, km double"
+@dataclass
+class _Walk:
+    """What a walk ranks: lists by name and length (ROUTES or ``fused``), scores of all items besides, and the fusion."""
+
+    known: Catalogue
+    lists: dict[str, int]
+    shown: tuple[str, ...]
+    weights: dict[str, float]
+    per_route: int
+    constant: float
+
+    def __post_init__(self) -> None:
+        self.fused = self.weights if "fused" in self.lists else {}
+        self.routes = {r: max(self.lists.get(r, 0), self.per_route if r in self.fused else 0) for r in ROUTES if r in self.lists or r in self.fused}
+        self.scored = {*self.routes, *self.shown}
+
+    def over(self, batches: Iterator[pa.RecordBatch]) -> Iterator[_Task]:
+        ids, scorer, slice_, quality = pa.array(self.known.ids, pa.string()), None, None, None
+        for batch in batches:
+            column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            places = lambda x: pc.fill_null(pc.index_in(x, value_set=ids), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            where, tasks = places(column["business_id"]), column["task_id"].is_valid().to_numpy(zero_copy_only=False)
+            n, stars = (column[x].cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False) for x in ("n", "s"))
+            slices = column["slice"].to_numpy(zero_copy_only=False)
+            starts, entries = _runs(column["history"])
+            own = places(entries.field("business_id"))
+            own_n, own_s, liked, disliked = (entries.field(x).cast(pa.float64()).to_numpy(zero_copy_only=False) for x in ("n", "s", "liked", "disliked"))
+            asked_starts, asked = _runs(column["wanted"])
+            asked = places(asked)
+            edges = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), len(batch)]
+            for low, high in zip(edges, edges[1:]):
+                if low == high:
+                    continue
+                if slices[low] != slice_:
+                    scorer, slice_, quality = Scorer(self.known), slices[low], None
+                done = low
+                for row in [*(low + np.flatnonzero(tasks[low:high])).tolist(), high]:
+                    events = done + np.flatnonzero(where[done:row] >= 0)
+                    if len(events):
+                        scorer.add(where[events], n[events], stars[events])
+                        quality = None
+                    done = row + 1
+                    if row == high:
+                        break
+                    if quality is None and "quality" in self.scored:
+                        quality = scorer.quality()
+                    mine = slice(starts[row], starts[row + 1])
+                    in_it = own[mine] >= 0
+                    history = (own[mine][in_it], *(x[mine][in_it] for x in (own_n, own_s, liked, disliked)))
+                    yield self._task(batch, row, scorer, quality, history, asked[asked_starts[row] : asked_starts[row + 1]])
+
+    def _task(self, batch: pa.RecordBatch, row: int, scorer: Scorer, quality: np.ndarray | None, history: tuple[np.ndarray, ...], wanted: np.ndarray) -> _Task:
+        items, many, sums, liked, disliked = history
+        none = np.full(scorer.size, math.nan)
+        scores = {}
+        if "quality" in self.scored:
+            scores["quality"] = quality
+        if "category" in self.scored:
+            scores["category"] = scorer.category(items, many, sums)
+        if "location" in self.scored:
+            scores["km"] = scorer.distance(items, many) if len(items) else none
+            scores["location"] = rounded(exactly(np.exp, -scores["km"] / scorer.scale_km))
+        if "text" in self.scored:
+            scores["text"] = scorer.text(items, liked, disliked) if self.known.n_terms else none
+        listed = {}
+        for route in self.routes:
+            listed[route] = scores[route]
+            if route == "quality":
+                listed[route] = quality.copy()
+                listed[route][items] = math.nan
+            elif route == "category":
+                listed[route] = np.where(scores[route] > 0, scores[route], math.nan)
+        chosen = {route: ranked(listed[route], length) for route, length in self.routes.items()}
+        count = np.zeros(scorer.size, np.int64)
+        if self.fused:
+            total = np.full(scorer.size, math.nan)
+            for route, weight in self.fused.items():
+                first = chosen[route][: self.per_route]
+                count[first] += 1
+                total[first] = np.nan_to_num(total[first]) + weight / (self.constant + np.arange(1, len(first) + 1))
+            listed["fused"] = rounded(total)
+            chosen["fused"] = ranked(listed["fused"], self.lists["fused"])
+        else:
+            for first in chosen.values():
+                count[first] += 1
+        return _Task(batch, row, items, wanted[wanted >= 0], {name: chosen[name][:length] for name, length in self.lists.items()}, listed, scores, count)
 
 
-def candidates(events: DataFrame, tasks: DataFrame, known: Catalogue, by: str, n: int, per_route: int = 500, weights: dict[str, float] | None = None, constant: float = 60.0) -> DataFrame:
-    """(task_id, business_id, score, rank, route_count, quality, category, location, text, km): the first ``n`` items of each task.
+@dataclass
+class _Task:
+    batch: pa.RecordBatch
+    row: int
+    own: np.ndarray  # items of the history
+    wanted: np.ndarray
+    chosen: dict[str, np.ndarray]  # items of each list, in its order
+    listed: dict[str, np.ndarray]  # scores the lists go by
+    scores: dict[str, np.ndarray]  # uncut scores
+    count: np.ndarray  # lists of routes an item is in
 
-    ``by`` is one of ROUTES, or ``fused`` for the sum of weight / (``constant`` + rank) over the first ``per_route`` of the
-    routes in ``weights``. score and rank are those of ``by``; the other columns are the item's uncut scores, null where it
-    has none, and route_count the number of routes that list it. ``events`` has user_id, business_id, stars, t and counts
-    strictly before a task's cutoff_time; ``tasks`` has task_id, user_id, cutoff_time. The quality route leaves out items of
-    the task's own history, and the category route those that score 0 or less. Ties go to the lesser id. Tasks of a null
-    user or time have no row.
-    """
+    @property
+    def name(self) -> str:
+        return self.batch.column(self.batch.schema.get_field_index("task_id"))[self.row].as_py()
+
+
+def _runs(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Where the list of each row begins and the last ends, and all entries; a null list has none."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate(([0], np.cumsum(sizes))), column.flatten()
+
+
+def _stream(events: DataFrame, tasks: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Rows of events, of the state before each slice, and of tasks (with history and the items ``wanted`` of it), by slice and in the order of time; a task stands before the events of its time."""
     spark = events.sparkSession
     events = checkpointed(events.select("user_id", "business_id", "stars", "t"))
-    shared = spark.sparkContext.broadcast(known)
-    used = tuple(weights or {}) if by == "fused" else (by,)
-    past = tasks.select("task_id", "user_id", "cutoff_time").where("user_id is not null and cutoff_time is not null")
+    past = tasks.select("task_id", "user_id", "cutoff_time").where("task_id is not null and user_id is not null and cutoff_time is not null")
     own = past.join(events.select("user_id", "business_id", "stars", "t"), "user_id").where("t < cutoff_time").groupBy("task_id", "business_id")
     own = own.agg(F.count("*").alias("n"), F.sum("stars").alias("s"), F.count_if(_c("stars") >= 4).alias("liked"), F.count_if(_c("stars") <= 2).alias("disliked"))
     history = own.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("business_id", "n", "s", "liked", "disliked"))).alias("history"))  # at most an entry an item
-    wanted = past.select("task_id", _c("cutoff_time").alias("at")).join(history, "task_id", "left")
+    asked = past.select("task_id", _c("cutoff_time").alias("at")).join(history, "task_id", "left")
+    if wanted is None:
+        asked = asked.withColumn("wanted", F.lit(None).cast("array<string>"))
+    else:
+        asked = asked.join(wanted.groupBy("task_id").agg(F.collect_set("business_id").alias("wanted")), "task_id", "left")
 
-    slices = max(spark.sparkContext.defaultParallelism, math.ceil(events.count() / SLICE_EVENTS))
+    slices = max(spark.sparkContext.defaultParallelism, math.ceil(events.count() / SLICE_EVENTS), math.ceil(past.count() / SLICE_TASKS))
     cuts = checkpointed(past.agg(F.array_sort(F.array_distinct(F.percentile_approx("cutoff_time", [i / slices for i in range(1, slices)] or [0.5], 10_000))).alias("cuts")))  # one row
     cut = lambda df, time: df.crossJoin(F.broadcast(cuts)).withColumn("slice", F.coalesce(F.size(F.filter("cuts", lambda x: x <= _c(time))), F.lit(0))).drop("cuts")
     placed = cut(events.select("business_id", "stars", _c("t").alias("at")), "at")
@@ -181,56 +291,113 @@ def candidates(events: DataFrame, tasks: DataFrame, known: Catalogue, by: str, n
     until = F.coalesce("next", "last")
     before = upto.crossJoin(F.broadcast(last)).where(until > _c("slice")).select("business_id", "n", "s", F.explode(F.sequence(_c("slice") + 1, until)).alias("slice"))
     state = placed.select("slice", "business_id", "at", F.lit(1).cast("bigint").alias("n"), _c("stars").alias("s")).unionByName(before.select("slice", "business_id", F.lit(None).cast("timestamp_ntz").alias("at"), "n", "s"))
+    rows = state.unionByName(cut(asked, "at"), allowMissingColumns=True)
+    return rows.repartition(slices, "slice").sortWithinPartitions("slice", _c("at").asc_nulls_first(), _c("task_id").isNull(), "task_id").select("slice", "business_id", "n", "s", "task_id", "history", "wanted")
+
+
+def _batches(rows: Iterator[tuple[int, dict]], schema: str, make: Callable[[str, list], pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Batches of about OUT_ROWS rows of parts (number of rows, the part of each column)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    parts, size = [], 0
+    for n, part in rows:
+        parts.append(part)
+        size += n
+        if size >= OUT_ROWS:
+            yield pa.RecordBatch.from_arrays([make(name, [p[name] for p in parts]) for name in names], names)
+            parts, size = [], 0
+    if parts:
+        yield pa.RecordBatch.from_arrays([make(name, [p[name] for p in parts]) for name in names], names)
+
+
+def candidates(
+    events: DataFrame, tasks: DataFrame, known: Catalogue, by: str, n: int, per_route: int = 500, weights: dict[str, float] | None = None, constant: float = 60.0,
+    shown: Sequence[str] = ROUTES, also: dict[str, int] | None = None, wanted: DataFrame | None = None, head: int = 0,
+) -> DataFrame:
+    """(task_id, business_id, score, rank, route_count, seen, quality, category, location, text, km): the first ``n`` items of each task.
 
-    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = shared.value
-        scorer, place = Scorer(known), {x: i for i, x in enumerate(known.ids)}
-        where = np.array([place.get(x, -1) for x in right.column("business_id").to_pylist()], np.int64)
-        n, stars = (right.column(x).to_numpy().astype(float) for x in ("n", "s"))
-        at = right.column("at").cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy()
-        order = np.argsort(at, kind="stable")
-        order = order[where[order] >= 0]
-        where, n, stars, at = where[order], n[order], stars[order], at[order]
-        times = left.column("at").cast(pa.int64()).to_numpy()
-        names, histories = left.column("task_id").to_pylist(), left.column("history").to_pylist()
-        done, last, quality = 0, None, None
-        out: list[list] = [[] for _ in range(10)]
-        for i in np.argsort(times, kind="stable").tolist():
-            if times[i] != last:
-                upto = int(np.searchsorted(at, times[i]))
-                scorer.add(where[done:upto], n[done:upto], stars[done:upto])
-                done, last, quality = upto, times[i], scorer.quality()
-            rows = [(place[h["business_id"]], h["n"], h["s"], h["liked"], h["disliked"]) for h in histories[i] or () if h["business_id"] in place]
-            items, many, sums, liked, disliked = (np.array(x, np.int64 if j == 0 else float) for j, x in enumerate(zip(*rows))) if rows else (np.empty(0, np.int64), *[np.empty(0)] * 4)
-            km = scorer.distance(items, many) if len(items) else np.full(scorer.size, math.nan)
-            scores = {
-                "quality": quality, "category": scorer.category(items, many, sums), "location": rounded(exactly(np.exp, -km / scorer.scale_km)),
-                "text": scorer.text(items, liked, disliked) if known.n_terms else np.full(scorer.size, math.nan),
-            }
-            listed = scores | {"quality": quality.copy(), "category": np.where(scores["category"] > 0, scores["category"], math.nan)}
-            listed["quality"][items] = math.nan
-            first = {name: ranked(listed[name], per_route if by == "fused" else n_top) for name in used}
-            count = np.zeros(scorer.size, np.int64)
-            total = np.full(scorer.size, math.nan)
-            for name, chosen in first.items():
-                count[chosen] += 1
-                if by == "fused":
-                    total[chosen] = np.nan_to_num(total[chosen]) + weights[name] / (constant + np.arange(1, len(chosen) + 1))
-            if by == "fused":
-                total = rounded(total)
-                best = ranked(total, n_top)
-            else:
-                best, total = first[by], listed[by]
-            for column, values in zip(out, ([names[i]] * len(best), [known.ids[b] for b in best], total[best], np.arange(1, len(best) + 1), count[best], *(scores[r][best] for r in ROUTES), km[best])):
-                column.extend(values)
-        kinds = [pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32(), *[pa.float64()] * 5]
-        names_out = [x.split()[0] for x in _OUT.split(", ")]
-        return pa.table({name: pa.array(np.array(x, float) if k == pa.float64() else x, k, from_pandas=True) for name, x, k in zip(names_out, out, kinds)})
-
-    n_top = n
-    left = cut(wanted, "at").select("slice", "task_id", "at", "history").repartition(slices, "slice")
-    right = state.select(_c("slice").alias("of_slice"), "business_id", "at", "n", "s").repartition(slices, "of_slice")
-    return left.groupBy("slice").cogroup(right.groupBy("of_slice")).applyInArrow(walk, _OUT)
+    ``by`` is one of ROUTES, or ``fused`` for the sum of weight / (``constant`` + rank) over the first ``per_route`` of the
+    routes in ``weights``. score and rank are those of ``by``; the other columns are the item's uncut scores of the routes in
+    ``shown``, null where it has none, route_count is the number of routes that list it, and seen tells whether the task's
+    own history has it. ``also`` lists more routes with their lengths: their items have rows too, with a null rank where
+    ``by`` does not list them, and a column of each route, such as quality_rank. With ``wanted`` (task_id, business_id) only the
+    listed items in it and the first ``head`` of ``by`` become rows. ``events`` has user_id, business_id, stars, t and counts
+    strictly before a task's cutoff_time; ``tasks`` has task_id, user_id, cutoff_time. The quality route leaves out items of
+    the task's own history, and the category route those that score 0 or less. Ties go to the lesser id. Tasks of a null
+    id, user or time have no row.
+    """
+    also, some = dict(also or {}), wanted is not None
+    shared = events.sparkSession.sparkContext.broadcast(known)
+    numbers = [f"{r}_rank" for r in also]
+    schema = ", ".join(["task_id string", "business_id string", "score double", "rank int", "route_count int", "seen boolean", *(f"{x} double" for x in (*ROUTES, "km")), *(f"{x} int" for x in numbers)])
+    walk = lambda: _Walk(shared.value, {by: n} | {r: k for r, k in also.items() if r != by}, tuple(shown), dict(weights or {}), per_route, constant)
+
+    def rows(task: _Task) -> tuple[int, dict]:
+        best, size = task.chosen[by], len(task.count)
+        rank = {}
+        for column, items in (("rank", best), *((f"{r}_rank", task.chosen[r][:k]) for r, k in also.items())):
+            rank[column] = np.zeros(size, np.int32)
+            rank[column][items] = np.arange(1, len(items) + 1)
+        if some:
+            items = np.union1d(task.wanted, best[:head])
+            items = items[np.any([r[items] > 0 for r in rank.values()], axis=0)]
+        else:
+            items = np.concatenate([best, *(task.chosen[r][:k][rank["rank"][task.chosen[r][:k]] == 0] for r, k in also.items())]) if also else best
+            if len(also) > 1:
+                items = items[np.sort(np.unique(items, return_index=True)[1])]
+        part = {"task_id": (task.name, len(items)), "business_id": items, "score": np.where(rank["rank"][items] > 0, task.listed[by][items], math.nan), "route_count": task.count[items], "seen": np.isin(items, task.own)}
+        part |= {x: task.scores[x][items] if x in task.scores else np.full(len(items), math.nan) for x in (*ROUTES, "km")}
+        return len(items), part | {x: r[items] for x, r in rank.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = pa.array(shared.value.ids, pa.string())
+
+        def make(name: str, parts: list) -> pa.Array:
+            if name == "task_id":
+                return pa.array([x for x, _ in parts], pa.string()).take(pa.array(np.repeat(np.arange(len(parts)), [k for _, k in parts])))
+            values = np.concatenate(parts)
+            if name == "business_id":
+                return ids.take(pa.array(values.astype(np.int64)))
+            if values.dtype == float:
+                return pa.array(values, pa.float64(), from_pandas=True)
+            return pa.array(values) if name == "seen" else pa.array(values.astype(np.int32), mask=values == 0 if name.endswith("rank") else None)
+
+        yield from _batches(map(rows, walk().over(batches)), schema, make)
+
+    return _stream(events, tasks, wanted).mapInArrow(run, schema)
+
+
+def negatives(
+    events: DataFrame, tasks: DataFrame, known: Catalogue, targets: DataFrame, n_hard: int, n_similar: int, n_random: int, per_route: int, weights: dict[str, float], take: Sequence[int] = (10, 5, 5), seed: str = "negative", constant: float = 60.0
+) -> DataFrame:
+    """(task_id, business_id, negative_kind, selection_order): items of each task that are not among its ``targets`` (task_id, business_id).
+
+    ``hard`` are the first of the fused list, ``similar`` the first of the category route, ``random`` those of the quality
+    route by a hash; each leaves out what the kinds before it took. The lists are ``n_hard``, ``n_similar`` and ``n_random``
+    long. A task chooses where it is ranked, so its lists don't become rows.
+    """
+    shared = events.sparkSession.sparkContext.broadcast(known)
+    schema = "task_id string, business_id string, negative_kind string, selection_order int"
+
+    def rows(task: _Task) -> tuple[int, dict]:
+        name, ids = task.name, shared.value.ids
+        free = np.ones(len(ids), bool)
+        free[task.wanted] = False
+        kinds = []
+        for kind, route, k in zip(("hard", "similar", "random"), ("fused", "category", "quality"), take):
+            items = task.chosen[route][free[task.chosen[route]]]
+            if kind == "random":
+                items = sorted(items.tolist(), key=lambda i: hashlib.sha256(f"{seed}:{name}:{ids[i]}".encode()).hexdigest())
+            items = np.asarray(items[:k], np.int64)
+            free[items] = False
+            kinds += [(ids[item], kind, i + 1) for i, item in enumerate(items.tolist())]
+        return len(kinds), {"task_id": [name] * len(kinds), **{x: [k[i] for k in kinds] for i, x in enumerate(("business_id", "negative_kind", "selection_order"))}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = _Walk(shared.value, {"fused": n_hard, "category": n_similar, "quality": n_random}, (), weights, per_route, constant)
+        make = lambda name, parts: pa.array([x for p in parts for x in p], pa.int32() if name == "selection_order" else pa.string())
+        yield from _batches(map(rows, walk.over(batches)), schema, make)
+
+    return _stream(events, tasks, targets).mapInArrow(run, schema)
 
 
 def text_weights(items: DataFrame, text: str, stop_words: Sequence[str] = (), min_df: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
 from lodestone.operators import retrieval as R
-from lodestone.operators.catalogue import candidates, catalogue, text_weights
+from lodestone.operators.catalogue import Catalogue, candidates, catalogue, negatives, text_weights
 from lodestone.operators.splits import leave_last_two_out, rolling_targets
 from lodestone.plans.base import BIZ, INTER, TASKS, businesses, interactions, tasks
 
@@ -74,18 +74,21 @@ def _described(spark: SparkSession, folder: str) -> DataFrame:
     return businesses(spark, folder).select("business_id", F.concat_ws(" ", F.coalesce("name", F.lit("")), cats).alias("doc"))
 
 
-def _ranked(spark: SparkSession, folder: str, by: str, n: int, per_route: int = 500, weights: dict[str, float] | None = None, texts: bool = False) -> DataFrame:
+def _known(spark: SparkSession, folder: str, text: bool) -> Catalogue:
+    return catalogue(businesses(spark, folder), text_weights(_described(spark, folder), "doc") if text else None)
+
+
+def _ranked(spark: SparkSession, folder: str, by: str, n: int, per_route: int = 500, weights: dict[str, float] | None = None, texts: bool = False, **more) -> DataFrame:  # noqa: ANN003
     """The first ``n`` businesses of each task by a route or by fused routes, with all their uncut scores; that of the text only where it is used or asked for."""
-    text = texts or by == "text" or "text" in (weights or {})
-    known = catalogue(businesses(spark, folder), text_weights(_described(spark, folder), "doc") if text else None)
-    return candidates(interactions(spark, folder), tasks(spark, folder), known, by, n, per_route, weights)
+    text = texts or by == "text" or "text" in (weights or {}) or "text" in more.get("also", ())
+    return candidates(interactions(spark, folder), tasks(spark, folder), _known(spark, folder, text), by, n, per_route, weights, **more)
 
 
 _ROUTE = ("task_id", "business_id", "score", "rank")
 
 
 def _quality_route(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    return _ranked(spark, folder, "quality", n).select(*_ROUTE)
+    return _ranked(spark, folder, "quality", n, shown=()).select(*_ROUTE)
 
 
 @query(f"with {_QUALITY}, {_QUALITY_ROUTE} select task_id, business_id, score, rank from qroute where rank <= 20")
@@ -100,7 +103,7 @@ croute as (select task_id, business_id, round(max(a), 9) score, row_number() ove
 
 
 def _category_route(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    return _ranked(spark, folder, "category", n).select(*_ROUTE)
+    return _ranked(spark, folder, "category", n, shown=()).select(*_ROUTE)
 
 
 @query(f"with {_QUALITY}, {_CATEGORY} select task_id, business_id, score, rank from croute where rank <= 20")
@@ -115,7 +118,7 @@ lroute as (select task_id, business_id, round(km, 6) km, round(exp(-km / 10), 9)
 
 
 def _location_route(spark: SparkSession, folder: str, n: int) -> DataFrame:
-    return _ranked(spark, folder, "location", n).select("task_id", "business_id", F.round("km", 6).alias("km"), "score", "rank")
+    return _ranked(spark, folder, "location", n, shown=()).select("task_id", "business_id", F.round("km", 6).alias("km"), "score", "rank")
 
 
 @query(f"with {_QUALITY}, {_LOCATION} select task_id, business_id, score, rank from lroute where rank <= 20")
@@ -140,8 +143,8 @@ _FUSED, _FUSED_500 = _fused_sql(50), _fused_sql(PER_ROUTE)
 _THREE = {"quality": 1.0, "category": 1.0, "location": 0.5}
 
 
-def _fused(spark: SparkSession, folder: str, n: int, per_route: int = PER_ROUTE, weights: dict[str, float] | None = None) -> DataFrame:
-    return _ranked(spark, folder, "fused", n, per_route, weights or _THREE).withColumnRenamed("score", "fusion_score")
+def _fused(spark: SparkSession, folder: str, n: int, per_route: int = PER_ROUTE, weights: dict[str, float] | None = None, **more) -> DataFrame:  # noqa: ANN003
+    return _ranked(spark, folder, "fused", n, per_route, weights or _THREE, **more).withColumnRenamed("score", "fusion_score")
 
 
 _LISTED = ("task_id", "business_id", "fusion_score", "route_count", "rank")
@@ -149,12 +152,12 @@ _LISTED = ("task_id", "business_id", "fusion_score", "route_count", "rank")
 
 @query(f"with {_ROUTES}, {_FUSED} select task_id, business_id, fusion_score, route_count, rank from fused where rank <= 30")
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
-    return _fused(spark, folder, 30, 50).select(*_LISTED)
+    return _fused(spark, folder, 30, 50, shown=()).select(*_LISTED)
 
 
 @query(f"with {_ROUTES}, {_FUSED_500} select task_id, business_id, fusion_score, route_count, rank from fused where rank <= {PER_ROUTE}")
 def rrf_fusion_500(spark: SparkSession, folder: str) -> DataFrame:
-    return _fused(spark, folder, PER_ROUTE).select(*_LISTED)
+    return _fused(spark, folder, PER_ROUTE, shown=()).select(*_LISTED)
 
 
 _TEXT = r"""docs as (select business_id, regexp_extract_all(lower(concat_ws(' ', coalesce(name, ''), coalesce(array_to_string(list_sort([x for x in categories if x is not null]), ' '), ''))), '[\p{L}\p{N}]+') w from biz),
@@ -170,7 +173,7 @@ troute as (select *, row_number() over (partition by task_id order by score desc
 
 @query(f"with {_QUALITY}, {_TEXT} select task_id, business_id, score, rank from troute where rank <= 20")
 def text_preference_route(spark: SparkSession, folder: str) -> DataFrame:
-    return _ranked(spark, folder, "text", 20).select(*_ROUTE)
+    return _ranked(spark, folder, "text", 20, shown=()).select(*_ROUTE)
 
 
 _FUSED_FOUR = _FUSED_500.replace("0.5::double / (60 + rank)", "1.0::double / (60 + rank)").replace(f"from lroute where rank <= {PER_ROUTE}", f"from lroute where rank <= {PER_ROUTE} union all select task_id, business_id, 1.0::double / (60 + rank) from troute where rank <= {PER_ROUTE}")
@@ -180,7 +183,7 @@ _FOUR = {"quality": 1.0, "category": 1.0, "location": 1.0, "text": 1.0}
 @query(f"with {_ROUTES}, {_TEXT}, {_FUSED_FOUR} select task_id, business_id, fusion_score, route_count, rank from fused where rank <= {PER_ROUTE}")
 def four_route_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Quality, category, location and text, 500 a route with equal weights, 500 kept."""
-    return _fused(spark, folder, PER_ROUTE, PER_ROUTE, _FOUR).select(*_LISTED)
+    return _fused(spark, folder, PER_ROUTE, PER_ROUTE, _FOUR, shown=()).select(*_LISTED)
 
 
 @query(f"""with {_ROUTES} select coalesce(q.task_id, x.task_id) task_id, coalesce(q.business_id, x.business_id) business_id, q.task_id is not null in_base, x.task_id is not null in_extra
@@ -234,31 +237,17 @@ ranq as (select x.task_id, x.business_id, 'random' negative_kind, row_number() o
  and not exists (select 1 from h where h.task_id = x.task_id and h.business_id = x.business_id) and not exists (select 1 from s where s.task_id = x.task_id and s.business_id = x.business_id))
 select task_id, business_id, negative_kind, o selection_order from h union all select * from s union all select * from ranq where o <= 5""")
 def hard_similar_random_negatives(spark: SparkSession, folder: str) -> DataFrame:
-    return _negatives(spark, folder, _fused(spark, folder, 50, 50), 50, 200)
+    return _negatives(spark, folder, 50, 50, 200)
 
 
 @query(SQL["hard_similar_random_negatives"].replace(_FUSED, _FUSED_500).replace("from fused f where rank <= 50", f"from fused f where rank <= {PER_ROUTE}").replace("from croute x where rank <= 50", f"from croute x where rank <= {PER_ROUTE}").replace("from qroute x where rank <= 200", f"from qroute x where rank <= {PER_ROUTE}"))
 def hard_similar_random_negatives_500(spark: SparkSession, folder: str) -> DataFrame:
-    return _negatives(spark, folder, _fused(spark, folder, PER_ROUTE), PER_ROUTE, PER_ROUTE)
+    return _negatives(spark, folder, PER_ROUTE, PER_ROUTE, PER_ROUTE)
 
 
-def _negatives(spark: SparkSession, folder: str, fused: DataFrame, n_similar: int, n_random: int) -> DataFrame:
+def _negatives(spark: SparkSession, folder: str, n_hard: int, n_similar: int, n_random: int) -> DataFrame:
     target = tasks(spark, folder).join(interactions(spark, folder).withColumnRenamed("t", "cutoff_time"), ["user_id", "cutoff_time"]).select("task_id", "business_id")
-    key = ["task_id", "business_id"]
-
-    def free(df: DataFrame, *taken: DataFrame) -> DataFrame:
-        for t in taken:
-            df = df.join(t.select(*key), key, "left_anti")
-        return df
-
-    def first(df: DataFrame, kind: str, n: int, *order) -> DataFrame:  # noqa: ANN002
-        ranked = df.withColumn("selection_order", F.row_number().over(Window.partitionBy("task_id").orderBy(*order)))
-        return ranked.where(c("selection_order") <= n).select(*key, F.lit(kind).alias("negative_kind"), "selection_order")
-
-    hard = first(free(fused, target), "hard", 10, "rank")
-    similar = first(free(_category_route(spark, folder, n_similar), target, hard), "similar", 5, c("score").desc(), "business_id")
-    random = first(free(_quality_route(spark, folder, n_random), target, hard, similar), "random", 5, S.hash_order("negative", c("task_id"), c("business_id")))
-    return hard.unionByName(similar).unionByName(random)
+    return negatives(interactions(spark, folder), tasks(spark, folder), _known(spark, folder, False), target, n_hard, n_similar, n_random, n_hard, _THREE)
 
 
 @query(f"""with {BIZ}, d as (select business_id, rating, review_count, price_level, case when outdoor_seating then 1.0 when outdoor_seating is false then 0.0 end s1, case noise_level when 'quiet' then 1.0 when 'average' then 0.6 when 'loud' then 0.2 when 'very_loud' then 0.0 end s2, (rating - 1) / 4 s3 from biz)
