@@ -143,11 +143,13 @@ def weekly_open_at(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents", "doc_id", "text").where(F.startswith("text", F.lit("Business: ")))
 
     def minute(day: str, first: int):  # noqa: ANN202
-        part = lambda i: F.nullif(F.regexp_extract("text", f"{day} ([0-9]+):([0-9]+)-([0-9]+):([0-9]+)", i), F.lit("")).cast("int")
+        part = lambda i: F.nullif(F.regexp_extract("text", f"{day} ([0-9]+):([0-9]+)-([0-9]+):([0-9]+)", i), F.lit("")).try_cast("int").cast("bigint")  # noqa: E731  # digits beyond an int are unknown, as in the SQL
         return part(first) * 60 + part(first + 1)
 
     span = {day: (minute(day, 1), minute(day, 3)) for day in _DAYS}
-    return d.select("doc_id", *(S.open_in_week(*span[_DAYS[i]], *span[_DAYS[i - 1]], F.lit(m)).alias(f"open_{_DAYS[i].lower()}_{m}") for i, m in _PROBES))
+    # a day with a known start is not open where nothing says so, even if its end can't be read
+    opened = lambda day, before, m: F.coalesce(S.open_in_week(*span[day], *span[before], F.lit(m)), F.when(span[day][0].isNotNull(), False))
+    return d.select("doc_id", *(opened(_DAYS[i], _DAYS[i - 1], m).alias(f"open_{_DAYS[i].lower()}_{m}") for i, m in _PROBES))
 
 
 _ASKED = "q as (select distinct case_id, lower(query_text) t from seed_queries where query_text is not null)"
