@@ -91,21 +91,19 @@ bm as (select a.case_id, a.business_id, tf.point_id, round(sum(ln(1 + (n - df +
  from asked a join qt using (case_id) join tf on tf.business_id = a.business_id and tf.term = qt.term join dfs on dfs.business_id = a.business_id and dfs.term = qt.term join st on st.business_id = a.business_id group by 1, 2, 3)"""
 
 
-def _request_scores(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(case_id, business_id, point_id, score) of the passages hit, and their BM25 among the passages of their business."""
+def _request_hits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Passages (point_id, business_id, text), the hits among them (case_id, business_id, point_id, score), and the text of each request."""
     own = table(spark, folder, "review_segments", "point_id", "business_id", "segment_text").where("business_id is not null and segment_text is not null").groupBy("point_id").agg(F.min("business_id").alias("business_id"), F.min("segment_text").alias("text"))
     h = table(spark, folder, "segment_hits", "case_id", "point_id", "score").where("score is not null and not isnan(score) and case_id is not null").groupBy("case_id", "point_id").agg(F.max("score").alias("score"))
-    hits = h.join(own.select("point_id", "business_id"), "point_id")
     texts = table(spark, folder, "long_tail_02", "case_id", "requirement_text").where("requirement_text is not null").groupBy("case_id").agg(F.min("requirement_text").alias("asked"))
-    requests = hits.select("case_id", "business_id").distinct().join(texts, "case_id")
-    return hits, T.bm25_requests(own, requests, "business_id", "point_id", "text", "case_id", "asked")
+    return own, h.join(own.select("point_id", "business_id"), "point_id"), texts
 
 
 @query(f"with {_BM25} select case_id, business_id, point_id, score, row_number() over (partition by case_id, business_id order by score desc, point_id) rank from bm qualify rank <= 3")
 def bm25_passages_of_requests(spark: SparkSession, folder: str) -> DataFrame:
-    _, scored = _request_scores(spark, folder)
-    w = Window.partitionBy("case_id", "business_id").orderBy(c("score").desc(), "point_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(c("rank") <= 3)
+    own, hits, texts = _request_hits(spark, folder)
+    requests = hits.select("case_id", "business_id").distinct().join(texts, "case_id")
+    return T.bm25_requests(own, requests, "business_id", "point_id", "text", "case_id", "asked", top=3)
 
 
 @query(f"""with {_BM25}, d as (select case_id, business_id, point_id, row_number() over (partition by case_id, business_id order by h.score desc, point_id) r from h join own using (point_id)),
