@@ -112,12 +112,10 @@ u as (select case_id, business_id, point_id, 1.0::double / (60 + r) s from d uni
 select case_id, business_id, point_id, fused from f qualify row_number() over (partition by case_id, business_id order by fused desc, point_id) <= 3""")
 def hybrid_passages_of_requests(spark: SparkSession, folder: str) -> DataFrame:
     """The passages of each request and business by reciprocal ranks of the vector score and of BM25."""
-    hits, scored = _request_scores(spark, folder)
-    w = Window.partitionBy("case_id", "business_id")
-    rank = lambda df: df.withColumn("r", F.row_number().over(w.orderBy(c("score").desc(), "point_id")))
-    share = lambda df, weight: df.select("case_id", "business_id", "point_id", (F.lit(weight) / (60 + c("r"))).alias("s"))
-    both = share(rank(hits), 1.0).union(share(rank(scored).where("r <= 20"), 0.5)).groupBy("case_id", "business_id", "point_id").agg(F.round(F.sum("s"), 9).alias("fused"))
-    return both.withColumn("r", F.row_number().over(w.orderBy(c("fused").desc(), "point_id"))).where("r <= 3").drop("r")
+    own, hits, texts = _request_hits(spark, folder)
+    order = F.array_sort(F.collect_list(F.struct((-c("score")).alias("s"), "point_id")))  # the hits of a request in a business
+    requests = hits.groupBy("case_id", "business_id").agg(order.getField("point_id").alias("hits")).join(texts, "case_id", "left")
+    return T.fused_requests(own, requests, "business_id", "point_id", "text", "case_id", "asked", "hits", n=3, listed=20)
 
 
 # profiles and memory
