@@ -254,7 +254,22 @@ def _targets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ranks(spark: SparkSession, folder: str, per_route: int = PER_ROUTE) -> DataFrame:
-    return M.target_ranks(_targets(spark, folder), _fused(spark, folder, 500, per_route), "task_id", "business_id")
+    wanted = _wanted(spark, folder)
+    return M.target_ranks(_targets(spark, folder), _fused(spark, folder, 500, per_route, shown=(), wanted=wanted), "task_id", "business_id")
+
+
+def _wanted(spark: SparkSession, folder: str) -> DataFrame:
+    return _targets(spark, folder).select("task_id", c("target").alias("business_id"))
+
+
+def _both_ranks(spark: SparkSession, folder: str, per_route: int = PER_ROUTE) -> DataFrame:
+    """Tasks with their target's rank in the fused list and, as qr, in the quality route; one walk, and of each task's lists only the target becomes a row."""
+    placed = _fused(spark, folder, 500, per_route, shown=(), also={"quality": 500}, wanted=_wanted(spark, folder))
+    placed = placed.select("task_id", c("business_id").alias("target"), c("rank").cast("bigint").alias("target_rank"), c("quality_rank").cast("bigint").alias("qr"))
+    ranks = _targets(spark, folder).join(placed, ["task_id", "target"], "left")
+    # a task with more than one target meets each rank of one list with each of the other
+    per = ranks.groupBy("task_id").agg(F.collect_list(F.struct("user_id", "history_count", "target_rank")).alias("x"), F.collect_list(F.struct("qr")).alias("y"))
+    return per.select("task_id", F.explode("x").alias("x"), "y").select("task_id", "x.*", F.explode("y").alias("y")).select("task_id", "user_id", "history_count", "target_rank", "y.qr")
 
 
 @query(f"with {_RANKS} select split, count(*) n, {_HR}, round(avg(case when target_rank <= 100 then 1.0 else 0.0 end), 9) recall_100 from tr group by 1")
@@ -290,16 +305,15 @@ def _hr_by_history(ranks: DataFrame) -> DataFrame:
 @query(f"""with {_RANKS}, q2 as (select v.task_id, q.rank qr from v left join (select * from qroute where rank <= 500) q on q.task_id = v.task_id and q.business_id = v.target)
 select case when target_rank < coalesce(qr, 501) then 'improved' when coalesce(target_rank, 501) > coalesce(qr, 501) then 'worsened' else 'unchanged' end movement, count(*) n from tr join q2 using (task_id) group by 1""")
 def rank_movement(spark: SparkSession, folder: str) -> DataFrame:
-    return _movement(spark, folder, _ranks(spark, folder, 50))
+    return _movement(_both_ranks(spark, folder, 50))
 
 
 @query(SQL["rank_movement"].replace(_RANKS, _RANKS_500))
 def rank_movement_500(spark: SparkSession, folder: str) -> DataFrame:
-    return _movement(spark, folder, _ranks(spark, folder))
+    return _movement(_both_ranks(spark, folder))
 
 
-def _movement(spark: SparkSession, folder: str, ranks: DataFrame) -> DataFrame:
-    both = ranks.join(M.target_ranks(_targets(spark, folder).select("task_id", "target"), _quality_route(spark, folder, 500), "task_id", "business_id").select("task_id", c("target_rank").alias("qr")), "task_id")
+def _movement(both: DataFrame) -> DataFrame:
     a, b = F.coalesce("target_rank", F.lit(501)), F.coalesce("qr", F.lit(501))
     return both.groupBy(F.when(a < b, "improved").when(a > b, "worsened").otherwise("unchanged").alias("movement")).agg(F.count("*").alias("n"))
 
