@@ -358,7 +358,7 @@ z as (select b, d, n, (h + b * 2654435761 % 2147483647) % 2147483647 z from per,
 s as (select b, sum(k * d) / nullif(sum(k * n), 0) delta from k group by 1)
 select round(quantile_cont(delta, 0.025), 9) low, round(quantile_cont(delta, 0.975), 9) high, round(avg((delta > 0)::int), 9) share_above_zero, (select round(sum(d) / sum(n), 9) from per) delta from s""")
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
-    both = _ranks(spark, folder).join(M.target_ranks(_targets(spark, folder).select("task_id", "target"), _quality_route(spark, folder, 500), "task_id", "business_id").select("task_id", c("target_rank").alias("qr")), "task_id")
+    both = _both_ranks(spark, folder)
     rr = lambda n: F.coalesce(1 / c(n), F.lit(0.0))
     return M.paired_bootstrap(both.withColumn("left", rr("target_rank")).withColumn("right", rr("qr")), "user_id", "left", "right")
 
