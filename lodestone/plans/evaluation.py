@@ -190,9 +190,9 @@ def ltr_features(spark: SparkSession, folder: str) -> DataFrame:
 select v.task_id, v.user_id, top1, round(top1 - coalesce(top2, 0), 9) margin, top1_routes, best = v.target top1_correct, tr.target_rank is not null target_retrieved from v join f1 using (task_id) join tr using (task_id)""")
 def calibration_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """What a task's ranking shows of its confidence, and whether it was right."""
-    f = _fused(spark, folder, PER_ROUTE)
+    f = _fused(spark, folder, PER_ROUTE, shown=(), wanted=_targets(spark, folder).select("task_id", c("target").alias("business_id")), head=2)  # of each list only these become rows
     at = lambda i, n: F.max(F.when(c("rank") == i, c(n)))
-    shown = f.groupBy("task_id").agg(at(1, "fusion_score").alias("top1"), at(2, "fusion_score").alias("top2"), at(1, "business_id").alias("best"), at(1, "route_count").cast("bigint").alias("top1_routes"), F.collect_set("business_id").alias("all"))  # PER_ROUTE entries
+    shown = f.groupBy("task_id").agg(at(1, "fusion_score").alias("top1"), at(2, "fusion_score").alias("top2"), at(1, "business_id").alias("best"), at(1, "route_count").cast("bigint").alias("top1_routes"), F.collect_set("business_id").alias("all"))  # the first two and targets
     return _targets(spark, folder).join(shown, "task_id").select("task_id", "user_id", "top1", F.round(c("top1") - F.coalesce("top2", F.lit(0.0)), 9).alias("margin"), "top1_routes", (c("best") == c("target")).alias("top1_correct"), F.array_contains("all", c("target")).alias("target_retrieved"))
 
 
