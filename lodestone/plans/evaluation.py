@@ -215,14 +215,12 @@ select r.route, count(*) n, count(rank) n_listed, {_RECALL} from r join v on tru
 def route_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Which routes list a task's target, and how high."""
     targets = _targets(spark, folder).select("task_id", "target")
-    out = None
-    for route in (*_FOUR, "fused"):
-        listed = _ranked(spark, folder, route, PER_ROUTE, PER_ROUTE, _FOUR if route == "fused" else None)
-        ranks = M.target_ranks(targets, listed, "task_id", "business_id")
-        recall = (F.round(F.avg(F.when(c("target_rank") <= k, 1.0).otherwise(0.0)), 9).alias(f"recall_{k}") for k in (50, 100, 500))
-        part = ranks.agg(F.count("*").alias("n"), F.count("target_rank").alias("n_listed"), *recall).select(F.lit(route).alias("route"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    # one walk ranks all routes, and of each task's lists only the target becomes a row
+    listed = _fused(spark, folder, PER_ROUTE, PER_ROUTE, _FOUR, shown=(), also=dict.fromkeys(_FOUR, PER_ROUTE), wanted=targets.withColumnRenamed("target", "business_id"))
+    ranks = targets.join(listed.select("task_id", c("business_id").alias("target"), *(c(f"{r}_rank").alias(r) for r in _FOUR), c("rank").alias("fused")), ["task_id", "target"], "left")
+    each = ranks.select(F.explode(F.array(*(F.struct(F.lit(r).alias("route"), c(r).alias("target_rank")) for r in (*_FOUR, "fused")))).alias("x")).select("x.*")
+    recall = (F.round(F.avg(F.when(c("target_rank") <= k, 1.0).otherwise(0.0)), 9).alias(f"recall_{k}") for k in (50, 100, 500))
+    return each.groupBy("route").agg(F.count("*").alias("n"), F.count("target_rank").alias("n_listed"), *recall)
 
 
 @query(f"""with {_QUALITY}, l as (select task_id, business_id, max_by(stars, (t, stars)) stars from hist group by 1, 2) select task_id, count(*) n_businesses, round(avg(stars), 9) mean_latest, count(*) filter (stars >= 4) n_liked from l group by 1""")
