@@ -11,8 +11,8 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import text as T
 from lodestone.plans.base import BIZ, INTER, businesses, interactions, tasks
 from lodestone.plans.breadth import _ASKED, _CONDITIONS, _conditions
-from lodestone.plans.knowledge import _RANKS_500, _TARGET, _WORDS, _ranks, _targets
-from lodestone.plans.recommend import _FOUR, _FUSED_FOUR, _QUALITY, _ROUTES, _TEXT, PER_ROUTE, _fused, _quality_route, _ranked
+from lodestone.plans.knowledge import _RANKS_500, _TARGET, _WORDS, _both_ranks, _targets
+from lodestone.plans.recommend import _FOUR, _FUSED_FOUR, _QUALITY, _ROUTES, _TEXT, PER_ROUTE, _fused
 from lodestone.sources.tables import table
 
 c = F.col
@@ -199,8 +199,7 @@ def calibration_dataset(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""with {_RANKS_500}, q2 as (select v.task_id, q.rank qr from v left join (select * from qroute where rank <= 500) q on q.task_id = v.task_id and q.business_id = v.target)
 select case when history_count < 3 then 'short' when history_count < 8 then 'middle' else 'long' end bucket, count(*) n, count(*) filter (target_rank <= 100 and qr <= 100) both_hit, count(*) filter (target_rank <= 100 and not coalesce(qr <= 100, false)) only_fused, count(*) filter (qr <= 100 and not coalesce(target_rank <= 100, false)) only_quality from tr join q2 using (task_id) group by 1""")
 def paired_retrieval_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    other = M.target_ranks(_targets(spark, folder).select("task_id", "target"), _quality_route(spark, folder, 500), "task_id", "business_id").select("task_id", c("target_rank").alias("qr"))
-    both = _ranks(spark, folder).join(other, "task_id")
+    both = _both_ranks(spark, folder)
     a, b = F.coalesce(c("target_rank") <= 100, F.lit(False)), F.coalesce(c("qr") <= 100, F.lit(False))
     bucket = F.when(c("history_count") < 3, "short").when(c("history_count") < 8, "middle").otherwise("long")
     return both.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.count_if(a & b).alias("both_hit"), F.count_if(a & ~b).alias("only_fused"), F.count_if(b & ~a).alias("only_quality"))
