@@ -64,10 +64,6 @@ _QUALITY_ROUTE = """qroute as (select k.task_id, q.business_id, q.quality score,
  from tasks k join quality q using (cutoff_time) where not exists (select 1 from hist h where h.task_id = k.task_id and h.business_id = q.business_id))"""
 
 
-def _history(spark: SparkSession, folder: str) -> DataFrame:
-    return R.history_of(tasks(spark, folder), interactions(spark, folder))
-
-
 def _described(spark: SparkSession, folder: str) -> DataFrame:
     """(business_id, doc): name and categories as one text."""
     cats = F.coalesce(F.array_join(F.array_sort(F.array_compact("categories")), " "), F.lit(""))
@@ -190,12 +186,18 @@ def four_route_fusion(spark: SparkSession, folder: str) -> DataFrame:
 from (select * from qroute where rank <= 30) q full join (select * from croute where rank <= 30) x on q.task_id = x.task_id and q.business_id = x.business_id
 where not exists (select 1 from hist h where h.task_id = coalesce(q.task_id, x.task_id) and h.business_id = coalesce(q.business_id, x.business_id))""")
 def protected_union(spark: SparkSession, folder: str) -> DataFrame:
-    return R.protected_union(_quality_route(spark, folder, 30), _category_route(spark, folder, 30), _history(spark, folder), "task_id", "business_id")
+    return _protected(spark, folder, 30)
 
 
 @query(SQL["protected_union"].replace("rank <= 30", f"rank <= {PER_ROUTE}"))
 def protected_union_500(spark: SparkSession, folder: str) -> DataFrame:
-    return R.protected_union(_quality_route(spark, folder, PER_ROUTE), _category_route(spark, folder, PER_ROUTE), _history(spark, folder), "task_id", "business_id")
+    return _protected(spark, folder, PER_ROUTE)
+
+
+def _protected(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    """Both lists of a task come from one walk, which also knows its history, so nothing is joined."""
+    both = _ranked(spark, folder, "quality", n, shown=(), also={"category": n}).where("not seen")
+    return both.select("task_id", "business_id", c("rank").isNotNull().alias("in_base"), c("category_rank").isNotNull().alias("in_extra"))
 
 
 _LATEST = """latest as (select user_id, business_id, max_by(stars, (t, review_id)) stars, max(t) t from inter group by 1, 2),
