@@ -167,18 +167,22 @@ def weighted_hybrid(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""with {_ROUTES}, {_FUSED}, f as (select * from fused where rank <= 30), n as (select business_id, count(*) k from f group by 1)
 select count(*) n_rows, count(distinct business_id) n_businesses, (select count(*) from biz) n_catalogue, (select max(k) from n) most_seen, round((select quantile_cont(k::double, 0.95) from n), 9) p95_seen, count(distinct task_id) n_tasks from f""")
 def candidate_audit(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder, _fused(spark, folder, 30, 50))
+    return _audit(spark, folder, _fused(spark, folder, 30, 50, shown=()))
 
 
 @query(SQL["candidate_audit"].replace(_FUSED, _FUSED_500).replace("from fused where rank <= 30", f"from fused where rank <= {PER_ROUTE}"))
 def candidate_audit_500(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder, _fused(spark, folder, PER_ROUTE))
+    return _audit(spark, folder, _fused(spark, folder, PER_ROUTE, shown=()))
 
 
 def _audit(spark: SparkSession, folder: str, f: DataFrame) -> DataFrame:
-    per = f.groupBy("business_id").agg(F.count("*").alias("k"))
-    seen = per.agg(F.sum("k").alias("n_rows"), F.count("*").alias("n_businesses"), F.max("k").alias("most_seen"), F.round(F.percentile(c("k").cast("double"), F.lit(0.95)), 9).alias("p95_seen"))
-    return seen.crossJoin(businesses(spark, folder).agg(F.count("*").alias("n_catalogue"))).crossJoin(f.agg(F.countDistinct("task_id").alias("n_tasks")))
+    # one walk: a row counts for its business, and the first of a list for its task as well
+    marks = F.array(F.struct(F.lit(True).alias("item"), c("business_id").alias("id")))
+    both = F.when(c("rank") == 1, F.concat(marks, F.array(F.struct(F.lit(False).alias("item"), c("task_id").alias("id"))))).otherwise(marks)
+    per = f.select(F.explode(both).alias("x")).groupBy("x.item", "x.id").agg(F.count("*").alias("k"))
+    k = F.when(c("item"), c("k"))
+    seen = per.agg(F.coalesce(F.sum(k), F.lit(0)).alias("n_rows"), F.count(k).alias("n_businesses"), F.max(k).alias("most_seen"), F.round(F.percentile(k.cast("double"), F.lit(0.95)), 9).alias("p95_seen"), F.count_if(~c("item")).alias("n_tasks"))
+    return seen.crossJoin(businesses(spark, folder).agg(F.count("*").alias("n_catalogue")))
 
 
 @query("""select count(*) n, count(*) filter (char_start < 0 or char_end <= char_start) bad_offsets, count(*) filter (sha256(segment_text) <> text_sha256) bad_hash, count(*) filter (char_end - char_start <> length(segment_text)) bad_length, count(distinct review_id) n_reviews, count(*) - count(distinct segment_id) n_repeats from review_segments""")
